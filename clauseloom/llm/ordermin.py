@@ -10,8 +10,9 @@ reach that.) Classes are the links' connected components.
 No group is expanded into all its pairs: each bucket first checks its members against its least
 node; then only pairs of members that are still in different classes are checked, so a link is lost
 only if no sketch of its two nodes agrees (below 1 in 10,000 at 0.8, less above). Before alignment, pairs are
-left out that differ too much in length, or in more of 256 one-bit minima than linked pairs can (short
-texts) or do (7 deviations, long ones).
+left out, inside the join, that differ too much in length, in more of 256 one-bit minima than linked pairs
+can (short texts) or do (7 deviations, long ones), or share too few of their smallest shingle hashes (an
+exact count for texts of up to 256 shingles, 5 deviations for longer ones).
 
 Null texts and texts without a word are classes of their own. Rows that repeat an id and text share
 their class. The class id is its smallest doc_id, nulls last.
@@ -32,9 +33,11 @@ from clauseloom.llm.common import column, map_slices, mixed, stored, texts_of
 from clauseloom.llm.substring import row_id
 
 SHINGLE = 5
-SKETCHES = 32
+SKETCHES = 24
 #: Shingles in a sketch; texts of up to SHORT shingles have sketches of FEW too, those under LONG only these.
-HELD, FEW, LONG, SHORT = 6, 2, 24, 40
+HELD, FEW, LONG, SHORT = 5, 2, 24, 40
+#: How many of a text's smallest shingle hashes are kept to count shared ones; all of them, up to this number.
+LOW = 256
 MOST_WORDS = 800_000
 #: The most of 256 one-bit minima that linked texts differ in.
 MOST_DIFFERENT = 60
@@ -94,20 +97,26 @@ def factors() -> np.ndarray:
 def sketches(sh: np.ndarray, held: int) -> np.ndarray:
     """The hash of each sketch: of its shingles in text order."""
     n, held = len(sh), min(held, len(sh))
-    spots = np.empty((SKETCHES, held), dtype=np.int64)
     few = 4 * held + 8
-    done = np.zeros(SKETCHES, dtype=bool)
-    if n > 4 * few:
+    if n > 2 * few:
         # Only values under a bound that about `few` keep are sorted.
         bound = np.uint64(int((1 << 64) * few / n))
-        for k, f in enumerate(factors()):
-            values = sh * f
-            at = np.flatnonzero(values < bound)
-            if len(at) >= held:
-                spots[k] = at[np.argsort(values[at], kind="stable")[:held]]
-                done[k] = True
-    for k in np.flatnonzero(~done):
-        spots[k] = np.argsort(sh * factors()[k], kind="stable")[:held]
+        found, values = [], []
+        step = max(1, (1 << 18) // n)
+        for k in range(0, SKETCHES, step):
+            product = sh[None, :] * factors()[k : k + step, None]
+            which, at = np.nonzero(product < bound)
+            found.append(((which + k), at))
+            values.append(product[which, at])
+        which, at = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((np.concatenate(values), which))
+        begin = np.searchsorted(which, np.arange(SKETCHES + 1))
+        if (np.diff(begin) >= held).all():
+            spots = at[order[begin[:-1, None] + np.arange(held)]]
+        else:
+            spots = np.argsort(sh[None, :] * factors()[:, None], axis=1, kind="stable")[:, :held]
+    else:
+        spots = np.argsort(sh[None, :] * factors()[:, None], axis=1, kind="stable")[:, :held]
     spots.sort(axis=1)
     out = np.arange(SKETCHES, dtype=np.uint64) + np.uint64(1000 * held)
     for j in range(held):
@@ -115,14 +124,14 @@ def sketches(sh: np.ndarray, held: int) -> np.ndarray:
     return out
 
 
-def one_bit_minima(sh: np.ndarray) -> np.ndarray:
-    """One bit of the least value in each of 256 bins, as four integers."""
+def one_bit_minima(sh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One bit of the least value in each of 256 bins, as four integers; and the LOW least values' lower halves."""
     values = np.sort(mixed(sh ^ np.uint64(0x5851F42D4C957F2D)))
     bins = values >> np.uint64(56)
     first = np.concatenate(([True], bins[1:] != bins[:-1]))
     bits = np.zeros(256, dtype=np.uint8)
     bits[bins[first].astype(np.int64)] = (values[first] & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits).view(np.int64)
+    return np.packbits(bits).view(np.int64), (values[:LOW] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -163,27 +172,29 @@ def marks_of(docs: DataFrame) -> DataFrame:
 
     def kernel():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            node, size, minima, keys = [], [], [], []
+            node, size, minima, keys, low = [], [], [], [], []
             for text in texts_of(batch):
                 words = word_array(text)
                 if not len(words):
-                    node.append(None), size.append(0), minima.append([0] * 4), keys.append([])
+                    node.append(None), size.append(0), minima.append([0] * 4), keys.append([]), low.append([])
                     continue
                 sh = labelled(shingles(words))
                 node.append(int(np.int64(xxhash.xxh64_intdigest(words.tobytes(), 1) - (1 << 63))))
                 size.append(len(sh))
-                minima.append(one_bit_minima(sh).tolist())
+                bits, least = one_bit_minima(sh)
+                minima.append(bits.tolist())
+                low.append(least)
                 own = [sketches(sh, HELD)] * (len(sh) >= LONG) + [sketches(sh, FEW)] * (len(sh) <= SHORT)
-                keys.append(np.concatenate(own).view(np.int64).tolist())
+                keys.append(np.concatenate(own).view(np.int64))
             m = np.array(minima, dtype=np.int64).reshape(-1, 4)
             return pa.RecordBatch.from_arrays(
-                [column(batch, "rid"), column(batch, "doc"), pa.array(node, pa.int64()), pa.array(size, pa.int32()), *(pa.array(m[:, k]) for k in range(4)), pa.array(keys, pa.list_(pa.int64()))],
-                names=["rid", "doc", "node", "size", "m0", "m1", "m2", "m3", "keys"],
+                [column(batch, "rid"), column(batch, "doc"), pa.array(node, pa.int64()), pa.array(size, pa.int32()), *(pa.array(m[:, k]) for k in range(4)), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int32()))],
+                names=["rid", "doc", "node", "size", "m0", "m1", "m2", "m3", "keys", "low"],
             )
 
         return work
 
-    return map_slices(docs.select("rid", "doc", "text"), kernel, "rid bigint, doc bigint, node bigint, size int, m0 bigint, m1 bigint, m2 bigint, m3 bigint, keys array<bigint>")
+    return map_slices(docs.select("rid", "doc", "text"), kernel, "rid bigint, doc bigint, node bigint, size int, m0 bigint, m1 bigint, m2 bigint, m3 bigint, keys array<bigint>, low array<int>")
 
 
 def near_enough(similarity: float):
@@ -194,6 +205,14 @@ def near_enough(similarity: float):
     return (F.abs(a - b) <= apart) & (different <= F.least(F.lit(MOST_DIFFERENT), apart))
 
 
+def shared_enough(similarity: float):
+    """The condition on a pair's smallest shingle hashes: exact up to LOW shingles, 5 deviations below the expected share above."""
+    shared = F.size(F.array_intersect("a_low", "b_low"))
+    most = F.greatest("a_size", "b_size")
+    least = (F.col("a_size") + F.col("b_size")) * (similarity / (1 + similarity))
+    return shared >= F.when(most <= LOW, least - 1).otherwise(LOW * least / most - 5 * F.sqrt(LOW * 0.1 * (1 - LOW / most) + 1))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node -> class (the least node of its connected component), for nodes with links. edges: a, b; stored."""
     both = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))), "links")
@@ -257,8 +276,10 @@ def near_classes(df: DataFrame, similarity: float = 0.8, id_column: str = "doc_i
     sorted_out = stored(sorted_out, "sorted")
     mixed_keys = stored(sorted_out.groupBy("key").agg(F.min("class").alias("one"), F.max("class").alias("two")).filter("one < two").select("key"), "mixed")
     open_members = stored(sorted_out.join(mixed_keys, "key"), "open")
-    a, b = (open_members.select("key", F.col("node").alias(s), F.col("class").alias(f"{s}_class"), *(F.col(k).alias(f"{s}_{k}") for k in what)) for s in "ab")
-    rest = a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.col("a_class") != F.col("b_class")) & fine).select("a", "b").distinct()
+    lows = marks.select("node", "low").join(open_members.select("node").distinct(), "node").groupBy("node").agg(F.first("low").alias("low"))
+    open_members = stored(open_members.join(lows, "node"), "open-low")
+    a, b = (open_members.select("key", F.col("node").alias(s), F.col("class").alias(f"{s}_class"), *(F.col(k).alias(f"{s}_{k}") for k in (*what, "low"))) for s in "ab")
+    rest = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.col("a_class") != F.col("b_class")) & fine & shared_enough(similarity)).select("a", "b").distinct()
     rest = stored(rest.join(starts, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = stored(verify(rest, docs, sources, similarity), "more")
