@@ -7,12 +7,12 @@ are one node. Nodes with a sketch in common are candidates; a pair is linked if
 their shingles matches m of them with m / (a + b - m) >= similarity. (Matches off the band could not
 reach that.) Classes are the links' connected components.
 
-No group is expanded into all its pairs: each bucket first checks its members against its least
-node; then only pairs of members that are still in different classes are checked, so a link is lost
+No group is expanded into all its pairs: each bucket first checks its members against one leader, the
+node that meets most others; then only pairs of members that are still in different classes are checked, so a link is lost
 only if no sketch of its two nodes agrees (below 1 in 10,000 at 0.8, less above). Before alignment, pairs are
 left out, inside the join, that differ too much in length, in more of 256 one-bit minima than linked pairs
 can (short texts) or do (7 deviations, long ones), or share too few of their smallest shingle hashes (an
-exact count for texts of up to 256 shingles, 5 deviations for longer ones).
+exact count for texts of up to 256 shingles, 4 deviations for longer ones).
 
 Null texts and texts without a word are classes of their own. Rows that repeat an id and text share
 their class. The class id is its smallest doc_id, nulls last.
@@ -38,10 +38,13 @@ SKETCHES = 24
 HELD, FEW, LONG, SHORT = 5, 2, 24, 40
 #: How many of a text's smallest shingle hashes are kept to count shared ones; all of them, up to this number.
 LOW = 256
-MOST_WORDS = 800_000
+MOST_WORDS = 300_000
 #: The most of 256 one-bit minima that linked texts differ in.
 MOST_DIFFERENT = 60
 
+#: The most rows that are broadcast; their number is counted first.
+MOST_BROADCAST = 1_000_000
+
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
@@ -206,11 +209,11 @@ def near_enough(similarity: float):
 
 
 def shared_enough(similarity: float):
-    """The condition on a pair's smallest shingle hashes: exact up to LOW shingles, 5 deviations below the expected share above."""
+    """The condition on a pair's smallest shingle hashes: exact up to LOW shingles, 4 deviations below the expected share above."""
     shared = F.size(F.array_intersect("a_low", "b_low"))
     most = F.greatest("a_size", "b_size")
     least = (F.col("a_size") + F.col("b_size")) * (similarity / (1 + similarity))
-    return shared >= F.when(most <= LOW, least - 1).otherwise(LOW * least / most - 5 * F.sqrt(LOW * 0.1 * (1 - LOW / most) + 1))
+    return shared >= F.when(most <= LOW, least - 1).otherwise(LOW * least / most - 4 * F.sqrt(LOW * 0.1 * (1 - LOW / most) + 1))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -232,7 +235,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def verify(pairs: DataFrame, docs: DataFrame, sources: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) that align. sources: node -> rid of one of its rows."""
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = ids.join(sources, "node")
+    wanted = stored(ids.join(sources, "node"), "wanted")
+    # Two integers a row; up to this many go to all tasks, so that texts are not shuffled to find them.
+    if wanted.count() <= MOST_BROADCAST:
+        wanted = F.broadcast(wanted)
 
     def words_kernel():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -263,11 +269,15 @@ def near_classes(df: DataFrame, similarity: float = 0.8, id_column: str = "doc_i
     nodes = stored(marks.filter("node is not null").groupBy("node").agg(F.min(F.struct("rid", *what, "keys")).alias("x")).select("node", "x.*"), "nodes")
     sources = nodes.select("node", "rid")
     keyed = nodes.select("node", *what, F.explode("keys").alias("key"))
-    shared = stored(keyed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").select("key", "leader"), "shared")
+    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("bucket"), F.min("node").alias("one"), F.max("node").alias("two")).filter("one < two").select("key", "bucket"), "shared")
     members = stored(keyed.join(shared, "key"), "members")
+    # A bucket is led by its node of the most company in all its buckets: the likeliest centre of a group.
+    company = members.groupBy("node").agg(F.sum("bucket").alias("company"), F.collect_list("key").alias("keys"))  # at most 2 x SKETCHES keys
+    led = company.select("node", "company", F.explode("keys").alias("key")).groupBy("key").agg(F.max(F.struct("company", "node")).alias("top"))
+    leaders = stored(led.select("key", F.col("top.node").alias("leader")), "leaders")
     fine = near_enough(similarity)
     left = nodes.select(F.col("node").alias("a"), *(F.col(k).alias(f"a_{k}") for k in what))
-    to_leaders = members.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b"), *(F.col(k).alias(f"b_{k}") for k in what)).distinct()
+    to_leaders = members.join(leaders, "key").filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b"), *(F.col(k).alias(f"b_{k}") for k in what)).distinct()
     starts = stored(to_leaders.join(left, "a").filter(fine).select("a", "b"), "starts")
     stars = stored(verify(starts, docs, sources, similarity), "stars")
     classes = components(stars)
@@ -276,10 +286,12 @@ def near_classes(df: DataFrame, similarity: float = 0.8, id_column: str = "doc_i
     sorted_out = stored(sorted_out, "sorted")
     mixed_keys = stored(sorted_out.groupBy("key").agg(F.min("class").alias("one"), F.max("class").alias("two")).filter("one < two").select("key"), "mixed")
     open_members = stored(sorted_out.join(mixed_keys, "key"), "open")
-    lows = marks.select("node", "low").join(open_members.select("node").distinct(), "node").groupBy("node").agg(F.first("low").alias("low"))
+    lows = marks.select("node", "low", "keys").join(open_members.select("node").distinct(), "node").groupBy("node").agg(F.first("low").alias("low"), F.first("keys").alias("keys"))
     open_members = stored(open_members.join(lows, "node"), "open-low")
-    a, b = (open_members.select("key", F.col("node").alias(s), F.col("class").alias(f"{s}_class"), *(F.col(k).alias(f"{s}_{k}") for k in (*what, "low"))) for s in "ab")
-    rest = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.col("a_class") != F.col("b_class")) & fine & shared_enough(similarity)).select("a", "b").distinct()
+    a, b = (open_members.select("key", F.col("node").alias(s), F.col("class").alias(f"{s}_class"), *(F.col(k).alias(f"{s}_{k}") for k in (*what, "low", "keys"))) for s in "ab")
+    # A pair comes from the first bucket that it shares only.
+    once = a["key"] == F.array_min(F.array_intersect("a_keys", "b_keys"))
+    rest = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.col("a_class") != F.col("b_class")) & fine & once & shared_enough(similarity)).select("a", "b")
     rest = stored(rest.join(starts, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = stored(verify(rest, docs, sources, similarity), "more")
