@@ -123,14 +123,15 @@ def features(words: list[bytes], landmarks: list[bytes]) -> np.ndarray:
 def choose_landmarks(toxic: list[list[bytes]], clean: list[list[bytes]], most: int) -> list[bytes]:
     """Frequent words of toxic texts around four-letter sequences that tell them from clean ones."""
 
-    def by_gram(docs: list[list[bytes]]) -> dict[bytes, int]:
-        n: dict[bytes, int] = {}
+    def by_gram(docs: list[list[bytes]], n: dict[bytes, int], grow: bool) -> dict[bytes, int]:
         for ws in docs:
             for g in {w[i : i + 4] for w in ws for i in range(len(w) - 3)}:
-                n[g] = n.get(g, 0) + 1
+                if grow or g in n:
+                    n[g] = n.get(g, 0) + 1
         return n
 
-    t, c = by_gram(toxic), by_gram(clean)
+    t = by_gram(toxic, {}, True)
+    c = by_gram(clean, dict.fromkeys(t, 0), False)
     ratio = len(clean) / len(toxic)
 
     def weight(g: bytes) -> float:
@@ -208,7 +209,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-(self.slope * self.margins(texts) + self.offset)))
 
 
-def fit(texts: list[str], toxic: list[int], weight: list[float], most_landmarks: int = 96, strongest: int = 8, rounds: int = 4) -> ToxicityModel:
+def fit(texts: list[str], toxic: list[int], weight: list[float], most_landmarks: int = 80, strongest: int = 6, rounds: int = 4) -> ToxicityModel:
     empty = ToxicityModel(np.zeros(1 << 18, np.float32), 0.0, 1.0, 0.0, [])
     once = {x: i for i, x in reversed(list(enumerate(texts)))}
     texts, toxic, weight = ([x[i] for i in sorted(once.values())] for x in (texts, toxic, weight))
@@ -223,6 +224,7 @@ def fit(texts: list[str], toxic: list[int], weight: list[float], most_landmarks:
         if 3 <= b - a <= 40:
             bags[t].add(raw[a:b])
     docs = [sorted(b) for b in bags]
+    del bags, raw, letters, word, at
     marks = choose_landmarks([d for d, k in zip(docs, toxic, strict=True) if k], [d for d, k in zip(docs, toxic, strict=True) if not k], most_landmarks)
     if not marks:
         return empty
@@ -234,14 +236,14 @@ def fit(texts: list[str], toxic: list[int], weight: list[float], most_landmarks:
         own.append([(u[inside], weight_ / norms(len(m))) for u, inside, weight_ in triples(codes, np.zeros(len(m), np.int64))])
         for u, w in own[-1]:
             first[u] = np.maximum(first[u], np.float32(w * norms(len(m))))
-    every = sorted(set().union(*bags))
+    every = sorted(set().union(*docs))
     place = {w: i for i, w in enumerate(every)}
     _, strength = word_margins(first, np.frombuffer(b"".join(every), np.uint8).astype(np.uint32), np.repeat(np.arange(len(every)), [len(w) for w in every]))
     tops = [sorted(d, key=lambda w: (-strength[place[w]], w))[:strongest] for d in docs]
     chosen = sorted(set().union(*map(set, tops)))
     row = {w: i for i, w in enumerate(chosen)}
     # Strongest words of toxic texts also train with a letter put in at each place.
-    bad_words = sorted({w for t, k in zip(tops, toxic, strict=True) if k for w in t})
+    bad_words = sorted({w for t, k in zip(tops, toxic, strict=True) if k for w in t[:2]})
     put_in = {w: [w[:i] + bytes([1 + (7 * i + w[0]) % 26]) + w[i:] for i in range(1, len(w))] for w in bad_words}
     start, all_words = {}, list(chosen)
     for w in bad_words:
@@ -256,7 +258,7 @@ def fit(texts: list[str], toxic: list[int], weight: list[float], most_landmarks:
     margin = kernel.max(axis=1)
     for _ in range(rounds):
         best = np.array([max(rows, key=lambda r: margin[r]) for rows in bad], dtype=np.int64)
-        more = np.array([v for b in sorted(set(best.tolist())) for v in start[b]], dtype=np.int64)
+        more = np.array([v for b in sorted(set(best.tolist())) for v in start.get(b, ())], dtype=np.int64)
         sizes = [len(best), len(more), len(good)]
         w, bias = linear_machine(np.vstack((x[best], x[more], x[good])), np.repeat([1.0, 1.0, -1.0], sizes), np.repeat([1 / max(1, n) * k for n, k in zip(sizes, (1, 1, 2), strict=True)], sizes))
         margin = x @ w + bias
@@ -269,7 +271,7 @@ def fit(texts: list[str], toxic: list[int], weight: list[float], most_landmarks:
     return model
 
 
-def train(labelled: DataFrame, max_toxic: int = 1000, max_clean: int = 3000, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> ToxicityModel:
+def train(labelled: DataFrame, max_toxic: int = 500, max_clean: int = 1500, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> ToxicityModel:
     """Fits on about max_toxic and max_clean labelled rows at most (all, if fewer), chosen by a hash of the id.
 
     The sample's texts, whose number these parameters bound, go to the driver.
