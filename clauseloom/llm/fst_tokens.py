@@ -31,7 +31,7 @@ from clauseloom.llm.common import column, map_slices, texts_of
 #: Characters in a chunk of the splitter.
 CHUNK = 64
 #: The counter's tables and the counts of words are emptied at these sizes.
-MOST_TRANSITIONS, MOST_WORDS = 250_000, 300_000
+MOST_TRANSITIONS, MOST_WORDS = 400_000, 800_000
 #: Words longer than this aren't kept.
 KEPT_WORD = 48
 
