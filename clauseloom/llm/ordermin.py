@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import column, map_slices, mixed, stored, texts_of
+from clauseloom.llm.common import column, discard, map_slices, mixed, stored, texts_of
 from clauseloom.llm.substring import row_id
 
 SHINGLE = 5
@@ -170,6 +170,11 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return len(x) + len(y) - 2 * matched <= apart
 
 
+def counted(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has at most MOST_BROADCAST rows (of a few integers each); else it is joined by shuffle."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
 def marks_of(docs: DataFrame) -> DataFrame:
     """Each row's node (a hash of its words; null without words), number of shingles, minima and sketches. docs: rid, doc, text."""
 
@@ -235,10 +240,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def verify(pairs: DataFrame, docs: DataFrame, sources: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) that align. sources: node -> rid of one of its rows."""
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = stored(ids.join(sources, "node"), "wanted")
-    # Two integers a row; up to this many go to all tasks, so that texts are not shuffled to find them.
-    if wanted.count() <= MOST_BROADCAST:
-        wanted = F.broadcast(wanted)
+    wanted = counted(stored(ids.join(sources, "node"), "wanted"))
 
     def words_kernel():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -258,7 +260,9 @@ def verify(pairs: DataFrame, docs: DataFrame, sources: DataFrame, similarity: fl
 
     one = pairs.join(bodies.select(F.col("node").alias("a"), F.col("words").alias("a_words")), "a")
     two = one.join(bodies.select(F.col("node").alias("b"), F.col("words").alias("b_words")), "b")
-    return two.select("a", "b", "a_words", "b_words").mapInArrow(run, "a bigint, b bigint")
+    out = stored(two.select("a", "b", "a_words", "b_words").mapInArrow(run, "a bigint, b bigint"), "verified")
+    discard(bodies)
+    return out
 
 
 def near_classes(df: DataFrame, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -270,35 +274,40 @@ def near_classes(df: DataFrame, similarity: float = 0.8, id_column: str = "doc_i
     sources = nodes.select("node", "rid")
     keyed = nodes.select("node", *what, F.explode("keys").alias("key"))
     shared = stored(keyed.groupBy("key").agg(F.count("*").alias("bucket"), F.min("node").alias("one"), F.max("node").alias("two")).filter("one < two").select("key", "bucket"), "shared")
-    members = stored(keyed.join(shared, "key"), "members")
+    members = stored(keyed.join(counted(shared), "key"), "members")
     # A bucket is led by its node of the most company in all its buckets: the likeliest centre of a group.
     company = members.groupBy("node").agg(F.sum("bucket").alias("company"), F.collect_list("key").alias("keys"))  # at most 2 x SKETCHES keys
     led = company.select("node", "company", F.explode("keys").alias("key")).groupBy("key").agg(F.max(F.struct("company", "node")).alias("top"))
     leaders = stored(led.select("key", F.col("top.node").alias("leader")), "leaders")
     fine = near_enough(similarity)
     left = nodes.select(F.col("node").alias("a"), *(F.col(k).alias(f"a_{k}") for k in what))
-    to_leaders = members.join(leaders, "key").filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b"), *(F.col(k).alias(f"b_{k}") for k in what)).distinct()
+    discard(shared)
+    to_leaders = members.join(counted(leaders), "key").filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b"), *(F.col(k).alias(f"b_{k}") for k in what)).distinct()
     starts = stored(to_leaders.join(left, "a").filter(fine).select("a", "b"), "starts")
-    stars = stored(verify(starts, docs, sources, similarity), "stars")
+    stars = verify(starts, docs, sources, similarity)
     classes = components(stars)
     # What is left: members of a bucket that are in different classes.
-    sorted_out = members.select("key", "node", *what).join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    sorted_out = members.select("key", "node", *what).join(counted(classes), "node", "left").withColumn("class", F.coalesce("class", "node"))
     sorted_out = stored(sorted_out, "sorted")
+    discard(members, leaders)
     mixed_keys = stored(sorted_out.groupBy("key").agg(F.min("class").alias("one"), F.max("class").alias("two")).filter("one < two").select("key"), "mixed")
-    open_members = stored(sorted_out.join(mixed_keys, "key"), "open")
+    open_members = stored(sorted_out.join(counted(mixed_keys), "key"), "open")
     lows = marks.select("node", "low", "keys").join(open_members.select("node").distinct(), "node").groupBy("node").agg(F.first("low").alias("low"), F.first("keys").alias("keys"))
-    open_members = stored(open_members.join(lows, "node"), "open-low")
+    open_low = stored(open_members.join(lows, "node"), "open-low")
+    discard(sorted_out, mixed_keys, open_members)
+    open_members = open_low
     a, b = (open_members.select("key", F.col("node").alias(s), F.col("class").alias(f"{s}_class"), *(F.col(k).alias(f"{s}_{k}") for k in (*what, "low", "keys"))) for s in "ab")
     # A pair comes from the first bucket that it shares only.
     once = a["key"] == F.array_min(F.array_intersect("a_keys", "b_keys"))
     rest = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.col("a_class") != F.col("b_class")) & fine & once & shared_enough(similarity)).select("a", "b")
     rest = stored(rest.join(starts, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        more = stored(verify(rest, docs, sources, similarity), "more")
+        more = verify(rest, docs, sources, similarity)
         if not more.isEmpty():
             classes = components(stored(stars.union(more), "all"))
     alone = F.xxhash64(F.lit("alone"), "rid", "doc")
-    rows = stored(marks.select("rid", "doc", "node").join(classes, "node", "left").select("rid", "doc", F.coalesce("class", "node", alone).alias("class"), F.col("node").isNull().alias("empty")), "rows")
+    rows = stored(marks.select("rid", "doc", "node").join(counted(classes), "node", "left").select("rid", "doc", F.coalesce("class", "node", alone).alias("class"), F.col("node").isNull().alias("empty")), "rows")
+    discard(marks, nodes, open_low, rest, starts)
     heads = stored(rows.groupBy("class", "empty").agg(F.min(F.struct(F.col("doc").isNull().alias("null"), "doc", "rid")).alias("head"), F.count("*").alias("class_size")), "heads")
     out = rows.join(heads, ["class", "empty"])
     return out.select("rid", F.col("doc").alias(id_column), F.col("head.doc").alias("class_id"), "class_size", (F.col("rid") == F.col("head.rid")).alias("kept"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import column, map_slices, mixed, stored, texts_of
+from clauseloom.llm.common import column, discard, map_slices, mixed, stored, texts_of
 
 LAST = (1 << 63) - 1
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -164,7 +164,7 @@ def find_windows(wanted: DataFrame, window: int) -> DataFrame:
     return map_slices(wanted, kernel, "mark bigint, word_window bigint, content bigint, index int, first bigint")
 
 
-def cut_words(joined: DataFrame, window: int, id_column: str, kind: str) -> DataFrame:
+def cut_words(joined: DataFrame, window: int, through: list[str]) -> DataFrame:
     """Applies the spans (start, windows, some: indexes of the windows, null for all) to texts."""
 
     def kernel():
@@ -186,22 +186,26 @@ def cut_words(joined: DataFrame, window: int, id_column: str, kind: str) -> Data
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 removed.append(total[-1] - len(words))
                 kept.append(b" ".join(words).decode())
-            return pa.RecordBatch.from_arrays([column(batch, "rid"), column(batch, id_column), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["rid", id_column, "n_words", "n_removed", "kept"])
+            return pa.RecordBatch.from_arrays([*(column(batch, c) for c in through), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[*through, "n_words", "n_removed", "kept"])
 
         return work
 
-    return map_slices(joined, kernel, f"rid bigint, `{id_column}` {kind}, n_words bigint, n_removed bigint, kept string")
+    kinds = dict(joined.dtypes)
+    return map_slices(joined, kernel, ", ".join(f"`{c}` {kinds[c]}" for c in through) + ", n_words bigint, n_removed bigint, kept string")
 
 
-def remove_repeats(df: DataFrame, window: int = 50, anchor: int = 8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Each row's rid, id, n_words, n_removed and kept (the words kept, joined by one space). Ids must be integers."""
-    kind = dict(df.dtypes)[id_column]
+def remove_repeats(df: DataFrame, window: int = 50, anchor: int = 8, id_column: str = "doc_id", text_column: str = "text", carry: bool = False) -> DataFrame:
+    """Each row's rid, id, n_words, n_removed and kept (the words kept, joined by one space). Ids must be integers.
+
+    carry: the whole row too, as the struct `row`.
+    """
     docs = df.select(row_id(id_column, text_column).alias("rid"), F.coalesce(F.col(id_column).cast("bigint"), F.lit(LAST)).alias("doc"), F.col(id_column), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     found = stored(find_pieces(docs, window, anchor), "pieces")
     # Anchors of more than one text; each is judged by its pieces.
     marks = found.groupBy("mark").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), (F.min("content") != F.max("content")).alias("branches"))
     repeated = stored(marks.filter("low < high").select("mark", "branches"), "marks")
     places = stored(found.join(repeated, "mark"), "places")
+    discard(found, repeated)
     distinct = stored(places.groupBy("mark", "content", "branches").agg(F.min(F.struct("doc", "rid", "start", "windows")).alias("source")), "distinct")
     # Windows of branching anchors, from one source of each distinct piece.
     parts = distinct.filter("branches").select(F.col("source.rid").alias("rid"), F.struct("mark", "content", F.col("source.start").alias("start"), F.col("source.windows").alias("windows"), F.col("source.doc").alias("first")).alias("part"))
@@ -213,6 +217,14 @@ def remove_repeats(df: DataFrame, window: int = 50, anchor: int = 8, id_column:
     lower = windows.join(lowest, ["mark", "word_window"]).filter("low < first").groupBy("mark", "content").agg(F.sort_array(F.collect_set("index")).alias("some"))
     # A piece goes whole where its first source is another text, else by its windows that occur earlier elsewhere.
     judged = stored(distinct.select("mark", "content", F.col("source.doc").alias("first")).join(lower, ["mark", "content"], "left"), "judged")
+    discard(distinct, windows, lowest)
     hits = places.join(judged, ["mark", "content"]).filter("doc > first or some is not null").select("rid", F.struct("start", "windows", F.when(F.col("doc") > F.col("first"), F.lit(None)).otherwise(F.col("some")).alias("some")).alias("span"))
     spans = hits.groupBy("rid").agg(F.collect_set("span").alias("spans"))
-    return cut_words(docs.select("rid", id_column, "text").join(spans, "rid", "left"), window, id_column, kind)
+    through = ["rid", id_column, *["row"] * carry]
+    if carry:
+        docs = df.select(row_id(id_column, text_column).alias("rid"), F.col(id_column), F.struct(*df.columns).alias("row"))
+        text = F.coalesce(F.col(f"row.{text_column}"), F.lit("")).alias("text")
+        joined = docs.join(spans, "rid", "left").select(*through, text, "spans")
+    else:
+        joined = docs.select("rid", id_column, "text").join(spans, "rid", "left")
+    return cut_words(joined, window, through)
