@@ -28,7 +28,7 @@ from clauseloom.llm.common import column, map_slices, texts_of
 #: Words longer than this are encoded but not kept.
 CACHED_WORD = 64
 #: The cache is emptied when it holds as many words.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 
 
 def byte_alphabet() -> list[str]:
