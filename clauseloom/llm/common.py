@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -72,6 +73,14 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -
         before, start = int(ends[stop - 1]), stop
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, as a worker lives on between tasks of different operators."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_slices(
     df: DataFrame, kernel: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, text: str = "text"
 ) -> DataFrame:
@@ -84,6 +93,8 @@ def map_slices(
                 out = work(piece)
                 if out is not None and out.num_rows:
                     yield out
+        del work
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -38,7 +38,7 @@ SKETCHES = 24
 HELD, FEW, LONG, SHORT = 5, 2, 24, 40
 #: How many of a text's smallest shingle hashes are kept to count shared ones; all of them, up to this number.
 LOW = 256
-MOST_WORDS = 300_000
+MOST_WORDS = 150_000
 #: The most of 256 one-bit minima that linked texts differ in.
 MOST_DIFFERENT = 60
 

@@ -34,7 +34,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
     known = labels.filter(fold_of("doc_id", 4) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return toxicity.train(docs.select("doc_id", "text").join(known, "doc_id"))
+    return toxicity.train(docs, known)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

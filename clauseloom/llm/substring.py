@@ -30,7 +30,7 @@ LAST = (1 << 63) - 1
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Distinct words whose hashes a worker keeps.
-MOST_WORDS = 400_000
+MOST_WORDS = 200_000
 
 
 class WordHashes(dict):

@@ -271,16 +271,19 @@ def fit(texts: list[str], toxic: list[int], weight: list[float], most_landmarks:
     return model
 
 
-def train(labelled: DataFrame, max_toxic: int = 500, max_clean: int = 1500, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> ToxicityModel:
-    """Fits on about max_toxic and max_clean labelled rows at most (all, if fewer), chosen by a hash of the id.
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 500, max_clean: int = 1500, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> ToxicityModel:
+    """Fits on the texts of about max_toxic and max_clean labelled ids at most (all, if fewer), chosen by a hash of the id.
 
-    The sample's texts, whose number these parameters bound, go to the driver.
+    labels has one row for each id. The sample, whose size these parameters bound, is broadcast to find its texts, which
+    go to the driver.
     """
-    rows = labelled.filter(F.col(text_column).isNotNull() & F.col(label_column).isin(0, 1)).select(id_column, text_column, F.col(label_column).cast("int").alias("y"))
+    rows = labels.filter(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()).select(id_column, F.col(label_column).cast("int").alias("y"))
     n = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
     share = {k: min(1.0, most / max(1, n.get(k, 0))) for k, most in ((0, max_clean), (1, max_toxic))}
     cut = F.when(F.col("y") == 1, F.lit(int(share[1] * (1 << 30)))).otherwise(F.lit(int(share[0] * (1 << 30))))
-    sample = sorted(((r[0], r[1], r[2]) for r in rows.filter(F.pmod(F.xxhash64(id_column), F.lit(1 << 30)) < cut).collect()), key=lambda r: (str(r[0]), r[1], r[2]))
+    chosen = rows.filter(F.pmod(F.xxhash64(id_column), F.lit(1 << 30)) < cut)
+    texts = docs.select(id_column, text_column).filter(F.col(text_column).isNotNull()).join(F.broadcast(chosen), id_column).select(id_column, text_column, "y")
+    sample = sorted(((r[0], r[1], r[2]) for r in texts.collect()), key=lambda r: (str(r[0]), r[1], r[2]))
     return fit([r[1] for r in sample], [r[2] for r in sample], [1 / share[r[2]] for r in sample])
 
 
