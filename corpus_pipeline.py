@@ -15,11 +15,6 @@ from clauseloom.llm.substring import row_id
 TOXIC, KNOWN = 0.3, 0.5
 
 
-def _keep(docs: DataFrame, kept_ids: DataFrame) -> DataFrame:
-    """The rows of docs whose rid is in kept_ids; rows that repeat a rid all stay."""
-    return docs.withColumn("rid", row_id("doc_id", "text")).join(kept_ids, "rid", "left_semi").select(docs.columns)
-
-
 def _scored(docs: DataFrame, score) -> DataFrame:
     """docs' columns with the score of each row's text, in one pass."""
     columns = docs.columns
@@ -43,17 +38,20 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: one document of each class of near-duplicates stays, the one with the least doc_id."""
-    kept = ordermin.near_classes(docs).filter("kept").select("rid").distinct()
-    return _keep(docs, kept).dropDuplicates(["doc_id", "text"])
+    kept = stored(ordermin.near_classes(docs).filter("kept").groupBy("rid").agg(F.count("*").alias("rows")), "kept")
+    if kept.count() <= ordermin.MOST_BROADCAST:  # two integers a row
+        kept = F.broadcast(kept)
+    found = docs.withColumn("rid", row_id("doc_id", "text")).join(kept, "rid")
+    # Only rows that repeat both id and text need their texts shuffled.
+    return found.filter("rows = 1").select(docs.columns).union(found.filter("rows > 1").dropDuplicates(["rid"]).select(docs.columns))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: words in windows that an earlier document has go; a document of which nothing is left goes too."""
-    cut = substring.remove_repeats(docs).select("rid", "n_words", "n_removed", "kept").dropDuplicates(["rid"])
-    joined = docs.withColumn("rid", row_id("doc_id", "text")).join(cut, "rid").filter("n_removed = 0 or n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.char_length(text).cast("bigint")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {"text": text}
-    return joined.select([new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    cut = substring.remove_repeats(docs, carry=True).filter("n_removed = 0 or n_removed < n_words")
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
+    new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept").cast("bigint")).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {"text": text}
+    return cut.select([new[c].alias(c) if c in new else F.col(f"row.{c}") for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
