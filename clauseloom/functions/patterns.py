@@ -56,5 +56,42 @@ LIBRARY_B: list[tuple[str, str]] = [
     ("PERSON", r"\b[A-Z][a-z]+ [A-Z][a-z]+\b"),
 ]
 
+STREET_WORD = r"(?:Street|St|Avenue|Ave|Road|Rd|Drive|Dr|Lane|Ln|Court|Ct|Boulevard|Blvd)"
+MAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
+
+# The earlier, case-sensitive library of reversible redaction.
+LIBRARY_B0: list[tuple[str, str]] = [
+    ("EMAIL", MAIL),
+    ("PHONE", r"\(\d{3}\)\s*\d{3}-\d{4}"),
+    ("PHONE", r"\d{3}-\d{3}-\d{4}"),
+    ("ADDRESS", r"\b\d+\s+[A-Z][a-z]+\s+" + STREET_WORD + r"(?:\s*,\s*[A-Z][a-z]+)?(?:\s*,\s*[A-Z]{2})?\s*\d{5}?\b"),
+    ("STREET", r"\b[A-Z][a-z]+\s+" + STREET_WORD + r"\b"),
+    ("ZIP", r"\b\d{5}(?:-\d{4})?\b"),
+    ("COMPANY", r"\b[A-Z][A-Za-z\s&]+(?:LLC|Inc|Corp|Corporation|Company|Co\.)\b"),
+    ("DATE", r"\b\d{1,2}/\d{1,2}/\d{4}\b"),
+    ("DATE", r"\b\d{1,2}-\d{1,2}-\d{4}\b"),
+    ("PERSON", r"\b(?!Real|Estate|This|Agreement|Property|Information|Party|Buyer|Seller|Company)[A-Z][a-z]+ [A-Z][a-z]+\b"),
+]
+
+# The library of counted placeholders, and the terms that keep a match from being one.
+LIBRARY_C: list[tuple[str, str]] = [
+    ("COMPANY", r"\b[A-Z][A-Z\s&,\.]{3,}(?:LLC|INC|CORP|LP|LLP|COMPANY|CO\.)\b"),
+    ("ADDRESS", r"\d+\s+[A-Za-z\s]+(?:Street|St|Avenue|Ave|Road|Rd|Drive|Dr|Boulevard|Blvd|Lane|Ln)[^,\n]*"),
+    ("DATE", r"\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4}\b"),
+    ("NAME", r"\b[A-Z][a-z]+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?\b"),
+]
+LIBRARY_C_CONTACT: list[tuple[str, str]] = [*LIBRARY_C, ("PHONE", r"\b\d{3}-\d{3}-\d{4}\b"), ("EMAIL", MAIL)]
+STOP_TERMS_C = ["party", "agreement", "information", "confidential", "broker", "seller"]
+STOP_TERMS_C_CONTACT = ["party", "agreement", "information", "confidential", "receiving", "disclosing"]
+
+# The small library for trials.
+LIBRARY_T: list[tuple[str, str]] = [
+    ("NAME", r"\b[A-Z][a-z]+ [A-Z][a-z]+\b"),
+    ("ADDRESS", r"\b\d{1,5}\s+[A-Za-z\s]+" + STREET_WORD + r"\b"),
+    ("EMAIL", MAIL),
+    ("PHONE", r"\(\d{3}\)\s*\d{3}-\d{4}"),
+    ("ZIP", r"\b\d{5}(?:-\d{4})?\b"),
+]
+
 # Signs of pages that hold markup or encoded data.
 GARBAGE_MARKERS = ["@font-face", "chrome-extension", "multipartboundary", "content-type:", "content-location:", "woff2", 'format("woff")', "font-family:", "font-weight:", "font-style:"]

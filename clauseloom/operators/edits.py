@@ -2,18 +2,89 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Where a signature block starts, in order of preference.
 SIGNATURE_MARKERS = ["IN WITNESS WHEREOF", "By:", "SIGNATURE", "ACCEPTED", "AGREED", "Sincerely", "Very truly yours"]
 
+# Words that a flexible search does not look for alone.
+STOP_WORDS = ["line", "that", "this", "with", "from", "they", "have", "will", "been"]
+
 
 def found_at(text: Column, phrase: Column) -> Column:
     """Where the phrase is first, whatever its case (0: nowhere; an empty phrase is nowhere)."""
     return F.when(F.coalesce(phrase, F.lit("")) == "", 0).otherwise(F.instr(F.lower(text), F.lower(phrase)))
 
 
+def laddered(text: Column, phrase: Column) -> Column:
+    """The phrase as it stands in the text: in any case, then with tabs as spaces, then with any white space for white space; null if nowhere."""
+    spaced = F.trim(F.regexp_replace(phrase, r"\t+", " "))
+    loose = F.concat(F.lit(r"(?i)\Q"), F.regexp_replace(F.replace(spaced, F.lit(r"\E"), F.lit(r"\E\\E\Q")), r"\s+", r"\\E\\s+\\Q"), F.lit(r"\E"))
+    as_is = [F.when(found_at(text, p) > 0, F.substr(text, found_at(text, p), F.length(p))) for p in (phrase, spaced)]
+    return F.coalesce(*as_is, F.when(spaced != "", F.get(F.regexp_extract_all(text, loose, F.lit(0)), F.lit(0))))
+
+
+def flexible_phrases(target: Column) -> Column:
+    """What a flexible search tries, in order: the target without placeholders, its runs of 6 to 3 words of over 10 characters, its telling words."""
+    clean = F.trim(F.regexp_replace(target, r"\[(?:NAME|COMPANY|ADDRESS|DATE)_\d+\]", ""))
+    ws = F.filter(F.split(clean, r"\s+"), lambda w: w != "")
+    n = F.size(ws)
+
+    def runs_of(size: int) -> Column:
+        return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.array_join(F.slice(ws, i, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    runs = [runs_of(size) for size in (6, 5, 4, 3)]
+    telling = F.filter(ws, lambda w: (F.length(w) > 4) & ~F.lower(w).isin(STOP_WORDS))
+    return F.filter(F.concat(F.array(clean), F.filter(F.concat(*runs), lambda p: F.length(p) > 10), telling), lambda p: p != "")
+
+
+def flexible_hit(text: Column, target: Column) -> Column:
+    """The first flexible phrase that the text holds, in any case; null if none."""
+    return F.try_element_at(F.filter(flexible_phrases(target), lambda p: found_at(text, p) > 0), F.lit(1))
+
+
+def nearest_paragraphs(edits: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """edits (doc_id, edit_seq, line_number, find) with the para_no of their paragraph, null if none holds the text.
+
+    The named paragraph wins, then the first within three of it (both by the first 50 characters of `find`), then the
+    first of all (by 30). Paragraphs meet only the edits of their own document, and one struct a group is kept, so no
+    group is collected.
+    """
+    p = paragraphs.select("doc_id", "para_no", F.col("text").alias("para"))
+    near, far = F.contains("para", F.left("find", F.lit(50))), F.contains("para", F.left("find", F.lit(30)))
+    away = F.abs(F.col("para_no") - F.col("line_number"))
+    rank = F.when(near & (away == 0), 0).when(near & (away <= 3), 1).when(far, 2)
+    best = edits.join(p, "doc_id").withColumn("rank", rank).filter(F.col("rank").isNotNull() & (F.col("find") != "")).groupBy("doc_id", "edit_seq").agg(F.min(F.struct("rank", "para_no")).alias("best"))
+    return edits.join(best, ["doc_id", "edit_seq"], "left").withColumn("para_no", F.col("best.para_no")).drop("best")
+
+
+def apply_line_edits(lines: DataFrame, changes: DataFrame) -> DataFrame:
+    """lines (doc_id, line_no, text) after changes (doc_id, seq, change_type, line_number, find, replace, content).
+
+    `replace_text_on_line` replaces every exact hit, or the whole line where only the first 50 characters hit; changes
+    of one line fold in order. Later insertions after a line come first, as each goes right after it; those after a line
+    that is not there are left out. Returns doc_id, position (from 1), line_no (null: inserted), text, modified.
+    """
+    swaps = changes.filter("change_type = 'replace_text_on_line' and find <> ''")
+    listed = swaps.groupBy("doc_id", F.col("line_number").alias("line_no")).agg(F.array_sort(F.collect_list(F.struct("seq", "find", F.coalesce("replace", F.lit("")).alias("new")))).alias("swaps"))
+
+    def step(s, c):
+        new = F.when(F.contains(s["text"], c["find"]), F.replace(s["text"], c["find"], c["new"])).when(F.contains(s["text"], F.left(c["find"], F.lit(50))), c["new"])
+        return F.struct(F.coalesce(new, s["text"]).alias("text"), (s["modified"] | new.isNotNull()).alias("modified"))
+
+    start = F.struct(F.coalesce("text", F.lit("")).alias("text"), F.lit(False).alias("modified"))
+    swaps_of = F.coalesce("swaps", F.array())
+    base = lines.join(listed, ["doc_id", "line_no"], "left").withColumn("s", F.aggregate(swaps_of, start, step))
+    kept = base.select("doc_id", F.col("line_no").cast("bigint").alias("at"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("turn"), "line_no", "s.text", "s.modified")
+    none, new = F.lit(None).cast(lines.schema["line_no"].dataType).alias("line_no"), [F.coalesce("content", F.lit("")).alias("text"), F.lit(True).alias("modified")]
+    after = changes.filter("change_type = 'insert_after_line'").join(lines.select("doc_id", F.col("line_no").alias("line_number")).distinct(), ["doc_id", "line_number"], "left_semi")
+    after = after.select("doc_id", F.col("line_number").cast("bigint").alias("at"), F.lit(1).alias("kind"), (-F.col("seq")).cast("bigint").alias("turn"), none, *new)
+    last = changes.filter("change_type = 'insert_at_end'").select("doc_id", F.lit(2**62).alias("at"), F.lit(2).alias("kind"), F.col("seq").cast("bigint").alias("turn"), none, *new)
+    order = Window.partitionBy("doc_id").orderBy("at", "kind", "turn")
+    return kept.unionByName(after).unionByName(last).withColumn("position", F.row_number().over(order)).select("doc_id", "position", "line_no", "text", "modified")
+
+
 def put(text: Column, at: Column, new: Column, size: Column) -> Column:
     """text with `size` characters from `at` replaced."""
     return F.overlay(text, new, at, size)
@@ -22,7 +93,7 @@ def put(text: Column, at: Column, new: Column, size: Column) -> Column:
 def apply_one(text: Column, e: Column) -> Column:
     """text after one edit, null if nothing was found."""
     options = F.coalesce(e["candidates"], F.array(e["find"]))
-    hit = F.try_element_at(F.filter(options, lambda p: found_at(text, p) > 0), F.lit(1))
+    hit = F.try_element_at(F.filter(F.transform(options, lambda p: laddered(text, p)), lambda p: p.isNotNull()), F.lit(1))
     at, size = found_at(text, hit), F.length(hit)
     nothing = F.lit("")
     before = F.lower(F.substr(text, F.greatest(at - F.length(e["qualifier"]), F.lit(1)), F.least(F.length(e["qualifier"]), at - 1)))

@@ -53,3 +53,15 @@ def apply_thresholds(scores: DataFrame, auto: int = 8, total: int = 15, count: i
     band = F.when(s >= auto, 1).when(s.between(5, 7) & ((F.col("total") >= total) | (F.col("middle") >= count) | (F.col("high") > 0)), 2)
     band = band.when(s.between(1, 4) & ((F.col("total") >= nice_total) | (F.col("high") >= nice_high)), 3)
     return out.withColumn("band", band).filter("band is not null").select("doc_id", "category", "final_score", "band", "total")
+
+
+def reply_patterns(reply: Column) -> Column:
+    """A reviewer's `Pattern 3: NOT FOUND - why` lines as structs of pattern_no and found."""
+    lines = F.regexp_extract_all(reply, F.lit(r"Pattern \d{1,9}: (?:NOT FOUND|FOUND)"), F.lit(0))
+    return F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"(\d+)", 1).cast("int").alias("pattern_no"), (~F.contains(x, F.lit("NOT"))).alias("found")))
+
+
+def reply_intents(reply: Column) -> Column:
+    """A reviewer's `INTENT 2 ... Status: MISSING` parts as structs of intent_no and status; a status never comes from the next part."""
+    parts = F.regexp_extract_all(reply, F.lit(r"(?s)INTENT \d{1,9}(?:(?!INTENT \d).)*?Status: \w+"), F.lit(0))
+    return F.transform(parts, lambda x: F.struct(F.regexp_extract(x, r"INTENT (\d+)", 1).cast("int").alias("intent_no"), F.regexp_extract(x, r"Status: (\w+)\z", 1).alias("status")))

@@ -16,6 +16,11 @@ def findings(docs: DataFrame, library: list[tuple[str, str]] = LIBRARY_A, keep:
     return docs.select(*keep, F.explode(per).alias("p")).select(*keep, "p.pattern_no", "p.label", F.explode("p.all").alias("found"))
 
 
+def unguarded(found: DataFrame, stop_terms: list[str]) -> DataFrame:
+    """Findings whose match holds none of the terms, in any case."""
+    return found.filter(~reduce(lambda a, b: a | b, (F.contains(F.lower("found"), F.lit(s)) for s in stop_terms)))
+
+
 def pattern_count(text: Column, library: list[tuple[str, str]], flags: str = "(?i)") -> Column:
     return reduce(lambda a, b: a + b, (F.regexp_count(text, F.lit(flags + p)) for _, p in library)).cast("bigint")
 

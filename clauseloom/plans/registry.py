@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.functions.patterns import GARBAGE_MARKERS, LIBRARY_A, PLAIN
+from clauseloom.functions.patterns import GARBAGE_MARKERS, LIBRARY_A, LIBRARY_B0, LIBRARY_C, LIBRARY_T, PLAIN, STOP_TERMS_C
 from clauseloom.operators import diff, edits, review, route, rules, score, split, text, vault
 
 QUERIES: dict = {}
@@ -376,3 +376,51 @@ def phrase_matrix(spark, sf_dir):
 @query()
 def review_flags(spark, sf_dir):
     return review.review(split.char_chunks(docs_of(spark, sf_dir)))
+
+
+def lines_of(spark, sf_dir):
+    lines = docs_of(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "text"))
+    return lines.select("doc_id", (F.col("k") + 1).alias("para_no"), "text")
+
+
+LINES = "select doc_id, unnest(string_split(text, chr(10))) as para, unnest(range(1, len(string_split(text, chr(10))) + 1))::int as para_no from documents"
+OWN = "select doc_id, 1 as edit_seq, 1 as line_number, arg_max(para, para_no) as find from lines where para <> '' group by doc_id"
+
+
+@query(
+    f"with lines as ({LINES}), own as ({OWN}), ranked as (select doc_id, edit_seq, para_no, case when contains(para, substr(find, 1, 50)) and para_no = line_number then 0 "
+    "when contains(para, substr(find, 1, 50)) and abs(para_no - line_number) <= 3 then 1 when contains(para, substr(find, 1, 30)) then 2 end as rank from own join lines using (doc_id)) "
+    "select doc_id, edit_seq, para_no from ranked where rank is not null qualify row_number() over (partition by doc_id, edit_seq order by rank, para_no) = 1"
+)
+def nearest_paragraphs(spark, sf_dir):
+    lines = lines_of(spark, sf_dir)
+    last = lines.filter("text <> ''").groupBy("doc_id").agg(F.max_by("text", "para_no").alias("find"))
+    own = last.select("doc_id", F.lit(1).alias("edit_seq"), F.lit(1).alias("line_number"), "find")
+    return edits.nearest_paragraphs(own, lines).select("doc_id", "edit_seq", "para_no")
+
+
+@query(
+    f"with lines as ({LINES}), merged as (select doc_id, para_no::bigint * 2 as o, para_no as line_no, replace(para, 'the', 'THE') as text, para_no = 1 and contains(para, 'the') as modified from lines where para_no = 1 "
+    "union all select doc_id, para_no::bigint * 2, para_no, para, false from lines where para_no > 1 union all select distinct doc_id, 3, null::int, 'after', true from lines) "
+    "select doc_id, row_number() over (partition by doc_id order by o)::int as position, line_no, md5(text) as text_md5, modified from merged"
+)
+def line_edits(spark, sf_dir):
+    lines = lines_of(spark, sf_dir).withColumnRenamed("para_no", "line_no")
+    own = lines.filter("line_no = 1").select("doc_id", F.explode(F.expr("array(named_struct('seq', 1, 'change_type', 'replace_text_on_line', 'find', 'the', 'replace', 'THE', 'content', ''), named_struct('seq', 2, 'change_type', 'insert_after_line', 'find', '', 'replace', '', 'content', 'after'))")).alias("c"))
+    changes = own.select("doc_id", F.lit(1).alias("line_number"), "c.*")
+    return edits.apply_line_edits(lines, changes).withColumn("text_md5", F.md5(F.encode("text", "UTF-8"))).drop("text")
+
+
+@query()
+def redact_earlier_library(spark, sf_dir):
+    return docs_of(spark, sf_dir).select("doc_id", text.redacted(F.col("text"), LIBRARY_B0, "[LABEL]", "").alias("redacted"))
+
+
+@query()
+def redact_trial_library(spark, sf_dir):
+    return docs_of(spark, sf_dir).select("doc_id", text.redacted(F.col("text"), LIBRARY_T, "[LABEL]", "").alias("redacted"))
+
+
+@query()
+def guarded_findings(spark, sf_dir):
+    return text.unguarded(text.findings(docs_of(spark, sf_dir), LIBRARY_C, flags=""), STOP_TERMS_C)

@@ -52,3 +52,30 @@ def reply_json(reply: Column, schema: str) -> Column:
     bare = F.regexp_replace(F.regexp_replace(reply, r"(?s)^.*?```(?:json)?\s*", ""), r"(?s)```.*$", "")
     fixed = F.regexp_replace(F.regexp_replace(bare, r"[\t\r]", " "), r'("line_number":\s*)0+(\d)', "$1$2")
     return F.from_json(F.regexp_extract(fixed, r"(?s)([\[{].*[\]}])", 1), schema)
+
+
+def county_terms(spark: SparkSession, path: str) -> DataFrame:
+    """(term): what stands before the colon, lower case, distinct; the first line of the file is its header."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    return lines.filter((F.col("line_no") > 0) & F.col("line").contains(":")).select(F.lower(F.trim(F.split("line", ":")[0])).alias("term")).distinct()
+
+
+def section_lines(docs: DataFrame, marker: str) -> DataFrame:
+    """(doc_id, line_no, line): lines that are not blank from the second after the first line with the marker on."""
+    lines = F.split("text", "\r?\n")
+    at = F.array_position(F.transform(lines, lambda x: F.contains(x, F.lit(marker))), True)
+    rows = docs.select("doc_id", at.alias("at"), F.posexplode(lines).alias("k", "line")).filter((F.col("at") > 0) & (F.col("k") > F.col("at")))
+    return rows.filter(F.trim("line") != "").select("doc_id", (F.col("k") + 1).alias("line_no"), F.trim("line").alias("line"))
+
+
+def numbered_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, line) from lines tagged `LINE 012: text`; other lines are left out."""
+    tagged = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^LINE \d{1,9}: ?[^\n]*"), F.lit(0))).alias("l"))
+    return tagged.select("doc_id", F.regexp_extract("l", r"^LINE (\d+)", 1).cast("int").alias("line_no"), F.rtrim(F.regexp_extract("l", r"^LINE \d+: ?(.*)", 1)).alias("line"))
+
+
+def summary_terms(docs: DataFrame, label: str = "Non-whitelisted words:") -> DataFrame:
+    """(doc_id, term): the distinct, comma-separated terms after the label on each line that has it."""
+    line = docs.select("doc_id", F.explode(F.split("text", "\r?\n")).alias("line")).filter(F.col("line").contains(label))
+    terms = line.select("doc_id", F.explode(F.split(F.substring_index(F.substring_index("line", label, 2), label, -1), ",")).alias("term"))
+    return terms.select("doc_id", F.trim("term").alias("term")).filter("term <> ''").distinct()

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from clauseloom.functions.patterns import LIBRARY_A, PLAIN
+from clauseloom.functions.patterns import LIBRARY_A, LIBRARY_B0, LIBRARY_C, LIBRARY_T, PLAIN, STOP_TERMS_C
 from clauseloom.operators import edits, review, route, rules, score, split, text, vault
 from clauseloom.plans import registry
 from clauseloom.sources import readers
@@ -117,6 +117,56 @@ def test_readers(spark, tmp_path):
     assert one(spark, readers.reply_json(F.col("t"), "array<struct<line_number:int,a:string>>"), t=reply)[0].line_number == 7
 
 
+def test_term_and_line_readers(spark, tmp_path):
+    (tmp_path / "counties").write_text("Name: header\nEss County: x\nno colon\nEss County: y\nAlt Parish:z\n")
+    assert sorted(r.term for r in readers.county_terms(spark, str(tmp_path / "counties")).collect()) == ["alt parish", "ess county"]
+    docs = spark.createDataFrame([(1, "x\nMARK\n----\nfirst\n\nlast"), (2, "LINE 007: a b\nnone\nLINE 8: c"), (3, "Non-whitelisted words: A, b ,A\nz"), (4, None), (5, "")], "doc_id bigint, text string")
+    assert [(r.line_no, r.line) for r in readers.section_lines(docs, "MARK").orderBy("line_no").collect()] == [(4, "first"), (6, "last")]
+    assert [(r.line_no, r.line) for r in readers.numbered_lines(docs).orderBy("line_no").collect()] == [(7, "a b"), (8, "c")]
+    assert sorted(r.term for r in readers.summary_terms(docs).collect()) == ["A", "b"]
+
+
+def test_reply_statuses(spark):
+    assert [tuple(r) for r in one(spark, score.reply_patterns(F.col("t")), t="Pattern 1: FOUND - a\nPattern 12: NOT FOUND - b")] == [(1, True), (12, False)]
+    assert [tuple(r) for r in one(spark, score.reply_intents(F.col("t")), t="INTENT 1 x\nINTENT 2: y\nStatus: MISSING\nINTENT 3\nStatus: FULLY")] == [(2, "MISSING"), (3, "FULLY")]
+
+
+def test_search_ladder(spark):
+    def hit(t, p):
+        return one(spark, edits.laddered(F.col("t"), F.lit(p)), t=t)
+
+    assert hit("Any Text", "any text") == "Any Text" and hit("a b.c d", "b.c\t\td") == "b.c d"
+    assert hit("one\n  TWO (x) three", "one two (x)") == "one\n  TWO (x)" and hit("abc", "a.c") is None and hit("abc", "") is None
+
+    def flexible(t, p):
+        return one(spark, edits.flexible_hit(F.col("t"), F.lit(p)), t=t)
+
+    assert flexible("the receiving party shall not disclose", "[NAME_1] receiving party shall never") == "receiving party shall"
+    assert flexible("only disclosure here", "with that disclosure") == "disclosure" and flexible("none", "with that") is None
+
+
+def test_nearest_paragraphs(spark):
+    paras = spark.createDataFrame([(1, k, t) for k, t in enumerate(["x", "find me", "y", "find me", "z", "w", "v", "far off"], 1)], "doc_id bigint, para_no int, text string")
+    asked = spark.createDataFrame([(1, 1, 4, "find me"), (1, 2, 3, "find me"), (1, 3, 1, "far off"), (1, 4, 1, "absent"), (1, 5, 1, None), (1, 6, 1, "")], "doc_id bigint, edit_seq int, line_number int, find string")
+    assert [r.para_no for r in edits.nearest_paragraphs(asked, paras).orderBy("edit_seq").collect()] == [4, 2, 8, None, None, None]
+
+
+def test_line_edits(spark):
+    lines = spark.createDataFrame([(1, 1, "a a"), (1, 2, "b" * 50 + "!"), (1, 3, None)], "doc_id bigint, line_no int, text string")
+    rows = [(1, 1, "replace_text_on_line", 1, "a", "c", None), (1, 2, "replace_text_on_line", 2, "b" * 60, "whole", None), (1, 3, "insert_after_line", 1, None, None, "p"), (1, 4, "insert_after_line", 1, None, None, "q"), (1, 5, "insert_at_end", None, None, None, "e"), (1, 6, "insert_after_line", 9, None, None, "lost")]
+    changes = spark.createDataFrame(rows, "doc_id bigint, seq int, change_type string, line_number int, find string, replace string, content string")
+    out = edits.apply_line_edits(lines, changes).orderBy("position").collect()
+    assert [(r.line_no, r.text, r.modified) for r in out] == [(1, "c c", True), (None, "q", True), (None, "p", True), (2, "whole", True), (3, "", False), (None, "e", True)]
+
+
+def test_more_libraries(spark):
+    t = "Ann Lee, 12 Oak Street, Reno, NV 12345, of ACME TRADING LLC wrote on May 5, 2020 to a@b.co; This Party"
+    assert one(spark, text.redacted(F.col("t"), LIBRARY_B0, "[LABEL]", ""), t=t).startswith("[PERSON], [ADDRESS], of [COMPANY]")
+    found = text.unguarded(text.findings(spark.createDataFrame([(1, t)], "doc_id bigint, text string"), LIBRARY_C, flags=""), STOP_TERMS_C)
+    assert {"COMPANY", "ADDRESS", "DATE", "NAME"} == {r.label for r in found.collect()} and "This Party" not in {r.found for r in found.collect()}
+    assert "[EMAIL]" in one(spark, text.redacted(F.col("t"), LIBRARY_T, "[LABEL]", ""), t=t)
+
+
 def test_entry_module(spark):
     import __spark_entry__ as e
 
