@@ -79,7 +79,7 @@ def shingles(words: np.ndarray) -> np.ndarray:
 
 
 def labelled(sh: np.ndarray) -> np.ndarray:
-    """Shingles made different by the number of equal ones before them."""
+    """Shingles made different by the number of equal ones before them; each first one stays as it is."""
     order = np.argsort(sh, kind="stable")
     ranked = sh[order]
     new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
@@ -88,7 +88,7 @@ def labelled(sh: np.ndarray) -> np.ndarray:
     at = np.arange(len(sh))
     nth = at - np.maximum.accumulate(np.where(new, at, 0))
     out = np.empty_like(sh)
-    out[order] = mixed(ranked + nth.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    out[order] = np.where(nth == 0, ranked, mixed(ranked + nth.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
     return out
 
 

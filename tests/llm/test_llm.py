@@ -295,6 +295,20 @@ def test_op9_against_brute_force(spark, texts):
     assert got == brute_classes(list(texts.items())) and sum(a != b for a, b in got) > 50
 
 
+def test_op9_links_a_copy_that_repeats_a_line(spark):
+    once, twice = (np.array(x, dtype=np.uint64) for x in ([7, 8, 9], [7, 8, 7, 9]))
+    got = ordermin.labelled(twice)
+    assert set(ordermin.labelled(once).tolist()) <= set(got.tolist()) and len(set(got.tolist())) == 4
+    for n in (20, 60, 600):
+        words = [f"w{n}x{k}" for k in range(n)]
+        line = words[3 : 8 + n // 60]
+        rows = [(1, " ".join(words)), (2, " ".join([*words, *line]))]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        similarity = 0.7 if n == 20 else 0.8
+        assert ordermin.similar(*(ordermin.word_array(t) for _, t in rows), similarity)
+        assert {r.class_id for r in ordermin.near_classes(df, similarity).collect()} == {1}
+
+
 def test_op9_edges(spark):
     r = random.Random(8)
     base = [f"word{r.randrange(5000)}" for _ in range(300)]
