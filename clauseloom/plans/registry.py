@@ -69,6 +69,18 @@ def redaction_followup(spark, sf_dir):
     return docs_of(spark, sf_dir).select("doc_id", text.followed_up(head).alias("r"))
 
 
+FOLLOWED = f"regexp_replace({nested(PLAIN, '[REDACT]')}, '(?i)\\[REDACT\\] (Title|Insurance|Company)', '[REDACT] [REDACT]', 'g')"
+
+
+def digest(docs: DataFrame, r) -> DataFrame:
+    return docs.select("doc_id", r.alias("r")).select("doc_id", F.sha2(F.encode("r", "UTF-8"), 256).alias("redacted_sha"), F.length("r").cast("bigint").alias("n"))
+
+
+@query(f"select doc_id, sha256({FOLLOWED}) as redacted_sha, length({FOLLOWED})::bigint as n from documents")
+def redaction_followup_whole(spark, sf_dir):
+    return digest(docs_of(spark, sf_dir), text.followed_up(text.redacted(F.col("text"), PLAIN, "[REDACT]")))
+
+
 TOKENS = f"tokens as (select doc_id, unnest({WORDS}) as word from documents)"
 ALLOW = "allow as (select lower(word) as term from tokens group by 1 having count(distinct doc_id) >= 5)"
 

@@ -1,5 +1,7 @@
 """The library's queries against their SQL, and operators on literal fixtures."""
 
+import hashlib
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -167,6 +169,13 @@ def test_more_libraries(spark):
     assert "[EMAIL]" in one(spark, text.redacted(F.col("t"), LIBRARY_T, "[LABEL]", ""), t=t)
 
 
+def test_followup_over_the_whole_text(spark, tmp_path):
+    t = "x" * 400 + " 123-45-6789 title of 123-45-6789 Company and 123-45-6789 name"
+    spark.createDataFrame([(1, "s", t)], "doc_id bigint, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = "x" * 400 + " [REDACT] [REDACT] of [REDACT] [REDACT] and [REDACT] name"
+    assert [tuple(r) for r in registry.redaction_followup_whole(spark, str(tmp_path)).select("redacted_sha", "n").collect()] == [(hashlib.sha256(want.encode()).hexdigest(), len(want))]
+
+
 def test_entry_module(spark):
     import __spark_entry__ as e
 
