@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clauseloom.operators import split, text
+
 
 def new_terms(page_words: DataFrame) -> DataFrame:
     """page_words (doc_id, page, word) -> by page: distinct new_terms and repeated_terms; a term's first page in a document is where it is new."""
@@ -41,3 +43,12 @@ def route_within(page_words: DataFrame) -> DataFrame:
 def route_statistics(routed: DataFrame) -> DataFrame:
     total = F.count("*")
     return routed.agg(total.alias("pages"), F.count_if("to_review").alias("review_pages"), F.round(100.0 * F.count_if("to_review") / total, 4).alias("review_percent"))
+
+
+def select_pii_pages(docs: DataFrame, allow: DataFrame, library: list[tuple[str, str]], size: int = 500, least: int = 3) -> DataFrame:
+    """split.select_pages, flagged by any pattern or by `least` distinct words off the allow-list (term)."""
+    pages = split.word_chunks(docs, size).withColumn("page", F.struct(F.coalesce("doc_id", F.lit(-1)), "chunk_order", F.xxhash64("content")))
+    words = text.not_allowed(pages.select("page", F.explode(F.array_distinct(text.words(F.col("content")))).alias("word")), allow)
+    many = words.groupBy("page").agg(F.count_distinct("word").alias("words")).filter(F.col("words") >= least)
+    both = pages.join(many, "page", "left")
+    return split.select_pages(both, text.any_pattern(F.col("content"), library) | F.col("words").isNotNull()).drop("page", "words")

@@ -30,6 +30,10 @@ def redacted(text: Column, library: list[tuple[str, str]], marker: str = "[REDAC
     return reduce(lambda t, p: F.regexp_replace(t, flags + p[1], f"[{p[0]}]" if marker == "[LABEL]" else marker), library, text)
 
 
+def any_pattern(text: Column, library: list[tuple[str, str]], flags: str = "(?i)") -> Column:
+    return reduce(lambda a, b: a | b, (text.rlike(flags + p) for _, p in library))
+
+
 def followed_up(text: Column) -> Column:
     """A marker's title, insurer or company word goes too."""
     return F.regexp_replace(text, r"(?i)\[REDACT\] (Title|Insurance|Company)", "[REDACT] [REDACT]")

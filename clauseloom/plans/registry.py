@@ -51,6 +51,12 @@ def pattern_findings_full_library(spark, sf_dir):
     return text.findings(docs_of(spark, sf_dir), LIBRARY_A)
 
 
+@query()
+def pattern_counts_full_library(spark, sf_dir):
+    found = text.findings(docs_of(spark, sf_dir), LIBRARY_A, ("source",))
+    return found.groupBy("source", "pattern_no", "label").agg(F.count("*").alias("n"))
+
+
 def nested(library, marker="[REDACTED]", what="text"):
     for _, p in library:
         what = f"regexp_replace({what}, '(?i){q(p)}', '{marker}', 'g')"
@@ -81,6 +87,11 @@ def redaction_followup_whole(spark, sf_dir):
     return digest(docs_of(spark, sf_dir), text.followed_up(text.redacted(F.col("text"), PLAIN, "[REDACT]")))
 
 
+@query()
+def sequential_redaction_full_library(spark, sf_dir):
+    return digest(docs_of(spark, sf_dir), text.redacted(F.col("text"), LIBRARY_A))
+
+
 TOKENS = f"tokens as (select doc_id, unnest({WORDS}) as word from documents)"
 ALLOW = "allow as (select lower(word) as term from tokens group by 1 having count(distinct doc_id) >= 5)"
 
@@ -160,6 +171,13 @@ def pii_page_selection(spark, sf_dir):
     return split.select_pages(split.word_chunks(docs_of(spark, sf_dir), 500), flagged).select("doc_id", "chunk_order", "flagged")
 
 
+@query()
+def pii_page_selection_full(spark, sf_dir):
+    """Pages with a match of any pattern of the whole library, or three distinct words off the allow-list."""
+    docs = docs_of(spark, sf_dir)
+    return route.select_pii_pages(docs, allow_list(text.tokens(docs)), LIBRARY_A).select("doc_id", "chunk_order", "flagged")
+
+
 RISK = "(select doc_id, len(ps) as n, unnest(ps) as raw, unnest(range(0, len(ps))) as i from (select doc_id, regexp_split_to_array(text, '[.!?]+') as ps from documents))"
 
 

@@ -1,6 +1,7 @@
 """The library's queries against their SQL, and operators on literal fixtures."""
 
 import hashlib
+import re
 
 import duckdb
 import pytest
@@ -176,6 +177,24 @@ def test_followup_over_the_whole_text(spark, tmp_path):
     assert [tuple(r) for r in registry.redaction_followup_whole(spark, str(tmp_path)).select("redacted_sha", "n").collect()] == [(hashlib.sha256(want.encode()).hexdigest(), len(want))]
 
 
+def test_full_library_in_queries(spark, tmp_path):
+    lead = " ".join(["plain"] * 500)
+    flagged = ["Dr. Smith", "Reno, NV 12345", "Routing # 123456789", "Alpha Beta Gamma", "Alpha Beta Beta", "plain"]
+    docs = [(k, "s", f"{lead} {x} {' '.join(['plain'] * (500 - len(x.split())))} plain") for k, x in enumerate(flagged)]
+    spark.createDataFrame([*docs, (8, "s", "plain"), (9, "s", "plain")], "doc_id bigint, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.chunk_order): r.flagged for r in registry.pii_page_selection_full(spark, str(tmp_path)).collect()}
+    assert {d for (d, c), f in got.items() if c == 2 and f} == {0, 1, 2, 3}
+    assert all((k, 1) in got and (k, 3) in got for k in range(6)) and (4, 2) not in got and (5, 2) not in got
+    assert {"TITLE_NAME", "CITY_STATE_ZIP", "ROUTING"} <= {r.label for r in registry.pattern_counts_full_library(spark, str(tmp_path)).collect()}
+    want = {}
+    for i, _, t in docs:
+        for _, p in LIBRARY_A:
+            t = re.sub(p, "[REDACTED]", t, flags=re.IGNORECASE | re.ASCII)
+        want[i] = hashlib.sha256(t.encode()).hexdigest()
+    out = {r.doc_id: r.redacted_sha for r in registry.sequential_redaction_full_library(spark, str(tmp_path)).collect()}
+    assert {i: out[i] for i in want} == want and out[0] != hashlib.sha256(docs[0][2].encode()).hexdigest()
+
+
 def test_entry_module(spark):
     import __spark_entry__ as e
 
