@@ -66,14 +66,44 @@ def html_to_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(joined, "<[^>]+>", " "), "&[a-zA-Z0-9#]+;", " "), r"\s+", " ")
 
 
+#: Lines that begin a binary part: the first as written, the others in any case.
+BINARY = "Content-Transfer-Encoding: base64"
+BINARY_MARKERS = ("content-type: image", "content-type: application", "content-type: font", "webkit-", "chrome-extension")
+
+
+def text_parts(mhtml: Column) -> Column:
+    """A saved page without its binary parts, as mime_lines does it: of each part, the lines before its first marker."""
+    parts = F.split(F.concat(mhtml, F.lit("\n")), rf"(?md)^------(?![^\n]*{BINARY})[^\n]*Boundary[^\n]*\n")
+
+    def kept(part: Column) -> Column:
+        lines = F.split(part, r"(?<=\n)")
+        marked = F.transform(lines, lambda x: x.contains(BINARY) | reduce(lambda a, b: a | b, (F.lower(x).contains(m) for m in BINARY_MARKERS)))
+        first = F.array_position(marked, True).cast("int")
+        return F.when(first > 0, F.slice(lines, F.lit(1), F.greatest(first - 1, F.lit(0)))).otherwise(lines)
+
+    return F.regexp_replace(F.array_join(F.flatten(F.transform(parts, kept)), ""), r"\n\z", "")
+
+
+def unquoted(text: Column) -> Column:
+    """Quoted-printable soft breaks joined, then each `=HH` (upper case) as the Latin-1 sign."""
+    pieces = F.split(F.regexp_replace(text, "=\r?\n", ""), "(?==[0-9A-F]{2})")
+    sign = lambda x: F.concat(F.decode(F.unhex(F.substring(x, 2, 2)), "ISO-8859-1"), F.substr(x, F.lit(4)))
+    return F.array_join(F.transform(pieces, lambda x: F.when(x.rlike("^=[0-9A-F]{2}"), sign(x)).otherwise(x)), "")
+
+
+def mhtml_to_text(mhtml: Column) -> Column:
+    """Binary parts dropped, quoted-printable decoded, tags and entities to spaces, white space of any kind squeezed."""
+    bare = F.regexp_replace(F.regexp_replace(unquoted(text_parts(mhtml)), "<[^>]+>", " "), "&[a-zA-Z0-9#]+;", " ")
+    return F.regexp_replace(bare, r"(?U)[\s\x1C-\x1F]+", " ")
+
+
 def mime_lines(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     """lines (key, line_no, line) without binary MIME parts: a running state by window, from events on marker lines."""
     from pyspark.sql import Window
 
     low, line = F.lower("line"), F.col("line")
-    event = F.when(line.contains("Content-Transfer-Encoding: base64"), "skip").when(line.startswith("------") & line.contains("Boundary"), "keep")
-    markers = ("content-type: image", "content-type: application", "content-type: font", "webkit-", "chrome-extension")
-    event = event.when(reduce(lambda a, b: a | b, (low.contains(m) for m in markers)), "skip")
+    event = F.when(line.contains(BINARY), "skip").when(line.startswith("------") & line.contains("Boundary"), "keep")
+    event = event.when(reduce(lambda a, b: a | b, (low.contains(m) for m in BINARY_MARKERS)), "skip")
     w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     return lines.withColumn("event", event).withColumn("state", F.last("event", ignorenulls=True).over(w)).filter(F.col("event").isNull() & (F.coalesce("state", F.lit("keep")) != "skip")).drop("event", "state")
 

@@ -286,6 +286,25 @@ def mime_part_skip(spark, sf_dir):
     return text.mime_lines(spark.createDataFrame(MIME, "doc_id bigint, line_no int, line string")).select("doc_id", "line_no", "line")
 
 
+@query()
+def mhtml_to_text(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", text.mhtml_to_text(F.col("html")).alias("t"))
+    return pages.select("page_id", F.md5(F.encode("t", "UTF-8")).alias("text_md5"), F.length("t").cast("bigint").alias("n"))
+
+
+PAGE_LINES = "ls as (select page_id, unnest(string_split(html, chr(10))) as line, unnest(range(1, len(string_split(html, chr(10))) + 1))::int as line_no from pages)"
+BINARY_LINE = " or ".join(f"contains(lower(line), '{m}')" for m in text.BINARY_MARKERS)
+
+
+@query(
+    f"with {PAGE_LINES}, e as (select *, case when contains(line, '{text.BINARY}') then 'skip' when starts_with(line, '------') and contains(line, 'Boundary') then 'keep' when {BINARY_LINE} then 'skip' end as event from ls), "
+    "s as (select *, last_value(event ignore nulls) over (partition by page_id order by line_no rows between unbounded preceding and current row) as state from e) select page_id, line_no, md5(line) as line_md5 from s where event is null and coalesce(state, 'keep') <> 'skip'"
+)
+def mime_part_skip_pages(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.posexplode(F.split("html", "\n")).alias("k", "line")).withColumn("line_no", F.col("k") + 1)
+    return text.mime_lines(lines, "page_id").select("page_id", "line_no", F.md5(F.encode("line", "UTF-8")).alias("line_md5"))
+
+
 # Facts for scoring: the reference data has no analyses, so they follow from document ids by arithmetic.
 FACTS = """select doc_id,
  list_slice(['public','prior_possession','independent_dev'], 1, (doc_id % 4)::int) as concepts_found, list_slice(['affiliates','Directors','officers','employees','members','partners','investors','agents','attorneys','accountants','brokers','consultants','advisors'], 1, (doc_id % 14)::int) as roles_found,

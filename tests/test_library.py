@@ -1,6 +1,7 @@
 """The library's queries against their SQL, and operators on literal fixtures."""
 
 import hashlib
+import random
 import re
 
 import duckdb
@@ -195,6 +196,32 @@ def test_full_library_in_queries(spark, tmp_path):
     assert {i: out[i] for i in want} == want and out[0] != hashlib.sha256(docs[0][2].encode()).hexdigest()
 
 
+def plain_mhtml(content):
+    """The reference's rules, line by line."""
+    kept, skip = [], False
+    for line in content.split("\n"):
+        if text.BINARY in line:
+            skip = True
+        elif line.startswith("------") and "Boundary" in line:
+            skip = False
+        elif not skip:
+            skip = any(m in line.lower() for m in text.BINARY_MARKERS)
+            if not skip:
+                kept.append(line)
+    parts = "\n".join(kept)
+    t = re.sub("=([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), re.sub("=\r?\n", "", parts))
+    return parts, re.sub(r"\s+", " ", re.sub("&[a-zA-Z0-9#]+;", " ", re.sub("<[^>]+>", " ", t)))
+
+
+def test_saved_pages(spark):
+    lines = ["keep =3D=93=e9 <b>x</b>&amp;y", "Content-Transfer-Encoding: base64", "AAAA", "------MultipartBoundary--x", "------Boundary " + text.BINARY, "content-type: IMAGE/png", "soft=", "=A0=1Cb=0", "a=3D3D", "", "------other", "WebKit-x"]
+    rng = random.Random(5)
+    made = ["", "\n", "a=\n", "=3D", "\n".join(lines), *("\n".join(rng.choices(lines, k=rng.randint(1, 14))) for _ in range(300))]
+    df = spark.createDataFrame(list(enumerate(made)), "k int, t string")
+    got = {r.k: (r.parts, r.out) for r in df.select("k", text.text_parts(F.col("t")).alias("parts"), text.mhtml_to_text(F.col("t")).alias("out")).collect()}
+    assert got == {k: plain_mhtml(t) for k, t in enumerate(made)}
+
+
 def test_entry_module(spark):
     import __spark_entry__ as e
 
