@@ -311,7 +311,7 @@ def store_texts(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
 
 def read_media(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes"), media_column: str = "media") -> DataFrame:
-    """The kept columns, media, and of all images together: n_images, width, height (of the first), thumbnail (bytes), thumb_hash (hex).
+    """The kept columns, media, and of all images together: n_images, width, height (of the first), thumbnail (bytes), thumb_hash (hex), and sizes (each image's width x height).
 
     A null or empty medium has no image, and null width, height and hash.
     """
@@ -326,10 +326,11 @@ def read_media(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes"), med
                 pa.array([f[0][1] if f else None for f in found], pa.int32()),
                 pa.array([b"".join(t.tobytes() for *_, t in f) for f in found], pa.binary()),
                 pa.array(["".join(f"{average_hash(t):016x}" for *_, t in f) if f else None for f in found], pa.string()),
+                pa.array(["+".join(f"{w}x{h}" for w, h, _ in f) if f else None for f in found], pa.string()),
             ]
-            return pa.RecordBatch.from_arrays([*(column(batch, k) for k in (*keep, media_column)), *columns], names=[*keep, media_column, "n_images", "width", "height", "thumbnail", "thumb_hash"])
+            return pa.RecordBatch.from_arrays([*(column(batch, k) for k in (*keep, media_column)), *columns], names=[*keep, media_column, "n_images", "width", "height", "thumbnail", "thumb_hash", "sizes"])
 
         return work
 
     head = ", ".join(f"`{k}` {kinds[k]}" for k in (*keep, media_column))
-    return map_slices(df.select(*keep, media_column), kernel, f"{head}, n_images int, width int, height int, thumbnail binary, thumb_hash string", media_column)
+    return map_slices(df.select(*keep, media_column), kernel, f"{head}, n_images int, width int, height int, thumbnail binary, thumb_hash string, sizes string", media_column)

@@ -57,7 +57,7 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.octet_length("thumbnail")
     return read.select(
         "doc_id", "n_bytes", size.cast("bigint").alias("payload_bytes"), F.sha2("thumbnail", 256).alias("payload_sha256"), F.crc32(F.substr(F.col("thumbnail"), size - 31, F.lit(32))).alias("tail_crc32"),
-        F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.concat_ws(":", F.format_string("%dx%dx%d", "n_images", "width", "height"), F.substring("thumb_hash", 1, 16)).alias("feature"),
+        F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.concat_ws(":", F.format_string("%dx%s", "n_images", "sizes"), "thumb_hash").alias("feature"),
     )
 
 

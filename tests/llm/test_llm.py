@@ -161,6 +161,15 @@ def test_op6_round_trip(spark, texts):
         assert (rows[i].payload_sha256, rows[i].payload_bytes, rows[i].tail_crc32) == (hashlib.sha256(p).hexdigest(), len(p), zlib.crc32(p[-32:]))
 
 
+def test_op6_feature_is_of_all_images(spark, tmp_path):
+    same = "ab" * (jpeg.COLUMNS * jpeg.MOST_ROWS // 2)
+    rows = [(1, same + "x" * 600 + "~" * 552), (2, same + "~" * 552 + "x" * 600), (3, same + "x" * 1200), (4, "short")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.feature for r in queries.op6_media(spark, str(tmp_path)).collect()}
+    assert len(set(got.values())) == 4 and got[1].startswith("2x192x65280+192x384:") and len(got[1].split(":")[1]) == 32
+    assert got[4].startswith("1x192x192:") and len(got[4].split(":")[1]) == 16
+
+
 def test_op6_reads_colour_without_restarts():
     """A 4:2:0 image made here with AC coefficients: 3 components, two MCUs."""
     dc, ac = jpeg.codes(jpeg.DC_LENGTHS, jpeg.DC_SYMBOLS), jpeg.codes((0, 2, 1, *[0] * 13), (0, 0x01, 0xF0))
