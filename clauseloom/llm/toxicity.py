@@ -203,28 +203,43 @@ class ToxicityModel:
         np.maximum.at(out, text_of[at], margins + self.bias)
         return np.clip(out, -3, 3)
 
+    def bag_margins(self, bags: list) -> np.ndarray:
+        """The margins of texts with these words."""
+        every = sorted(set().union(*bags))
+        place = {w: i for i, w in enumerate(every)}
+        _, margins = word_margins(self.table, np.frombuffer(b"".join(every), np.uint8).astype(np.uint32), np.repeat(np.arange(len(every)), [len(w) for w in every]))
+        return np.clip([max((margins[place[w]] + self.bias for w in b), default=NO_EVIDENCE) for b in bags], -3, 3).clip(NO_EVIDENCE)
+
     def score(self, texts: list[str]) -> np.ndarray:
         if not self.landmarks or not texts:
             return np.zeros(len(texts))
         return 1 / (1 + np.exp(-(self.slope * self.margins(texts) + self.offset)))
 
 
-def fit(texts: list[str], toxic: list[int], weight: list[float], most_landmarks: int = 80, strongest: int = 6, rounds: int = 4) -> ToxicityModel:
-    empty = ToxicityModel(np.zeros(1 << 18, np.float32), 0.0, 1.0, 0.0, [])
-    once = {x: i for i, x in reversed(list(enumerate(texts)))}
-    texts, toxic, weight = ([x[i] for i in sorted(once.values())] for x in (texts, toxic, weight))
-    y = np.array(toxic)
-    if not (y == 1).any() or not (y == 0).any():
-        return empty
+def bags_of(texts: list[str]) -> list[set[bytes]]:
+    """Each text's distinct words."""
     letters, word, text_of = words_of(texts)
     at = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(letters) else np.zeros(0, np.int64)
     raw = letters.astype(np.uint8).tobytes()
     bags: list[set[bytes]] = [set() for _ in texts]
     for a, b, t in zip(at.tolist(), [*at[1:].tolist(), len(raw)], text_of[word[at]].tolist() if len(at) else [], strict=True):
-        if 3 <= b - a <= 40:
-            bags[t].add(raw[a:b])
-    docs = [sorted(b) for b in bags]
-    del bags, raw, letters, word, at
+        bags[t].add(raw[a:b])
+    return bags
+
+
+def fit(texts: list[str], toxic: list[int], weight: list[float], most_landmarks: int = 96, strongest: int = 8, rounds: int = 4) -> ToxicityModel:
+    once = {x: i for i, x in reversed(list(enumerate(texts)))}
+    texts, toxic, weight = ([x[i] for i in sorted(once.values())] for x in (texts, toxic, weight))
+    return fit_bags(bags_of(texts), toxic, weight, most_landmarks, strongest, rounds)
+
+
+def fit_bags(bags: list, toxic: list[int], weight: list[float], most_landmarks: int = 96, strongest: int = 8, rounds: int = 4) -> ToxicityModel:
+    """As fit, from each distinct text's distinct words."""
+    empty = ToxicityModel(np.zeros(1 << 18, np.float32), 0.0, 1.0, 0.0, [])
+    y = np.array(toxic)
+    if not (y == 1).any() or not (y == 0).any():
+        return empty
+    docs = [sorted(w for w in b if 3 <= len(w) <= 40) for b in bags]
     marks = choose_landmarks([d for d, k in zip(docs, toxic, strict=True) if k], [d for d, k in zip(docs, toxic, strict=True) if not k], most_landmarks)
     if not marks:
         return empty
@@ -243,7 +258,7 @@ def fit(texts: list[str], toxic: list[int], weight: list[float], most_landmarks:
     chosen = sorted(set().union(*map(set, tops)))
     row = {w: i for i, w in enumerate(chosen)}
     # Strongest words of toxic texts also train with a letter put in at each place.
-    bad_words = sorted({w for t, k in zip(tops, toxic, strict=True) if k for w in t[:2]})
+    bad_words = sorted({w for t, k in zip(tops, toxic, strict=True) if k for w in t})
     put_in = {w: [w[:i] + bytes([1 + (7 * i + w[0]) % 26]) + w[i:] for i in range(1, len(w))] for w in bad_words}
     start, all_words = {}, list(chosen)
     for w in bad_words:
@@ -258,7 +273,7 @@ def fit(texts: list[str], toxic: list[int], weight: list[float], most_landmarks:
     margin = kernel.max(axis=1)
     for _ in range(rounds):
         best = np.array([max(rows, key=lambda r: margin[r]) for rows in bad], dtype=np.int64)
-        more = np.array([v for b in sorted(set(best.tolist())) for v in start.get(b, ())], dtype=np.int64)
+        more = np.array([v for b in sorted(set(best.tolist())) for v in start[b]], dtype=np.int64)
         sizes = [len(best), len(more), len(good)]
         w, bias = linear_machine(np.vstack((x[best], x[more], x[good])), np.repeat([1.0, 1.0, -1.0], sizes), np.repeat([1 / max(1, n) * k for n, k in zip(sizes, (1, 1, 2), strict=True)], sizes))
         margin = x @ w + bias
@@ -267,24 +282,41 @@ def fit(texts: list[str], toxic: list[int], weight: list[float], most_landmarks:
         for u, k in part:
             np.add.at(table, u, np.float32(k * b))
     model = ToxicityModel(table, bias, 1.0, 0.0, marks)
-    model.slope, model.offset = logistic(model.margins(texts), y.astype(float), np.array(weight))
+    model.slope, model.offset = logistic(model.bag_margins(bags), y.astype(float), np.array(weight))
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 500, max_clean: int = 1500, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, max_clean: int = 3000, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> ToxicityModel:
     """Fits on the texts of about max_toxic and max_clean labelled ids at most (all, if fewer), chosen by a hash of the id.
 
-    labels has one row for each id. The sample, whose size these parameters bound, is broadcast to find its texts, which
-    go to the driver.
+    labels has one row for each id. The sample, whose size these parameters bound, is broadcast to find its texts, of which
+    only the distinct words go to the driver.
     """
+    kind = dict(docs.dtypes)[id_column]
     rows = labels.filter(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()).select(id_column, F.col(label_column).cast("int").alias("y"))
     n = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
     share = {k: min(1.0, most / max(1, n.get(k, 0))) for k, most in ((0, max_clean), (1, max_toxic))}
     cut = F.when(F.col("y") == 1, F.lit(int(share[1] * (1 << 30)))).otherwise(F.lit(int(share[0] * (1 << 30))))
     chosen = rows.filter(F.pmod(F.xxhash64(id_column), F.lit(1 << 30)) < cut)
-    texts = docs.select(id_column, text_column).filter(F.col(text_column).isNotNull()).join(F.broadcast(chosen), id_column).select(id_column, text_column, "y")
-    sample = sorted(((r[0], r[1], r[2]) for r in texts.collect()), key=lambda r: (str(r[0]), r[1], r[2]))
-    return fit([r[1] for r in sample], [r[2] for r in sample], [1 / share[r[2]] for r in sample])
+    texts = docs.select(id_column, text_column).filter(F.col(text_column).isNotNull()).join(F.broadcast(chosen), id_column).select(id_column, text_column, "y", F.md5(F.encode(text_column, "UTF-8")).alias("digest"))
+
+    def kernel():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            # No letter's symbol is BREAK.
+            words = [bytes((BREAK,)).join(sorted(b)) for b in bags_of(texts_of(batch, text_column))]
+            return pa.RecordBatch.from_arrays([column(batch, id_column), column(batch, "digest"), column(batch, "y"), pa.array(words, pa.binary())], names=[id_column, "digest", "y", "words"])
+
+        return work
+
+    found = map_slices(texts, kernel, f"`{id_column}` {kind}, digest string, y int, words binary", text_column)
+    known: dict[bytes, bytes] = {}
+    bags, toxic, seen = [], [], set()
+    for _, digest, y, words in sorted(found.collect(), key=lambda r: (str(r[0]), r[1], r[2])):
+        if digest not in seen:
+            seen.add(digest)
+            bags.append([known.setdefault(w, w) for w in bytes(words).split(bytes((BREAK,))) if w])
+            toxic.append(y)
+    return fit_bags(bags, toxic, [1 / share[k] for k in toxic])
 
 
 def score(df: DataFrame, model: ToxicityModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

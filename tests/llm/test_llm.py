@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import inspect
 import itertools
 import math
 import random
@@ -103,6 +104,19 @@ def test_op3_on_a_made_corpus():
     assert (toxicity.fit(docs[:3], [0, 0, 0], [1.0] * 3).score(docs[:2]) == 0).all()
 
 
+def test_op3_trains_on_words_as_on_texts(spark):
+    rng = random.Random(4)
+    usual = ["".join(rng.choices("abcdefghijklmnoprstuv", k=rng.randint(1, 9))) for _ in range(400)]
+    rows = [(k, " ".join(rng.choices(usual, k=60)) + (" zwxqhud" if k % 6 == 0 else ""), int(k % 6 == 0)) for k in range(300)] + [(300, "", 0), (301, "y" * 60, 0)]
+    rows.append((302, rows[0][1], 1))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    got, want = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic")), toxicity.fit([r[1] for r in rows], [r[2] for r in rows], [1.0] * len(rows))
+    assert got.landmarks and np.allclose(got.score([r[1] for r in rows]), want.score([r[1] for r in rows]), atol=1e-3)
+    assert np.allclose(want.bag_margins(toxicity.bags_of([r[1] for r in rows])), want.margins([r[1] for r in rows]), atol=1e-4)
+    known = inspect.signature(toxicity.train).parameters, inspect.signature(toxicity.fit_bags).parameters
+    assert (known[0]["max_toxic"].default, known[0]["max_clean"].default, known[1]["most_landmarks"].default, known[1]["strongest"].default) == (1000, 3000, 96, 8)
+
+
 def test_kernel_is_the_subsequence_sum():
     def plain(s, t):
         def f(w):
