@@ -2,20 +2,22 @@
 
 Texts become lower-case words without punctuation, and these their five-word shingles, each labelled
 with its occurrence. A sketch holds the `held` smallest labelled shingles under one hash function, in
-text order, so it agrees for texts that share both shingles and their order. Texts with equal words
-are one node. Nodes with a sketch in common are candidates; a pair is linked if a banded alignment of
-their shingles matches m of them with m / (a + b - m) >= similarity. (Matches off the band could not
-reach that.) Classes are the links' connected components.
-
-No group is expanded into all its pairs: each bucket first checks its members against one leader, the
-node that meets most others; then only pairs of members that are still in different classes are checked, so a link is lost
-only if no sketch of its two nodes agrees (below 1 in 10,000 at 0.8, less above). Before alignment, pairs are
-left out, inside the join, that differ too much in length, in more of 256 one-bit minima than linked pairs
-can (short texts) or do (7 deviations, long ones), or share too few of their smallest shingle hashes (an
-exact count for texts of up to 256 shingles, 4 deviations for longer ones).
-
-Null texts and texts without a word are classes of their own. Rows that repeat an id and text share
-their class. The class id is its smallest doc_id, nulls last.
+text order, so it agrees for texts that share both shingles and their order. Texts with equal words (a
+128-bit hash) are one node. Nodes with a sketch in common are candidates; a pair is linked if a banded
+alignment of their shingles matches m of them with m / (a + b - m) >= similarity. (Matches off the band
+could not reach that.) Classes are the links' connected components.
+
+No bucket is expanded into all its pairs: each first checks its members against one leader, the node that
+meets most others. In buckets that still hold several classes, only the members outside the largest class
+are compared with the others of other classes, block against block, so a task's share is bounded whatever
+the bucket's size and a link is lost only if no sketch of its two nodes agrees (below 1 in 10,000 at 0.8,
+less above). Before alignment, pairs are left out that differ too much in length (exact) or in more of 256
+one-bit minima than linked pairs can (short texts) or do (MOST_DIFFERENT, five deviations, long ones;
+256 leaves this step out). In alignments a block's common text travels once, not once for each pair.
+
+Null texts and texts without a word (also empty ones) are classes of their own. Rows that repeat an id and
+text share their class. The class id is its smallest id, nulls last; ids of any type that sorts. Very long
+texts are sketched whole. An empty table gives an empty result. Other columns are neither read nor carried.
 """
 
 from __future__ import annotations
@@ -26,24 +28,22 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import column, discard, map_slices, mixed, stored, texts_of
-from clauseloom.llm.substring import row_id
+from clauseloom.llm.common import column, discard, map_slices, mixed, slices, stored, texts_of
+from clauseloom.llm.substring import row_ids
 
 SHINGLE = 5
 SKETCHES = 24
 #: Shingles in a sketch; texts of up to SHORT shingles have sketches of FEW too, those under LONG only these.
 HELD, FEW, LONG, SHORT = 5, 2, 24, 40
-#: How many of a text's smallest shingle hashes are kept to count shared ones; all of them, up to this number.
-LOW = 256
+#: Distinct words whose hashes a worker keeps.
 MOST_WORDS = 150_000
-#: The most of 256 one-bit minima that linked texts differ in.
-MOST_DIFFERENT = 60
-
-#: The most rows that are broadcast; their number is counted first.
-MOST_BROADCAST = 1_000_000
+#: The most of 256 one-bit minima that linked texts differ in: at 0.8, 26 are expected, with a deviation of 4.8.
+MOST_DIFFERENT = 50
+#: Members of a bucket that are compared at once, and texts that one text is aligned with at once.
+BLOCK, ALIGNED = 256, 64
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 
@@ -127,22 +127,26 @@ def sketches(sh: np.ndarray, held: int) -> np.ndarray:
     return out
 
 
-def one_bit_minima(sh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One bit of the least value in each of 256 bins, as four integers; and the LOW least values' lower halves."""
+def one_bit_minima(sh: np.ndarray) -> np.ndarray:
+    """One bit of the least value in each of 256 bins, as four integers."""
     values = np.sort(mixed(sh ^ np.uint64(0x5851F42D4C957F2D)))
     bins = values >> np.uint64(56)
     first = np.concatenate(([True], bins[1:] != bins[:-1]))
     bits = np.zeros(256, dtype=np.uint8)
     bits[bins[first].astype(np.int64)] = (values[first] & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits).view(np.int64), (values[:LOW] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+    return np.packbits(bits).view(np.int64)
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether a banded alignment of two word arrays' shingles matches enough of them.
+    """Whether two word arrays align, by their shingles."""
+    return aligned(shingles(a), shingles(b), similarity)
+
+
+def aligned(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether a banded alignment of two texts' shingles matches enough of them.
 
     Row by row over one text's shingles, all columns of the band at once as the bits of an integer.
     """
-    x, y = shingles(a), shingles(b)
     total = len(x) + len(y)
     apart = int(total * (1 - similarity) / (1 + similarity) + 1e-9)  # the most shingles left unmatched
     if abs(len(x) - len(y)) > apart:
@@ -170,144 +174,231 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return len(x) + len(y) - 2 * matched <= apart
 
 
-def counted(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it has at most MOST_BROADCAST rows (of a few integers each); else it is joined by shuffle."""
-    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
-
-
 def marks_of(docs: DataFrame) -> DataFrame:
-    """Each row's node (a hash of its words; null without words), number of shingles, minima and sketches. docs: rid, doc, text."""
+    """Each row's ids, its words' hash (two halves, null without words), number of shingles, minima and sketches. docs: rid, rid2, doc, text."""
+    kind = dict(docs.dtypes)["doc"]
 
     def kernel():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            node, size, minima, keys, low = [], [], [], [], []
+            h1, h2, size, minima, keys = [], [], [], [], []
             for text in texts_of(batch):
                 words = word_array(text)
                 if not len(words):
-                    node.append(None), size.append(0), minima.append([0] * 4), keys.append([]), low.append([])
+                    h1.append(None), h2.append(None), size.append(0), minima.append([0] * 4), keys.append([])
                     continue
                 sh = labelled(shingles(words))
-                node.append(int(np.int64(xxhash.xxh64_intdigest(words.tobytes(), 1) - (1 << 63))))
-                size.append(len(sh))
-                bits, least = one_bit_minima(sh)
-                minima.append(bits.tolist())
-                low.append(least)
+                whole = np.frombuffer(xxhash.xxh3_128_digest(words.tobytes()), dtype=np.int64)
+                h1.append(int(whole[0])), h2.append(int(whole[1])), size.append(len(sh)), minima.append(one_bit_minima(sh).tolist())
                 own = [sketches(sh, HELD)] * (len(sh) >= LONG) + [sketches(sh, FEW)] * (len(sh) <= SHORT)
                 keys.append(np.concatenate(own).view(np.int64))
             m = np.array(minima, dtype=np.int64).reshape(-1, 4)
             return pa.RecordBatch.from_arrays(
-                [column(batch, "rid"), column(batch, "doc"), pa.array(node, pa.int64()), pa.array(size, pa.int32()), *(pa.array(m[:, k]) for k in range(4)), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int32()))],
-                names=["rid", "doc", "node", "size", "m0", "m1", "m2", "m3", "keys", "low"],
+                [*(column(batch, c) for c in ("rid", "rid2", "doc")), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(size, pa.int32()), *(pa.array(m[:, k]) for k in range(4)), pa.array(keys, pa.list_(pa.int64()))],
+                names=["rid", "rid2", "doc", "h1", "h2", "size", "m0", "m1", "m2", "m3", "keys"],
             )
 
         return work
 
-    return map_slices(docs.select("rid", "doc", "text"), kernel, "rid bigint, doc bigint, node bigint, size int, m0 bigint, m1 bigint, m2 bigint, m3 bigint, keys array<bigint>, low array<int>")
+    return map_slices(docs.select("rid", "rid2", "doc", "text"), kernel, f"rid bigint, rid2 bigint, doc {kind}, h1 bigint, h2 bigint, size int, m0 bigint, m1 bigint, m2 bigint, m3 bigint, keys array<bigint>")
+
 
+def most_apart(a: Column, b: Column, similarity: float) -> Column:
+    """The most shingles that two linked texts with a and b of them leave unmatched."""
+    return F.floor((a + b) * ((1 - similarity) / (1 + similarity)) + 1e-9)
 
-def near_enough(similarity: float):
+
+def near_enough(similarity: float, most_different: int) -> Column:
     """The condition on a pair (columns a_ and b_) that links meet (almost) always."""
     a, b = F.col("a_size"), F.col("b_size")
     different = sum((F.bit_count(F.col(f"a_m{k}").bitwiseXOR(F.col(f"b_m{k}"))) for k in range(1, 4)), F.bit_count(F.col("a_m0").bitwiseXOR(F.col("b_m0"))))
-    apart = F.floor((a + b) * ((1 - similarity) / (1 + similarity)) + 1e-9)
-    return (F.abs(a - b) <= apart) & (different <= F.least(F.lit(MOST_DIFFERENT), apart))
-
+    apart = most_apart(a, b, similarity)
+    return (F.abs(a - b) <= apart) & (different <= F.least(F.lit(most_different), apart))
 
-def shared_enough(similarity: float):
-    """The condition on a pair's smallest shingle hashes: exact up to LOW shingles, 4 deviations below the expected share above."""
-    shared = F.size(F.array_intersect("a_low", "b_low"))
-    most = F.greatest("a_size", "b_size")
-    least = (F.col("a_size") + F.col("b_size")) * (similarity / (1 + similarity))
-    return shared >= F.when(most <= LOW, least - 1).otherwise(LOW * least / most - 4 * F.sqrt(LOW * 0.1 * (1 - LOW / most) + 1))
 
+def components(edges: DataFrame) -> DataFrame:
+    """node -> class (the least node of its connected component) and n_links, for nodes with links. edges: a, b; stored.
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node -> class (the least node of its connected component), for nodes with links. edges: a, b; stored."""
+    Labels only fall, and each round at least halves a chain's way, so the rounds end by themselves.
+    """
     both = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))), "links")
     labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("class")).withColumnRenamed("a", "node"), "labels")
-    for _ in range(rounds):
+    while True:
         # The least class among a node's neighbours, then the class of that class.
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("class").alias("near"))
         step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("class").alias("was"), F.least("class", "near").alias("class"))
         jump = labels.select(F.col("node").alias("of"), F.col("class").alias("further"))
         new = stored(step.join(jump, F.col("class") == F.col("of"), "left").select("node", "was", F.least("class", F.coalesce("further", "class")).alias("class")), "labels")
-        labels = new.select("node", "class")
+        discard(labels)
+        labels = new
         if new.filter("was != class").isEmpty():
-            return labels
-    raise RuntimeError("components: links form too long a chain")
+            break
+    counts = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
+    out = stored(labels.select("node", "class").join(counts, "node"), "classes")
+    discard(labels, both)
+    return out
 
 
-def verify(pairs: DataFrame, docs: DataFrame, sources: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that align. sources: node -> rid of one of its rows."""
+def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b; stored) that align. nodes: node and the rid, rid2 of one of its rows.
+
+    Pairs are grouped in blocks of one text and about ALIGNED others. A block's first row holds the words of that text,
+    and each further row another's, so that the kernel only ever holds two texts.
+    """
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = counted(stored(ids.join(sources, "node"), "wanted"))
+    wanted = ids.join(nodes.select("node", "rid", "rid2"), "node").hint("merge")
 
     def words_kernel():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            words = [word_array(t).tobytes() for t in texts_of(batch)]
+            words = [(word_array(t) >> np.uint64(32)).astype(np.uint32).tobytes() for t in texts_of(batch)]
             return pa.RecordBatch.from_arrays([column(batch, "node"), pa.array(words, pa.binary())], names=["node", "words"])
 
         return work
 
-    one_each = docs.select("rid", "text").join(wanted, "rid").dropDuplicates(["rid"]).select("node", "text")
+    one_each = docs.select("rid", "rid2", "text").join(wanted, ["rid", "rid2"]).dropDuplicates(["rid", "rid2"]).select("node", "text")
     bodies = stored(map_slices(one_each, words_kernel, "node bigint, words binary"), "bodies")
+    size = pairs.groupBy("a").agg(F.ceil(F.count("*") / ALIGNED).alias("blocks"))
+    blocks = pairs.join(size.hint("merge"), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
+    others = blocks.join(bodies.withColumnRenamed("node", "b").hint("merge"), "b").select("a", "block", "b", "words")
+    first = blocks.select("a", "block").distinct().join(bodies.withColumnRenamed("node", "a").hint("merge"), "a").select("a", "block", F.lit(None).cast("bigint").alias("b"), "words")
 
     def run(batches):
-        for batch in batches:
-            a, b = (column(batch, k).to_pylist() for k in ("a_words", "b_words"))
-            ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in zip(a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    one = pairs.join(bodies.select(F.col("node").alias("a"), F.col("words").alias("a_words")), "a")
-    two = one.join(bodies.select(F.col("node").alias("b"), F.col("words").alias("b_words")), "b")
-    out = stored(two.select("a", "b", "a_words", "b_words").mapInArrow(run, "a bigint, b bigint"), "verified")
+        mine = np.zeros(0, dtype=np.uint64)
+        for batch in (piece for whole in batches for piece in slices(whole, "words")):
+            a, b, words = (column(batch, k).to_pylist() for k in ("a", "b", "words"))
+            out: list[tuple[int, int]] = []
+            for x, y, raw in zip(a, b, words, strict=True):
+                own = shingles(np.frombuffer(raw, np.uint32).astype(np.uint64))
+                if y is None:
+                    mine = own
+                elif aligned(mine, own, similarity):
+                    out.append((x, y))
+            yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in out], pa.int64()) for j in (0, 1)], names=["a", "b"])
+
+    rows = first.unionByName(others).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    out = stored(rows.mapInArrow(run, "a bigint, b bigint"), "verified")
     discard(bodies)
     return out
 
 
-def near_classes(df: DataFrame, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Each row's rid, id, class_id (the least id of its class), class_size (rows) and kept (true for one row id of each class)."""
-    docs = df.select(row_id(id_column, text_column).alias("rid"), F.col(id_column).cast("bigint").alias("doc"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+def block_pairs(rows: DataFrame, similarity: float, most_different: int) -> DataFrame:
+    """Candidate pairs (a < b) within each group (key, kind, i, j) of rows: of its two sides, or of one (both) with itself."""
+
+    def pairs_of(side: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray, minima: np.ndarray) -> np.ndarray:
+        left, right = np.flatnonzero(side <= 0), np.flatnonzero(side != 0)  # -1: on both sides
+        right = left if side[0] < 0 else right
+        found = []
+        for k in range(0, len(left), BLOCK):
+            x = left[k : k + BLOCK]
+            apart = np.floor((size[x][:, None] + size[right][None, :]) * ((1 - similarity) / (1 + similarity)) + 1e-9)
+            fine = (group[x][:, None] != group[right][None, :]) & (np.abs(size[x][:, None] - size[right][None, :]) <= apart)
+            r, c = np.nonzero(fine)
+            different = np.bitwise_count(minima[x[r]] ^ minima[right[c]]).sum(axis=1)
+            ok = different <= np.minimum(most_different, apart[r, c])
+            found.append(np.column_stack((node[x[r[ok]]], node[right[c[ok]]])))
+        return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def flush(table: pa.Table) -> pa.RecordBatch:
+            keys = np.column_stack([np.asarray(table.column(c)) for c in ("key", "kind", "i", "j")])
+            edge = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1), [True])))
+            side, node, group, size = (np.asarray(table.column(c)) for c in ("side", "node", "class", "size"))
+            minima = np.column_stack([np.asarray(table.column(f"m{k}")) for k in range(4)]).view(np.uint64)
+            got = [pairs_of(side[s:e], node[s:e], group[s:e], size[s:e].astype(np.int64), minima[s:e]) for s, e in zip(edge[:-1], edge[1:], strict=True) if e - s > 1]
+            every = np.concatenate([g for g in got if len(g)] or [np.zeros((0, 2), np.int64)])
+            every = np.unique(np.sort(every, axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1])], names=["a", "b"])
+
+        for batch in batches:  # a group that goes on in the next batch waits for it; a group is bounded by the size of blocks
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            last = [table.column(c)[table.num_rows - 1].as_py() for c in ("key", "kind", "i", "j")]
+            same = np.logical_and.reduce([np.asarray(table.column(c)) == v for c, v in zip(("key", "kind", "i", "j"), last, strict=True)])
+            cut = int(np.argmax(same))
+            if cut:
+                yield flush(table.slice(0, cut))
+            held = table.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield flush(pa.Table.from_batches(held))
+
+    dealt = rows.repartition("key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j")
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def rest_of(members: DataFrame, classes: DataFrame, nodes: DataFrame, similarity: float, most_different: int) -> DataFrame:
+    """Candidate pairs of different classes in one bucket. members: key, node; stored, as classes is."""
+    sorted_out = stored(members.join(classes.select("node", "class"), "node", "left").select("key", "node", F.coalesce("class", "node").alias("class")), "sorted")
+    by_class = sorted_out.groupBy("key", "class").agg(F.count("*").alias("n"))
+    major = by_class.groupBy("key").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("n")).filter("top.n < n")
+    # Both sides of a bucket go to blocks: its largest class, and all others.
+    sides = major.select("key", F.col("top.class").alias("major"), F.ceil(F.col("top.n") / BLOCK).alias("major_blocks"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("minor_blocks"))
+    opened = stored(sorted_out.join(sides.hint("merge"), "key"), "open")
+    discard(sorted_out)
+    own = opened.withColumn("large", F.col("class") == F.col("major")).withColumn("at", F.pmod(F.xxhash64("node"), F.when(F.col("large"), F.col("major_blocks")).otherwise(F.col("minor_blocks"))))
+
+    def each(n: Column) -> Column:
+        return F.sequence(F.lit(0).cast("bigint"), n - 1)
+
+    at = F.col("at")
+    # kind 0: the others among themselves; kind 1: the others (i) with the largest class (j).
+    among = F.transform(each(F.col("minor_blocks")), lambda k: F.struct(F.lit(0).alias("kind"), F.least(at, k).alias("i"), F.greatest(at, k).alias("j"), F.when(at == k, -1).when(at < k, 0).otherwise(1).alias("side")))
+    across = F.transform(each(F.col("major_blocks")), lambda k: F.struct(F.lit(1).alias("kind"), at.alias("i"), k.alias("j"), F.lit(0).alias("side")))
+    large = F.transform(each(F.col("minor_blocks")), lambda k: F.struct(F.lit(1).alias("kind"), k.alias("i"), at.alias("j"), F.lit(1).alias("side")))
+    dealt = own.join(nodes.select("node", *WHAT).hint("merge"), "node").select("key", "node", "class", *WHAT, F.explode(F.when(F.col("large"), large).otherwise(F.concat(among, across))).alias("x"))
+    found = stored(block_pairs(dealt.select("key", "node", "class", *WHAT, "x.*"), similarity, most_different), "candidates")
+    discard(opened)
+    return found
+
+
+WHAT = ("size", "m0", "m1", "m2", "m3")
+
+
+def near_classes(df: DataFrame, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text", most_different: int = MOST_DIFFERENT) -> DataFrame:
+    """Each row's rid, rid2, id, class_id (the least id of its class), class_size (rows), n_links and kept.
+
+    n_links counts the links of the row's text to other texts that were checked; they span its class, so they need not be
+    all. kept is true for the rows of one (id, text) of each class.
+    """
+    docs = df.select(*row_ids(id_column, text_column), F.col(id_column).alias("doc"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     marks = stored(marks_of(docs), "marks")
-    what = ("size", "m0", "m1", "m2", "m3")
-    nodes = stored(marks.filter("node is not null").groupBy("node").agg(F.min(F.struct("rid", *what, "keys")).alias("x")).select("node", "x.*"), "nodes")
-    sources = nodes.select("node", "rid")
-    keyed = nodes.select("node", *what, F.explode("keys").alias("key"))
-    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("bucket"), F.min("node").alias("one"), F.max("node").alias("two")).filter("one < two").select("key", "bucket"), "shared")
-    members = stored(keyed.join(counted(shared), "key"), "members")
+    distinct = marks.filter("h1 is not null").groupBy("h1", "h2").agg(F.min(F.struct("rid", "rid2", *WHAT, "keys")).alias("x"))
+    # Numbers of rows as they are stored, so two texts can't share one.
+    nodes = stored(distinct.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "x.*"), "nodes")
+    rows = stored(marks.select("rid", "rid2", "doc", "h1", "h2"), "rows")
+    discard(marks)
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("bucket"), F.min("node").alias("one"), F.max("node").alias("two")).filter("one < two").select("key", "bucket")
+    members = stored(keyed.join(shared.hint("merge"), "key"), "members")
     # A bucket is led by its node of the most company in all its buckets: the likeliest centre of a group.
     company = members.groupBy("node").agg(F.sum("bucket").alias("company"), F.collect_list("key").alias("keys"))  # at most 2 x SKETCHES keys
-    led = company.select("node", "company", F.explode("keys").alias("key")).groupBy("key").agg(F.max(F.struct("company", "node")).alias("top"))
-    leaders = stored(led.select("key", F.col("top.node").alias("leader")), "leaders")
-    fine = near_enough(similarity)
-    left = nodes.select(F.col("node").alias("a"), *(F.col(k).alias(f"a_{k}") for k in what))
-    discard(shared)
-    to_leaders = members.join(counted(leaders), "key").filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b"), *(F.col(k).alias(f"b_{k}") for k in what)).distinct()
-    starts = stored(to_leaders.join(left, "a").filter(fine).select("a", "b"), "starts")
-    stars = verify(starts, docs, sources, similarity)
-    classes = components(stars)
-    # What is left: members of a bucket that are in different classes.
-    sorted_out = members.select("key", "node", *what).join(counted(classes), "node", "left").withColumn("class", F.coalesce("class", "node"))
-    sorted_out = stored(sorted_out, "sorted")
-    discard(members, leaders)
-    mixed_keys = stored(sorted_out.groupBy("key").agg(F.min("class").alias("one"), F.max("class").alias("two")).filter("one < two").select("key"), "mixed")
-    open_members = stored(sorted_out.join(counted(mixed_keys), "key"), "open")
-    lows = marks.select("node", "low", "keys").join(open_members.select("node").distinct(), "node").groupBy("node").agg(F.first("low").alias("low"), F.first("keys").alias("keys"))
-    open_low = stored(open_members.join(lows, "node"), "open-low")
-    discard(sorted_out, mixed_keys, open_members)
-    open_members = open_low
-    a, b = (open_members.select("key", F.col("node").alias(s), F.col("class").alias(f"{s}_class"), *(F.col(k).alias(f"{s}_{k}") for k in (*what, "low", "keys"))) for s in "ab")
-    # A pair comes from the first bucket that it shares only.
-    once = a["key"] == F.array_min(F.array_intersect("a_keys", "b_keys"))
-    rest = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.col("a_class") != F.col("b_class")) & fine & once & shared_enough(similarity)).select("a", "b")
-    rest = stored(rest.join(starts, ["a", "b"], "left_anti"), "rest")
+    leaders = company.select("node", "company", F.explode("keys").alias("key")).groupBy("key").agg(F.max(F.struct("company", "node")).alias("top")).select("key", F.col("top.node").alias("leader"))
+    to_leaders = members.join(leaders.hint("merge"), "key").filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    a, b = (nodes.select(F.col("node").alias(s), *(F.col(k).alias(f"{s}_{k}") for k in WHAT)).hint("merge") for s in "ab")
+    starts = stored(to_leaders.join(a, "a").join(b, "b").filter(near_enough(similarity, most_different)).select("a", "b"), "starts")
+    links = verify(starts, docs, nodes, similarity)
+    classes = components(links)
+    candidates = rest_of(members, classes, nodes, similarity, most_different)
+    tried = starts.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = stored(candidates.join(tried.hint("merge"), ["a", "b"], "left_anti"), "rest")
+    discard(members, candidates, starts)
     if not rest.isEmpty():
-        more = verify(rest, docs, sources, similarity)
+        more = verify(rest, docs, nodes, similarity)
         if not more.isEmpty():
-            classes = components(stored(stars.union(more), "all"))
-    alone = F.xxhash64(F.lit("alone"), "rid", "doc")
-    rows = stored(marks.select("rid", "doc", "node").join(counted(classes), "node", "left").select("rid", "doc", F.coalesce("class", "node", alone).alias("class"), F.col("node").isNull().alias("empty")), "rows")
-    discard(marks, nodes, open_low, rest, starts)
-    heads = stored(rows.groupBy("class", "empty").agg(F.min(F.struct(F.col("doc").isNull().alias("null"), "doc", "rid")).alias("head"), F.count("*").alias("class_size")), "heads")
-    out = rows.join(heads, ["class", "empty"])
-    return out.select("rid", F.col("doc").alias(id_column), F.col("head.doc").alias("class_id"), "class_size", (F.col("rid") == F.col("head.rid")).alias("kept"))
+            every = stored(links.union(more), "all")
+            discard(classes)
+            classes = components(every)
+            discard(every)
+        discard(more)
+    discard(rest, links)
+    found = nodes.select("node", "h1", "h2").join(classes.hint("merge"), "node", "left")
+    own = rows.join(found.hint("merge"), ["h1", "h2"], "left")
+    empty = F.col("node").isNull()  # a class of its own, known by its row
+    alone = (empty.alias("empty"), F.when(empty, F.col("rid2")).otherwise(0).alias("lone"))
+    placed = stored(own.select("rid", "rid2", "doc", F.coalesce("class", "node", "rid").alias("class"), *alone, F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")), "placed")
+    discard(rows, nodes, classes)
+    first = F.min(F.struct(F.col("doc").isNull().alias("null"), "doc", "rid", "rid2")).alias("head")
+    heads = placed.groupBy("class", "lone", "empty").agg(first, F.count("*").alias("class_size"))
+    out = placed.join(heads.hint("merge"), ["class", "lone", "empty"])
+    kept = (F.col("rid") == F.col("head.rid")) & (F.col("rid2") == F.col("head.rid2"))
+    return out.select("rid", "rid2", F.col("doc").alias(id_column), F.col("head.doc").alias("class_id"), "class_size", "n_links", kept.alias("kept"))

@@ -2,21 +2,25 @@
 
 Windows of `window` consecutive words are the edges of a de Bruijn graph over texts. Each text's
 path is cut where the least-hashed `anchor`-word sequence of its windows changes, so equal windows
-always fall to pieces with equal anchors; a piece is a nonbranching run of edges, known by a hash of
-all its words, and compacts some twenty windows to one row. Joins on anchors and pieces then find the
-graph's repeated parts: a piece that recurs whole is judged as one; only where one anchor has pieces of
-different words (the path branches nearby) are windows told apart one by one, once for each
-distinct piece rather than for each occurrence. Source coordinates (text, first word, windows) lead from
-repeated pieces back to words.
+always fall to pieces with equal anchors; a piece is a nonbranching run of edges, known by its anchor and a
+hash of all its words, and compacts some twenty windows to one row. Joins on anchors and pieces then find
+the graph's repeated parts: a piece that recurs whole is judged as one; only where one anchor has pieces of
+different words (the path branches nearby) are windows told apart one by one (by the anchor and two hashes),
+once for each distinct piece rather than for each occurrence. Source coordinates (text, first word, windows)
+lead from repeated pieces back to words: those at the first source are read and digested, and words are removed
+elsewhere only if theirs have that digest too.
 
 A word is removed if it lies in a window that also starts in a text with a smaller id; a null id is
-larger than all others. Null texts have no words; texts shorter than a window lose nothing. Rows with
-equal ids do not remove from each other. All rows come back, repeated ones too.
+larger than all others (and ties with the largest bigint). Ids must be integers. Null, empty and white-space
+texts have no words; texts shorter than a window lose nothing; very long texts are read whole. Rows with equal
+ids do not remove from each other. All rows come back, repeated ones too; an empty table gives an empty
+result. Other columns are not read; `carry` brings them along, whatever their names.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -118,9 +122,10 @@ def pieces(hashes: np.ndarray, starts: np.ndarray, window: int, anchor: int):
     return text[first], first - starts[text[first]], size, marks[place[first]].view(np.int64), sums.runs(first, size + window - 1).view(np.int64)
 
 
-def row_id(id_column: str, text_column: str) -> Column:
-    """Tells rows apart by id and text; equal rows share it."""
-    return F.xxhash64(F.col(id_column), F.coalesce(F.col(text_column), F.lit("")))
+def row_ids(id_column: str, text_column: str) -> tuple[Column, Column]:
+    """rid and rid2: 128 bits that tell rows apart by id and text; equal rows share them."""
+    id_, text = F.col(id_column), F.col(text_column)
+    return F.xxhash64(id_, text, text.isNull()).alias("rid"), F.xxhash64(F.lit(1), text, id_, id_.isNull()).alias("rid2")
 
 
 def find_pieces(docs: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -129,43 +134,59 @@ def find_pieces(docs: DataFrame, window: int, anchor: int) -> DataFrame:
             text, start, size, mark, content = pieces(*hashed(texts_of(batch)), window, anchor)
             rows = pa.array(text, pa.int64())
             return pa.RecordBatch.from_arrays(
-                [pa.array(mark, pa.int64()), pa.array(content, pa.int64()), column(batch, "rid").take(rows), column(batch, "doc").take(rows), pa.array(start, pa.int32()), pa.array(size, pa.int32())],
-                names=["mark", "content", "rid", "doc", "start", "windows"],
+                [pa.array(mark, pa.int64()), pa.array(content, pa.int64()), *(column(batch, c).take(rows) for c in ("rid", "rid2", "doc")), pa.array(start, pa.int32()), pa.array(size, pa.int32())],
+                names=["mark", "content", "rid", "rid2", "doc", "start", "windows"],
             )
 
         return work
 
-    return map_slices(docs.select("rid", "doc", "text"), kernel, "mark bigint, content bigint, rid bigint, doc bigint, start int, windows int")
+    return map_slices(docs.select("rid", "rid2", "doc", "text"), kernel, "mark bigint, content bigint, rid bigint, rid2 bigint, doc bigint, start int, windows int")
+
+
+def digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
 def find_windows(wanted: DataFrame, window: int) -> DataFrame:
-    """A row for each window of each piece that a text is wanted for. wanted: text, parts (mark, content, start, windows, first)."""
+    """For each piece that a text is wanted for, a row with the digest of its words (index -1), and if it branches one for each window.
+
+    wanted: text, parts (mark, content, branches, start, windows, first).
+    """
 
     def kernel():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            hashes, starts = hashed(texts_of(batch))
+            texts = texts_of(batch)
+            hashes, starts = hashed(texts)
             parts = column(batch, "parts")
             flat = parts.flatten()
             start, size = (np.asarray(flat.field(k), dtype=np.int64) for k in ("start", "windows"))
             if not len(start):
                 return None
             text = np.repeat(np.arange(batch.num_rows), np.asarray(parts.value_lengths()))
-            index = np.concatenate([np.arange(k) for k in size])
-            owner = pa.array(np.repeat(np.arange(len(start)), size))
-            at = np.repeat(starts[text] + start, size) + index
-            found = Sums(hashes).runs(at, window).view(np.int64)
+            digests, words, last = [], [], -1
+            for t, s, n in zip(text.tolist(), start.tolist(), size.tolist(), strict=True):
+                if t != last:
+                    words, last = split_words(texts[t]), t
+                digests.append(digest(words[s : s + n + window - 1]))
+            open_ = np.flatnonzero(np.asarray(flat.field("branches").to_numpy(zero_copy_only=False), dtype=bool))
+            index = np.concatenate([np.arange(k) for k in size[open_]] or [np.zeros(0, np.int64)])
+            owner = np.repeat(open_, size[open_])
+            at = np.repeat((starts[text] + start)[open_], size[open_]) + index
+            found = [Sums(h).runs(at, window).view(np.int64) for h in (hashes, mixed(hashes))]
+            none = np.zeros(len(start), np.int64)
+            every = pa.array(np.concatenate((np.arange(len(start)), owner)))
             return pa.RecordBatch.from_arrays(
-                [flat.field("mark").take(owner), pa.array(found, pa.int64()), flat.field("content").take(owner), pa.array(index, pa.int32()), flat.field("first").take(owner)],
-                names=["mark", "word_window", "content", "index", "first"],
+                [*(flat.field(k).take(every) for k in ("mark", "content", "first")), pa.array(np.concatenate((none - 1, index)), pa.int32()), *(pa.array(np.concatenate((none, f))) for f in found), pa.array([*digests, *[None] * len(owner)], pa.binary())],
+                names=["mark", "content", "first", "index", "word_window", "check", "digest"],
             )
 
         return work
 
-    return map_slices(wanted, kernel, "mark bigint, word_window bigint, content bigint, index int, first bigint")
+    return map_slices(wanted, kernel, "mark bigint, content bigint, first bigint, index int, word_window bigint, check bigint, digest binary")
 
 
 def cut_words(joined: DataFrame, window: int, through: list[str]) -> DataFrame:
-    """Applies the spans (start, windows, some: indexes of the windows, null for all) to texts."""
+    """Applies the spans (start, windows, digest of their words, some: indexes of the windows, null for all) to texts."""
 
     def kernel():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -176,6 +197,8 @@ def cut_words(joined: DataFrame, window: int, through: list[str]) -> DataFrame:
                 if spans:
                     hit = np.zeros(len(words) + 1, dtype=np.int64)
                     for s in spans:
+                        if digest(words[s["start"] : s["start"] + s["windows"] + window - 1]) != bytes(s["digest"]):
+                            continue  # other words of the same hash
                         at = s["start"] + (np.arange(s["windows"]) if s["some"] is None else np.array(s["some"], dtype=np.int64))
                         hit[at] = 1
                     starts = np.flatnonzero(hit)
@@ -195,36 +218,42 @@ def cut_words(joined: DataFrame, window: int, through: list[str]) -> DataFrame:
 
 
 def remove_repeats(df: DataFrame, window: int = 50, anchor: int = 8, id_column: str = "doc_id", text_column: str = "text", carry: bool = False) -> DataFrame:
-    """Each row's rid, id, n_words, n_removed and kept (the words kept, joined by one space). Ids must be integers.
+    """Each row's rid, rid2, id, n_words, n_removed and kept (the words kept, joined by one space).
 
     carry: the whole row too, as the struct `row`.
     """
-    docs = df.select(row_id(id_column, text_column).alias("rid"), F.coalesce(F.col(id_column).cast("bigint"), F.lit(LAST)).alias("doc"), F.col(id_column), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    kind = dict(df.dtypes)[id_column]
+    if kind not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError(f"{id_column}: ids must be integers, not {kind}")
+    docs = df.select(*row_ids(id_column, text_column), F.coalesce(F.col(id_column).cast("bigint"), F.lit(LAST)).alias("doc"), F.col(id_column), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     found = stored(find_pieces(docs, window, anchor), "pieces")
     # Anchors of more than one text; each is judged by its pieces.
     marks = found.groupBy("mark").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), (F.min("content") != F.max("content")).alias("branches"))
-    repeated = stored(marks.filter("low < high").select("mark", "branches"), "marks")
-    places = stored(found.join(repeated, "mark"), "places")
-    discard(found, repeated)
-    distinct = stored(places.groupBy("mark", "content", "branches").agg(F.min(F.struct("doc", "rid", "start", "windows")).alias("source")), "distinct")
-    # Windows of branching anchors, from one source of each distinct piece.
-    parts = distinct.filter("branches").select(F.col("source.rid").alias("rid"), F.struct("mark", "content", F.col("source.start").alias("start"), F.col("source.windows").alias("windows"), F.col("source.doc").alias("first")).alias("part"))
-    wanted = parts.groupBy("rid").agg(F.collect_list("part").alias("parts"))
-    sources = docs.select("rid", "text").join(wanted, "rid").select("text", "parts")
+    repeated = marks.filter("low < high").select("mark", "branches")
+    places = stored(found.join(repeated.hint("merge"), "mark"), "places")
+    discard(found)
+    distinct = places.groupBy("mark", "content", "branches").agg(F.min(F.struct("doc", "rid", "rid2", "start", "windows")).alias("source"), F.max("doc").alias("last"))
+    distinct = stored(distinct.filter("branches or source.doc < last"), "distinct")
+    # Words of one source of each distinct piece: their digest, and the windows of branching anchors.
+    parts = distinct.select("source.rid", "source.rid2", F.struct("mark", "content", "branches", F.col("source.start").alias("start"), F.col("source.windows").alias("windows"), F.col("source.doc").alias("first")).alias("part"))
+    wanted = parts.groupBy("rid", "rid2").agg(F.collect_list("part").alias("parts"))  # at most as many as the text has windows
+    sources = docs.select("rid", "rid2", "text").join(wanted.hint("merge"), ["rid", "rid2"]).dropDuplicates(["rid", "rid2"]).select("text", "parts")
     windows = stored(find_windows(sources, window), "windows")
-    lowest = windows.groupBy("mark", "word_window").agg(F.min("first").alias("low"), F.max("first").alias("high")).filter("low < high").select("mark", "word_window", "low")
-    lowest = stored(lowest, "lowest")
-    lower = windows.join(lowest, ["mark", "word_window"]).filter("low < first").groupBy("mark", "content").agg(F.sort_array(F.collect_set("index")).alias("some"))
+    each = windows.filter("index >= 0")
+    same = ["mark", "word_window", "check"]
+    lowest = each.groupBy(*same).agg(F.min("first").alias("low"), F.max("first").alias("high")).filter("low < high").select(*same, "low")
+    lower = each.join(lowest.hint("merge"), same).filter("low < first").groupBy("mark", "content").agg(F.sort_array(F.collect_set("index")).alias("some"))
     # A piece goes whole where its first source is another text, else by its windows that occur earlier elsewhere.
-    judged = stored(distinct.select("mark", "content", F.col("source.doc").alias("first")).join(lower, ["mark", "content"], "left"), "judged")
-    discard(distinct, windows, lowest)
-    hits = places.join(judged, ["mark", "content"]).filter("doc > first or some is not null").select("rid", F.struct("start", "windows", F.when(F.col("doc") > F.col("first"), F.lit(None)).otherwise(F.col("some")).alias("some")).alias("span"))
-    spans = hits.groupBy("rid").agg(F.collect_set("span").alias("spans"))
-    through = ["rid", id_column, *["row"] * carry]
+    judged = stored(windows.filter("index < 0").select("mark", "content", "first", "digest").join(lower, ["mark", "content"], "left"), "judged")
+    discard(distinct, windows)
+    hits = places.join(judged.hint("merge"), ["mark", "content"]).filter("doc > first or some is not null")
+    hits = hits.select("rid", "rid2", F.struct("start", "windows", "digest", F.when(F.col("doc") > F.col("first"), F.lit(None)).otherwise(F.col("some")).alias("some")).alias("span"))
+    spans = hits.groupBy("rid", "rid2").agg(F.collect_set("span").alias("spans")).hint("merge")
+    through = ["rid", "rid2", id_column, *["row"] * carry]
     if carry:
-        docs = df.select(row_id(id_column, text_column).alias("rid"), F.col(id_column), F.struct(*df.columns).alias("row"))
+        docs = df.select(*row_ids(id_column, text_column), F.col(id_column), F.struct(*df.columns).alias("row"))
         text = F.coalesce(F.col(f"row.{text_column}"), F.lit("")).alias("text")
-        joined = docs.join(spans, "rid", "left").select(*through, text, "spans")
+        joined = docs.join(spans, ["rid", "rid2"], "left").select(*through, text, "spans")
     else:
-        joined = docs.select("rid", id_column, "text").join(spans, "rid", "left")
+        joined = docs.select("rid", "rid2", id_column, "text").join(spans, ["rid", "rid2"], "left")
     return cut_words(joined, window, through)
