@@ -42,8 +42,8 @@ HELD, FEW, LONG, SHORT = 5, 2, 24, 40
 MOST_WORDS = 150_000
 #: The most of 256 one-bit minima that linked texts differ in: at 0.8, 26 are expected, with a deviation of 4.8.
 MOST_DIFFERENT = 50
-#: Members of a bucket that are compared at once, and texts that one text is aligned with at once.
-BLOCK, ALIGNED = 256, 64
+#: Bounds of a block of a bucket's members (texts, shingles), and about how many texts one text is aligned with at once.
+BLOCK, BLOCK_SHINGLES, ALIGNED = 2048, 1 << 19, 64
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 
@@ -238,16 +238,11 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
-def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b; stored) that align. nodes: node and the rid, rid2 of one of its rows.
-
-    Pairs are grouped in blocks of one text and about ALIGNED others. A block's first row holds the words of that text,
-    and each further row another's, so that the kernel only ever holds two texts.
-    """
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def bodies_of(ids: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, words) of the nodes in ids; stored. nodes: node and the rid, rid2 of one of its rows."""
     wanted = ids.join(nodes.select("node", "rid", "rid2"), "node").hint("merge")
 
-    def words_kernel():
+    def kernel():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             words = [(word_array(t) >> np.uint64(32)).astype(np.uint32).tobytes() for t in texts_of(batch)]
             return pa.RecordBatch.from_arrays([column(batch, "node"), pa.array(words, pa.binary())], names=["node", "words"])
@@ -255,7 +250,20 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: floa
         return work
 
     one_each = docs.select("rid", "rid2", "text").join(wanted, ["rid", "rid2"]).dropDuplicates(["rid", "rid2"]).select("node", "text")
-    bodies = stored(map_slices(one_each, words_kernel, "node bigint, words binary"), "bodies")
+    return stored(map_slices(one_each, kernel, "node bigint, words binary"), "bodies")
+
+
+def words_in(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint32).astype(np.uint64)
+
+
+def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b; stored) that align.
+
+    Pairs are grouped in blocks of one text and about ALIGNED others. A block's first row holds the words of that text,
+    and each further row another's, so that the kernel only ever holds two texts.
+    """
+    bodies = bodies_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), docs, nodes)
     size = pairs.groupBy("a").agg(F.ceil(F.count("*") / ALIGNED).alias("blocks"))
     blocks = pairs.join(size.hint("merge"), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
     others = blocks.join(bodies.withColumnRenamed("node", "b").hint("merge"), "b").select("a", "block", "b", "words")
@@ -267,7 +275,7 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: floa
             a, b, words = (column(batch, k).to_pylist() for k in ("a", "b", "words"))
             out: list[tuple[int, int]] = []
             for x, y, raw in zip(a, b, words, strict=True):
-                own = shingles(np.frombuffer(raw, np.uint32).astype(np.uint64))
+                own = shingles(words_in(raw))
                 if y is None:
                     mine = own
                 elif aligned(mine, own, similarity):
@@ -280,61 +288,109 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: floa
     return out
 
 
-def block_pairs(rows: DataFrame, similarity: float, most_different: int) -> DataFrame:
-    """Candidate pairs (a < b) within each group (key, kind, i, j) of rows: of its two sides, or of one (both) with itself."""
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many labelled shingles each text of one list has in common with each of the other."""
+    sizes = [len(x) for x in (*left, *right)]
+    values, place = np.unique(np.concatenate((*left, *right)), return_inverse=True)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    often = np.bincount(place, minlength=len(values)) > 1
+    number = np.cumsum(often) - 1
+    keep = often[place]
+    text, place = text[keep], number[place[keep]]
+    order = np.argsort(place, kind="stable")
+    text, place = text[order], place[order]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for start in range(0, int(often.sum()), columns):
+        a, b = np.searchsorted(place, (start, start + columns))
+        holds = np.zeros((len(sizes), columns), dtype=np.float32)
+        holds[text[a:b], place[a:b] - start] = 1
+        out += holds[: len(left)] @ holds[len(left) :].T
+    return out
+
 
-    def pairs_of(side: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray, minima: np.ndarray) -> np.ndarray:
-        left, right = np.flatnonzero(side <= 0), np.flatnonzero(side != 0)  # -1: on both sides
+def block_links(rows: DataFrame, similarity: float, most_different: int) -> DataFrame:
+    """The linked pairs (a < b) within each group (key, kind, i, j) of rows: of its two sides, or of one (side -1) with itself.
+
+    All that two blocks have in common is decided in the kernel: length and minima, then the exact number of shared
+    shingles, then the alignment; only links leave it.
+    """
+    most = (1 - similarity) / (1 + similarity)
+
+    def links_of(side: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray, minima: np.ndarray, words: list[bytes]) -> list[tuple[int, int]]:
+        left, right = np.flatnonzero(side <= 0), np.flatnonzero(side != 0)
         right = left if side[0] < 0 else right
-        found = []
-        for k in range(0, len(left), BLOCK):
-            x = left[k : k + BLOCK]
-            apart = np.floor((size[x][:, None] + size[right][None, :]) * ((1 - similarity) / (1 + similarity)) + 1e-9)
+        sh: dict[int, np.ndarray] = {}
+        links = []
+        for k in range(0, len(left), 256):
+            x = left[k : k + 256]
+            apart = np.floor((size[x][:, None] + size[right][None, :]) * most + 1e-9)
             fine = (group[x][:, None] != group[right][None, :]) & (np.abs(size[x][:, None] - size[right][None, :]) <= apart)
+            if side[0] < 0:
+                fine &= x[:, None] < right[None, :]
             r, c = np.nonzero(fine)
             different = np.bitwise_count(minima[x[r]] ^ minima[right[c]]).sum(axis=1)
             ok = different <= np.minimum(most_different, apart[r, c])
-            found.append(np.column_stack((node[x[r[ok]]], node[right[c[ok]]])))
-        return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+            r, c = r[ok], c[ok]
+            if not len(r):
+                continue
+            some, others = np.unique(r), np.unique(c)
+            for m in {*x[some].tolist(), *right[others].tolist()} - sh.keys():
+                sh[m] = shingles(words_in(words[m]))
+            shared = shared_counts([labelled(sh[m]) for m in x[some].tolist()], [labelled(sh[m]) for m in right[others].tolist()])
+            n = shared[np.searchsorted(some, r), np.searchsorted(others, c)]
+            ok = size[x[r]] + size[right[c]] - 2 * n <= apart[r, c] + 0.5
+            links += [(node[p], node[q]) for p, q in zip(x[r[ok]].tolist(), right[c[ok]].tolist(), strict=True) if aligned(sh[p], sh[q], similarity)]
+        return links
+
+    keys = ("key", "kind", "i", "j")
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
+        held: pa.Table | None = None
 
         def flush(table: pa.Table) -> pa.RecordBatch:
-            keys = np.column_stack([np.asarray(table.column(c)) for c in ("key", "kind", "i", "j")])
-            edge = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1), [True])))
-            side, node, group, size = (np.asarray(table.column(c)) for c in ("side", "node", "class", "size"))
+            at = np.column_stack([np.asarray(table.column(c)) for c in keys])
+            edge = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]).any(axis=1), [True]))).tolist()
+            side, node, group, size = (np.asarray(table.column(c)).astype(np.int64) for c in ("side", "node", "class", "size"))
             minima = np.column_stack([np.asarray(table.column(f"m{k}")) for k in range(4)]).view(np.uint64)
-            got = [pairs_of(side[s:e], node[s:e], group[s:e], size[s:e].astype(np.int64), minima[s:e]) for s, e in zip(edge[:-1], edge[1:], strict=True) if e - s > 1]
-            every = np.concatenate([g for g in got if len(g)] or [np.zeros((0, 2), np.int64)])
-            every = np.unique(np.sort(every, axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1])], names=["a", "b"])
-
-        for batch in batches:  # a group that goes on in the next batch waits for it; a group is bounded by the size of blocks
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            last = [table.column(c)[table.num_rows - 1].as_py() for c in ("key", "kind", "i", "j")]
-            same = np.logical_and.reduce([np.asarray(table.column(c)) == v for c, v in zip(("key", "kind", "i", "j"), last, strict=True)])
+            words = table.column("words")
+            found: set[tuple[int, int]] = set()
+            for s, e in zip(edge[:-1], edge[1:], strict=True):
+                if e - s > 1:
+                    found.update((min(p), max(p)) for p in links_of(side[s:e], node[s:e], group[s:e], size[s:e], minima[s:e], words.slice(s, e - s).to_pylist()))
+            every = sorted(found)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in every], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        # The last group of a batch may go on in the next one, so it waits. A group is bounded by the size of blocks.
+        for batch in (piece for whole in batches for piece in slices(whole, "words", 8 << 20)):
+            now = pa.Table.from_batches([batch])
+            table = now if held is None else pa.concat_tables([held, now])
+            same = np.logical_and.reduce([np.asarray(table.column(c)) == table.column(c)[table.num_rows - 1].as_py() for c in keys])
             cut = int(np.argmax(same))
             if cut:
                 yield flush(table.slice(0, cut))
-            held = table.slice(cut).combine_chunks().to_batches()
-        if held:
-            yield flush(pa.Table.from_batches(held))
+            held = table.slice(cut)
+        if held is not None:
+            yield flush(held)
 
-    dealt = rows.repartition("key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j")
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def rest_of(members: DataFrame, classes: DataFrame, nodes: DataFrame, similarity: float, most_different: int) -> DataFrame:
-    """Candidate pairs of different classes in one bucket. members: key, node; stored, as classes is."""
-    sorted_out = stored(members.join(classes.select("node", "class"), "node", "left").select("key", "node", F.coalesce("class", "node").alias("class")), "sorted")
-    by_class = sorted_out.groupBy("key", "class").agg(F.count("*").alias("n"))
-    major = by_class.groupBy("key").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("n")).filter("top.n < n")
+def rest_of(members: DataFrame, classes: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float, most_different: int) -> DataFrame:
+    """Links between different classes that meet in a bucket; stored. members: key, node; stored, as classes is."""
+    sorted_out = members.join(classes.select("node", "class").hint("merge"), "node", "left").select("key", "node", F.coalesce("class", "node").alias("class"))
+    sorted_out = stored(sorted_out.join(nodes.select("node", *WHAT).hint("merge"), "node"), "sorted")
+    by_class = sorted_out.groupBy("key", "class").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    major = by_class.groupBy("key").agg(F.max(F.struct("n", "class", "shingles")).alias("top"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles")).filter("top.n < n")
+
+    def blocks(n: Column, shingles_: Column) -> Column:
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(shingles_ / BLOCK_SHINGLES))
+
     # Both sides of a bucket go to blocks: its largest class, and all others.
-    sides = major.select("key", F.col("top.class").alias("major"), F.ceil(F.col("top.n") / BLOCK).alias("major_blocks"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("minor_blocks"))
+    sides = major.select("key", F.col("top.class").alias("major"), blocks(F.col("top.n"), F.col("top.shingles")).alias("major_blocks"), blocks(F.col("n") - F.col("top.n"), F.col("shingles") - F.col("top.shingles")).alias("minor_blocks"))
     opened = stored(sorted_out.join(sides.hint("merge"), "key"), "open")
     discard(sorted_out)
+    bodies = bodies_of(opened.select("node").distinct(), docs, nodes)
     own = opened.withColumn("large", F.col("class") == F.col("major")).withColumn("at", F.pmod(F.xxhash64("node"), F.when(F.col("large"), F.col("major_blocks")).otherwise(F.col("minor_blocks"))))
 
     def each(n: Column) -> Column:
@@ -345,9 +401,9 @@ def rest_of(members: DataFrame, classes: DataFrame, nodes: DataFrame, similarity
     among = F.transform(each(F.col("minor_blocks")), lambda k: F.struct(F.lit(0).alias("kind"), F.least(at, k).alias("i"), F.greatest(at, k).alias("j"), F.when(at == k, -1).when(at < k, 0).otherwise(1).alias("side")))
     across = F.transform(each(F.col("major_blocks")), lambda k: F.struct(F.lit(1).alias("kind"), at.alias("i"), k.alias("j"), F.lit(0).alias("side")))
     large = F.transform(each(F.col("minor_blocks")), lambda k: F.struct(F.lit(1).alias("kind"), k.alias("i"), at.alias("j"), F.lit(1).alias("side")))
-    dealt = own.join(nodes.select("node", *WHAT).hint("merge"), "node").select("key", "node", "class", *WHAT, F.explode(F.when(F.col("large"), large).otherwise(F.concat(among, across))).alias("x"))
-    found = stored(block_pairs(dealt.select("key", "node", "class", *WHAT, "x.*"), similarity, most_different), "candidates")
-    discard(opened)
+    dealt = own.select("key", "node", "class", *WHAT, F.explode(F.when(F.col("large"), large).otherwise(F.concat(among, across))).alias("x")).select("key", "node", "class", *WHAT, "x.*")
+    found = stored(block_links(dealt.join(bodies.hint("merge"), "node"), similarity, most_different), "rest")
+    discard(opened, bodies)
     return found
 
 
@@ -378,19 +434,15 @@ def near_classes(df: DataFrame, similarity: float = 0.8, id_column: str = "doc_i
     starts = stored(to_leaders.join(a, "a").join(b, "b").filter(near_enough(similarity, most_different)).select("a", "b"), "starts")
     links = verify(starts, docs, nodes, similarity)
     classes = components(links)
-    candidates = rest_of(members, classes, nodes, similarity, most_different)
-    tried = starts.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stored(candidates.join(tried.hint("merge"), ["a", "b"], "left_anti"), "rest")
-    discard(members, candidates, starts)
-    if not rest.isEmpty():
-        more = verify(rest, docs, nodes, similarity)
-        if not more.isEmpty():
-            every = stored(links.union(more), "all")
-            discard(classes)
-            classes = components(every)
-            discard(every)
-        discard(more)
-    discard(rest, links)
+    discard(starts)
+    more = rest_of(members, classes, docs, nodes, similarity, most_different)
+    discard(members)
+    if not more.isEmpty():
+        every = stored(links.union(more), "all")
+        discard(classes)
+        classes = components(every)
+        discard(every)
+    discard(more, links)
     found = nodes.select("node", "h1", "h2").join(classes.hint("merge"), "node", "left")
     own = rows.join(found.hint("merge"), ["h1", "h2"], "left")
     empty = F.col("node").isNull()  # a class of its own, known by its row
