@@ -6,8 +6,9 @@ pair occurs) wait in a heap; the smallest is applied to all its positions from l
 lists of the pairs that come and go around each merge are updated. Each word is encoded once; texts
 are put together from the encodings of their words, which a bounded cache keeps between slices.
 
-Null texts are empty; an empty text has no ids and decodes to "". Repeated rows are encoded alike
-and all kept. Columns other than the id and the text are not carried.
+Null texts are empty; an empty text has no ids and decodes to "". Very long texts are encoded whole. Repeated
+rows (ties) are encoded alike and all kept; an empty table gives an empty result. Columns other than the id and
+the text are neither read nor carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections import defaultdict
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from clauseloom.llm.common import column, map_slices, texts_of
 
@@ -170,20 +172,46 @@ def merge_all(words: list[str], voc: Vocabulary) -> list[array]:
     return out
 
 
+def has_unknown(text: str) -> bool:
+    """Whether a text holds a character that Python's tables leave unassigned; the library's may be newer."""
+    try:
+        text.encode("latin-1")
+        return False
+    except UnicodeEncodeError:
+        return any(unicodedata.category(c) == "Cn" for c in set(text))
+
+
 class Encoder:
     """Encodes lists of texts; keeps what it knows of short words."""
 
     def __init__(self, path: str) -> None:
         self.voc = Vocabulary(path)
+        self.path, self.library = path, None
         self.known: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str | int]:
+        if not text.isascii() and has_unknown(text):
+            return self.library_words(text)
         find = self.voc.words.findall
         out: list = []
         for part, special in self.voc.pieces(text):
             out += [special] if part is None else find(self.voc.normal(part))
         return out
 
+    def library_words(self, text: str) -> list[str | int]:
+        """As words, cut by the library itself: its tables say what characters are that Python's do not know yet."""
+        if self.library is None:
+            self.library = Tokenizer.from_file(self.path)
+        out: list = []
+        for part, special in self.voc.pieces(text):
+            if part is None:
+                out.append(special)
+            else:
+                normal = self.library.normalizer.normalize_str(part) if self.library.normalizer else part
+                cut = self.library.pre_tokenizer.pre_tokenize_str(normal)
+                out += [normal[a:b] for _, (a, b) in cut]
+        return out
+
     def learn(self, words) -> None:
         """Encodes the words that aren't known, all over one index."""
         if len(self.known) > CACHED_WORDS:
