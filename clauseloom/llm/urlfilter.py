@@ -3,13 +3,15 @@
 Each URL expands into expressions, one for every suffix of its host at label borders and every
 prefix of its path of a length that some rule has. Expressions meet rules in an equi-join on a short
 prefix of their digest; the full digest confirms a hit, and the longest rule wins. The rules' side is
-broadcast only if a count shows that it has at most `most_broadcast` rows; a larger one is joined by
+broadcast only if a sum shows that it has at most `most_broadcast` bytes; a larger one is joined by
 shuffle, with salted expressions, as a few (`com/`) occur in a third of all URLs. Hits shrink to one
 row for each distinct key before the one shuffle that follows, and repeated rows come out as often
 as they went in.
 
 A null URL or one without `://` has an empty host and path, no rule, and the default verdict. If two
-rules of equal length fit, that of the longer host wins, then a block. Rows with null ids are kept.
+rules of equal length fit, that of the longer host wins, then a block. Rows with null ids are kept. Very long URLs
+expand only into as many expressions as the rules' longest host and distinct path lengths allow; an empty table gives
+an empty result; columns other than the id and the URL are not read.
 """
 
 from __future__ import annotations
@@ -38,10 +40,11 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
     return spark.createDataFrame([(r.partition("/")[0], "/" + r.partition("/")[2] if "/" in r else "", v) for r, v in rules], "rule_host string, rule_path string, rule_verdict string")
 
 
-def judge(urls: DataFrame, rules: DataFrame, id_column: str = "page_id", url_column: str = "url", default: str = "allow", most_broadcast: int = 1_000_000) -> DataFrame:
+def judge(urls: DataFrame, rules: DataFrame, id_column: str = "page_id", url_column: str = "url", default: str = "allow", most_broadcast: int = 32 << 20) -> DataFrame:
     """Each row's id, host, path, rule (null: none fits) and verdict. rules: rule_host, rule_path, rule_verdict."""
     own = rules.filter(F.col("rule_host").isNotNull() & F.col("rule_path").isNotNull()).groupBy("rule_host", "rule_path").agg(F.max("rule_verdict").alias("rule_verdict"))
-    size = own.agg(F.count("*"), F.max(F.size(F.split("rule_host", r"\."))), F.collect_set(F.length("rule_path"))).first()
+    row_bytes = F.octet_length("rule_host") + F.octet_length("rule_path") + F.octet_length("rule_verdict") + 256  # digests and row headers
+    size = own.agg(F.coalesce(F.sum(row_bytes), F.lit(0)), F.max(F.size(F.split("rule_host", r"\."))), F.collect_set(F.length("rule_path"))).first()
     most_labels, lengths = size[1] or 1, sorted(size[2])  # bounded by the longest host and path that a rule has
     keyed = own.select(F.sha2(F.concat_ws("\n", "rule_host", "rule_path"), 256).alias("rule_digest"), "rule_host", "rule_path", "rule_verdict").withColumn("short", F.substring("rule_digest", 1, PREFIX))
     rows = urls.select(F.col(id_column), F.col(url_column).alias("url")).select(F.col(id_column), url_host(F.coalesce("url", F.lit(""))).alias("host"), url_path(F.coalesce("url", F.lit(""))).alias("path"))
