@@ -10,7 +10,9 @@ restart segments at once in numpy: step k decodes the k-th symbol of every segme
 DC coefficients are reconstructed; AC coefficients and chroma are read past. Any baseline JPEG (8 bits,
 Huffman, one interleaved scan) is accepted.
 
-Null texts are empty. Equal texts give equal values. Repeated rows are all kept.
+Null texts are empty. Equal texts (ties) give equal values; very long ones take several images, all of which count.
+Repeated rows are all kept, an empty table gives an empty result, and columns other than those asked for are not
+read. A medium that is no such image is a row with an error, not a failure.
 """
 
 from __future__ import annotations
@@ -181,6 +183,8 @@ def parse(data: bytes, start: int = 0) -> tuple[Image, int]:
     at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
     head = parse_header(data[start:at])
     end = data.find(b"\xff\xd9", at)
+    if end < 0:
+        raise ValueError("no end of image")
     body = data[at:end]
     raw = np.frombuffer(body, dtype=np.uint8)
     marks = np.flatnonzero((raw[:-1] == 255) & (raw[1:] >= 0xD0) & (raw[1:] <= 0xD7)).tolist()
@@ -286,6 +290,23 @@ def thumbnails(media: list[bytes]) -> list[list[tuple[int, int, np.ndarray]]]:
     return out
 
 
+def read_each(media: list[bytes]) -> tuple[list[list], list[str | None]]:
+    """thumbnails, and what is wrong with each medium (null: nothing). One that can't be read has no images."""
+    try:
+        return thumbnails(media), [None] * len(media)
+    except Exception:  # noqa: BLE001  so it is one of them: each on its own
+        found: list[list] = []
+        errors: list[str | None] = []
+        for m in media:
+            try:
+                found += thumbnails([m])
+                errors.append(None)
+            except Exception as e:  # noqa: BLE001  a broken medium is a value
+                found.append([])
+                errors.append(f"{type(e).__name__}: {e}")
+        return found, errors
+
+
 def average_hash(thumb: np.ndarray) -> int:
     """64 bits: which cells of an 8 x 8 grid over the thumbnail are lighter than its mean."""
     y, x = (np.linspace(0, n, 9).astype(int) for n in thumb.shape)
@@ -311,15 +332,15 @@ def store_texts(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
 
 def read_media(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes"), media_column: str = "media") -> DataFrame:
-    """The kept columns, media, and of all images together: n_images, width, height (of the first), thumbnail (bytes), thumb_hash (hex), and sizes (each image's width x height).
+    """The kept columns, media, and of all images together: n_images, width, height (of the first), thumbnail (bytes), thumb_hash (hex), sizes (each image's width x height) and error.
 
-    A null or empty medium has no image, and null width, height and hash.
+    A null or empty medium has no image, and null width, height and hash; so has one that can't be read, with the error.
     """
     kinds = dict(df.dtypes)
 
     def kernel():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = thumbnails([m or b"" for m in column(batch, media_column).to_pylist()])
+            found, errors = read_each([m or b"" for m in column(batch, media_column).to_pylist()])
             columns = [
                 pa.array([len(f) for f in found], pa.int32()),
                 pa.array([f[0][0] if f else None for f in found], pa.int32()),
@@ -327,10 +348,11 @@ def read_media(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes"), med
                 pa.array([b"".join(t.tobytes() for *_, t in f) for f in found], pa.binary()),
                 pa.array(["".join(f"{average_hash(t):016x}" for *_, t in f) if f else None for f in found], pa.string()),
                 pa.array(["+".join(f"{w}x{h}" for w, h, _ in f) if f else None for f in found], pa.string()),
+                pa.array(errors, pa.string()),
             ]
-            return pa.RecordBatch.from_arrays([*(column(batch, k) for k in (*keep, media_column)), *columns], names=[*keep, media_column, "n_images", "width", "height", "thumbnail", "thumb_hash", "sizes"])
+            return pa.RecordBatch.from_arrays([*(column(batch, k) for k in (*keep, media_column)), *columns], names=[*keep, media_column, "n_images", "width", "height", "thumbnail", "thumb_hash", "sizes", "error"])
 
         return work
 
     head = ", ".join(f"`{k}` {kinds[k]}" for k in (*keep, media_column))
-    return map_slices(df.select(*keep, media_column), kernel, f"{head}, n_images int, width int, height int, thumbnail binary, thumb_hash string, sizes string", media_column)
+    return map_slices(df.select(*keep, media_column), kernel, f"{head}, n_images int, width int, height int, thumbnail binary, thumb_hash string, sizes string, error string", media_column)
