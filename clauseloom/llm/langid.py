@@ -7,7 +7,8 @@ buckets and languages only). Scoring is sparse and in batches: the rows of the m
 of a slice of texts are gathered and summed by text in numpy.
 
 Null texts and texts without letters get `und` and score 0. With no labelled row every text does.
-Ties go to the language that sorts first. Repeated rows are all kept; other columns are not carried.
+Ties go to the language that sorts first. Very long texts are scored whole. Repeated rows are all kept, an empty
+table gives an empty result, and other columns are neither read nor carried.
 """
 
 from __future__ import annotations

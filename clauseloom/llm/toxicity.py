@@ -12,8 +12,8 @@ word in numpy, whatever the number of landmarks; a text's margin is its largest
 curve makes margins scores.
 
 Training takes a bounded sample (parameters). Null or empty texts score as a text with no
-evidence. Without labels of both kinds every text scores 0. Repeated rows are all kept; other
-columns are not carried.
+evidence. Without labels of both kinds every text scores 0. Very long texts are scored whole. Repeated rows
+(ties) score alike and are all kept, an empty table gives an empty result, and other columns are not carried.
 """
 
 from __future__ import annotations
