@@ -70,6 +70,18 @@ def discard(*tables: DataFrame) -> None:
         delete(df.sparkSession, df._stored_at)
 
 
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str], n: str, most: int = 1000) -> DataFrame:
+    """many (stored) with few, which has one row for each key and in `n` the number of its rows in many.
+
+    At most `most` keys can have more than that part of many's rows: their rows of few are broadcast, so no task gets all
+    rows of a hot key. All other keys meet by shuffle.
+    """
+    total = many.count()
+    hot, cold = few.filter(F.col(n) * most > total).drop(n), few.filter(F.col(n) * most <= total).drop(n)
+    rest = many.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.hint("merge"), keys)
+    return many.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """batch in pieces of at most `most` bytes of text, or of one row."""
     if not batch.num_rows:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import column, discard, map_slices, mixed, stored, texts_of
+from clauseloom.llm.common import column, discard, map_slices, mixed, spread_join, stored, texts_of
 
 LAST = (1 << 63) - 1
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -228,11 +228,11 @@ def remove_repeats(df: DataFrame, window: int = 50, anchor: int = 8, id_column:
     docs = df.select(*row_ids(id_column, text_column), F.coalesce(F.col(id_column).cast("bigint"), F.lit(LAST)).alias("doc"), F.col(id_column), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     found = stored(find_pieces(docs, window, anchor), "pieces")
     # Anchors of more than one text; each is judged by its pieces.
-    marks = found.groupBy("mark").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), (F.min("content") != F.max("content")).alias("branches"))
-    repeated = marks.filter("low < high").select("mark", "branches")
-    places = stored(found.join(repeated.hint("merge"), "mark"), "places")
-    discard(found)
-    distinct = places.groupBy("mark", "content", "branches").agg(F.min(F.struct("doc", "rid", "rid2", "start", "windows")).alias("source"), F.max("doc").alias("last"))
+    marks = found.groupBy("mark").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), (F.min("content") != F.max("content")).alias("branches"), F.count("*").alias("n"))
+    repeated = stored(marks.filter("low < high").select("mark", "branches", "n"), "marks")
+    places = stored(spread_join(found, repeated, ["mark"], "n"), "places")
+    discard(found, repeated)
+    distinct = places.groupBy("mark", "content", "branches").agg(F.min(F.struct("doc", "rid", "rid2", "start", "windows")).alias("source"), F.max("doc").alias("last"), F.count("*").alias("n"))
     distinct = stored(distinct.filter("branches or source.doc < last"), "distinct")
     # Words of one source of each distinct piece: their digest, and the windows of branching anchors.
     parts = distinct.select("source.rid", "source.rid2", F.struct("mark", "content", "branches", F.col("source.start").alias("start"), F.col("source.windows").alias("windows"), F.col("source.doc").alias("first")).alias("part"))
@@ -244,9 +244,10 @@ def remove_repeats(df: DataFrame, window: int = 50, anchor: int = 8, id_column:
     lowest = each.groupBy(*same).agg(F.min("first").alias("low"), F.max("first").alias("high")).filter("low < high").select(*same, "low")
     lower = each.join(lowest.hint("merge"), same).filter("low < first").groupBy("mark", "content").agg(F.sort_array(F.collect_set("index")).alias("some"))
     # A piece goes whole where its first source is another text, else by its windows that occur earlier elsewhere.
-    judged = stored(windows.filter("index < 0").select("mark", "content", "first", "digest").join(lower, ["mark", "content"], "left"), "judged")
+    sized = windows.filter("index < 0").select("mark", "content", "first", "digest").join(distinct.select("mark", "content", "n"), ["mark", "content"])
+    judged = stored(sized.join(lower, ["mark", "content"], "left"), "judged")
     discard(distinct, windows)
-    hits = places.join(judged.hint("merge"), ["mark", "content"]).filter("doc > first or some is not null")
+    hits = spread_join(places, judged, ["mark", "content"], "n").filter("doc > first or some is not null")
     hits = hits.select("rid", "rid2", F.struct("start", "windows", "digest", F.when(F.col("doc") > F.col("first"), F.lit(None)).otherwise(F.col("some")).alias("some")).alias("span"))
     spans = hits.groupBy("rid", "rid2").agg(F.collect_set("span").alias("spans")).hint("merge")
     through = ["rid", "rid2", id_column, *["row"] * carry]
