@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# The words for streets, companies and mail addresses that patterns share.
 STREET = r"(?:Street|St\.?|Road|Rd\.?|Avenue|Ave\.?|Boulevard|Blvd\.?|Lane|Ln\.?|Drive|Dr\.?|Way|Circle|Cir\.?|Court|Ct\.?|Place|Pl\.?|Parkway|Pkwy\.?|Highway|Hwy\.?|Terrace|Ter\.?|Trail|Square|Sq\.?)"
 
 # The ordered, case-insensitive library of irreversible redaction (label, pattern in Java form).
@@ -38,6 +39,7 @@ LIBRARY_A: list[tuple[str, str]] = [
 PLAIN_LABELS = ("SSN", "TAX_ID", "CREDIT_CARD", "AMOUNT", "PHONE", "EMAIL")
 PLAIN: list[tuple[str, str]] = [(label, p) for label, p in LIBRARY_A if label in PLAIN_LABELS and "Dollars" not in p and "ollars" not in p]
 
+# Fixed values, as above.
 COMPANY_SUFFIX = r"(?:LLC|L\.L\.C\.|Inc\.?|Corp\.?|Corporation|Company|Co\.|LP|L\.P\.|LLP|Associates|Group|Center|Centre|Clinic|Lab|Laboratory|Foundation|Trust|Fund|Enterprises|Holdings|Services|Solutions|Properties|Realty|Management|Consulting|International|Limited|Ltd\.?)"
 STREET_B = r"(?:Street|St\.?|Avenue|Ave\.?|Road|Rd\.?|Drive|Dr\.?|Lane|Ln\.?|Court|Ct\.?|Boulevard|Blvd\.?|Way|Place|Pl\.?|Circle|Cir\.?|Parkway|Pkwy\.?|Highway|Hwy\.?|STREET|ST|AVENUE|AVE|ROAD|RD|DRIVE|DR|LANE|LN|COURT|CT|BOULEVARD|BLVD)"
 
@@ -56,6 +58,7 @@ LIBRARY_B: list[tuple[str, str]] = [
     ("PERSON", r"\b[A-Z][a-z]+ [A-Z][a-z]+\b"),
 ]
 
+# Fixed values, as above.
 STREET_WORD = r"(?:Street|St|Avenue|Ave|Road|Rd|Drive|Dr|Lane|Ln|Court|Ct|Boulevard|Blvd)"
 MAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 

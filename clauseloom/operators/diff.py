@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def change_type(old: Column, new: Column) -> Column:
-    """ADDED, DELETED, SAME, or by what changed."""
+    """ADDED, DELETED, SAME, or by what changed. The shares of the old length."""
     return (
         F.when(old.isNull(), "ADDED").when(new.isNull(), "DELETED").when(old == new, "SAME").when(new.contains("XXXX") & ~old.contains("XXXX"), "REDACTION")
         .when(F.length(new) < F.length(old) * 0.8, "MAJOR_DELETION").when(F.length(new) > F.length(old) * 1.2, "MAJOR_ADDITION")
@@ -19,6 +19,11 @@ def length_verdict(old: Column, new: Column) -> Column:
     return F.when(F.length(new) < F.length(old), "SHORTENED").when(F.length(new) > F.length(old), "LENGTHENED").otherwise("SAME")
 
 
+def weight_verdict(old: Column, new: Column) -> Column:
+    """As length_verdict, for changes that count: SIGNIFICANT from a fifth of the length on."""
+    return F.when(F.length(new) < F.length(old) * 0.8, "SIGNIFICANT SHORTENING").when(F.length(new) > F.length(old) * 1.2, "SIGNIFICANT LENGTHENING").otherwise("MINOR MODIFICATION")
+
+
 def compare(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """old and new (keys, text), paired by position; the longer side's rest is DELETED or ADDED."""
     both = old.withColumnRenamed("text", "old_text").join(new.withColumnRenamed("text", "new_text"), keys, "full_outer")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseloom.operators.score import REQUIRED_ROLES
@@ -10,14 +10,14 @@ from clauseloom.operators.score import REQUIRED_ROLES
 FIELDS = ("type", "find", "replace", "content", "qualifier", "anchor_quote", "anchor_description", "quoted", "category")
 EDIT = "array<struct<type:string,find:string,replace:string,content:string,qualifier:string,anchor_quote:string,anchor_description:string,quoted:string,category:string,candidates:array<string>>>"
 
-# The texts that edits insert.
+#: The texts that edits insert, unless a configuration brings others.
 TEMPLATES = {
-    "carveout_block": "Notwithstanding anything to the contrary, the term \"{conf}\" shall not include: (a) information already in {receiver}'s or its {reps}' possession prior to the date of disclosure or information that subsequently comes into {receiver}'s or its {reps}' possession and is not known by such party to be subject to a legal obligation of confidentiality owed to {receiver}; (b) information available to the public generally (other than as a result of the breach by {receiver} or its {reps} of this Agreement); (c) information independently developed by {receiver} or its {reps} without reliance on any {conf}.",
-    "prior_possession": "; ({letter}) information already in {receiver}'s or its {reps}' possession prior to the date of disclosure or information that subsequently comes into {receiver}'s or its {reps}' possession and is not known by such party to be subject to a legal obligation of confidentiality owed to {receiver}",
+    "carveout_block": "Notwithstanding anything to the contrary, the term \"{conf}\" shall not include: (a) information already in {receiver}'s or its {reps}' possession prior to the date of disclosure or information that subsequently comes into {receiver}'s or its {reps}' possession and is not known by such party to be subject to an obligation of confidentiality owed to {receiver}; (b) information available to the public generally (other than as a result of the breach by {receiver} or its {reps} of this Agreement); (c) information independently developed by {receiver} or its {reps} without reliance on any {conf}.",
+    "prior_possession": "; ({letter}) information already in {receiver}'s or its {reps}' possession prior to the date of disclosure or information that subsequently comes into {receiver}'s or its {reps}' possession and is not known by such party to be subject to an obligation of confidentiality owed to {receiver}",
     "independent_dev": "; ({letter}) information independently developed by {receiver} or its {reps} without reliance on any {conf}",
     "public": "; ({letter}) information available to the public generally (other than as a result of the breach by {receiver} or its {reps} of this Agreement)",
     "term_clause": "This Agreement shall be automatically terminated and expired {duration} after the date of this Agreement.",
-    "legal_compliance_block": "Notwithstanding the foregoing, {receiver} may disclose {conf} if required by court order, subpoena, or legal process, provided that {receiver} shall provide prompt notice to {provider} and cooperate on protective orders where practicable.",
+    "compelled_disclosure_block": "Notwithstanding the foregoing, {receiver} may disclose {conf} if required by court order, subpoena, or judicial process, provided that {receiver} shall provide prompt notice to {provider} and cooperate on protective orders where practicable.",
     "no_obligation": "{receiver} is not obligated to proceed with the Transaction by entering into this Agreement.",
     "signature_notation": "[Signatures are on the following page]",
 }
@@ -31,10 +31,10 @@ FEE_PHRASES = ["attorney's fees", "attorneys' fees", "attorneys fees"]
 COMMERCIAL_SWAPS = [("take all steps", "take all commercially reasonable steps"), ("shall ensure", "shall use commercially reasonable efforts to ensure"), ("best efforts", "commercially reasonable efforts")]
 
 
-def fill(template: str, **more: Column) -> Column:
+def fill(template: str, texts: dict[str, str] = TEMPLATES, **more: Column) -> Column:
     """A template with the document's own terms, or their defaults."""
     names = {"conf": ("conf_info_term", "Confidential Information"), "receiver": ("receiver_term", "Recipient"), "provider": ("provider_term", "Discloser"), "reps": ("reps_term", "Representatives")}
-    out = F.lit(TEMPLATES[template])
+    out = F.lit(texts.get(template, TEMPLATES[template]))
     for k, v in {**{k: F.coalesce(F.col(c), F.lit(d)) for k, (c, d) in names.items()}, **more}.items():
         out = F.replace(out, F.lit(f"{{{k}}}"), v)
     return out
@@ -55,8 +55,11 @@ def quote_of(*columns: str) -> Column:
     return F.coalesce(*(F.when((F.col(c) != "") & (F.col(c) != "NOT FOUND"), F.col(c)) for c in columns), F.lit(""))
 
 
-def rule_edits(as_of: str) -> dict[str, Column]:
-    """One column of edits for each rule. as_of: the date that blanks are filled with, such as `January 05, 2024`."""
+def rule_edits(as_of: str, texts: dict[str, str] = TEMPLATES, circumvention: str = "delete") -> dict[str, Column]:
+    """One column of edits for each rule. as_of: the date that blanks are filled with, such as `January 05, 2024`.
+
+    texts: templates that replace the default ones. circumvention: what becomes of such a clause, `delete` or a limit in words.
+    """
     conf = F.coalesce("conf_info_term", F.lit("Confidential Information"))
     receiver, provider = F.coalesce("receiver_term", F.lit("Recipient")), F.coalesce("provider_term", F.lit("Discloser"))
     missing = F.array_sort(F.array_except(F.array(*map(F.lit, ("public", "prior_possession", "independent_dev"))), "concepts_found"))
@@ -66,7 +69,7 @@ def rule_edits(as_of: str) -> dict[str, Column]:
 
     def missing_concept(concept: Column, i: Column) -> Column:
         letter = F.char(F.lit(97) + F.size("concepts_found") + i)
-        content = F.when(concept == "public", fill("public", letter=letter)).when(concept == "prior_possession", fill("prior_possession", letter=letter)).otherwise(fill("independent_dev", letter=letter))
+        content = F.when(concept == "public", fill("public", texts, letter=letter)).when(concept == "prior_possession", fill("prior_possession", texts, letter=letter)).otherwise(fill("independent_dev", texts, letter=letter))
         return edit("insert_after", "1_carveouts", tails, content=content)
 
     required = [r.lower() for r in REQUIRED_ROLES]
@@ -79,7 +82,7 @@ def rule_edits(as_of: str) -> dict[str, Column]:
     date_there = (F.coalesce("date_quote", F.lit("")) != "") & (F.col("date_quote") != "NOT FOUND")
     found = {c: F.array_contains("found", c) for c in ("c1", "c2", "c3", "c4", "c5", "c6", "c7", "c9")}
     return {
-        "1_carveouts": F.when(none_left, F.array(edit("insert_block", "1_carveouts", anchor_quote=quote_of("carveout_quote", "roles_quote", "sub_quote", "return_quote"), anchor_description="after confidential info definition", content=fill("carveout_block"))))
+        "1_carveouts": F.when(none_left, F.array(edit("insert_block", "1_carveouts", anchor_quote=quote_of("carveout_quote", "roles_quote", "sub_quote", "return_quote"), anchor_description="after confidential info definition", content=fill("carveout_block", texts))))
         .when(F.length("carveout_quote") > 20, F.transform(missing, missing_concept)).otherwise(F.array().cast(EDIT)),
         "2_representatives": F.concat(
             some((F.size(absent) > 0) & has_clause & (F.size("roles_found") > 0), edit("insert_after", "2_representatives", find=last_role, content=F.concat(F.lit(", "), F.array_join(absent, ", "), F.lit(",")))),
@@ -94,13 +97,17 @@ def rule_edits(as_of: str) -> dict[str, Column]:
             some(F.col("trigger") == "automatic", *(edit("swap_phrase", "4_return_destroy", find=p, replace=F.concat(F.lit("Upon "), provider, F.lit("'s request"))) for p in RETURN_PHRASES)),
             some(~F.coalesce("has_destroy_option", F.lit(False)), edit("insert_after", "4_return_destroy", find="return the", content=" or destroy/delete the")),
         ),
-        "5_non_circumvention": some(F.coalesce("scope", F.lit("none")) != "none", edit("delete_block", "5_non_circumvention", anchor_description="non-circumvention paragraph", quoted=F.col("circumvention_quote"))),
-        "6_term": F.when(no_term, F.array(edit("insert_block", "6_term", anchor_quote=quote_of("legal_quote", "return_quote", "circumvention_quote", "sub_quote", "roles_quote", "carveout_quote"), anchor_description="after last clause", content=fill("term_clause", duration=F.lit("1 year")))))
+        "5_non_circumvention": some(
+            F.coalesce("scope", F.lit("none")) != "none",
+            edit("delete_block", "5_non_circumvention", anchor_description="non-circumvention paragraph", quoted=F.col("circumvention_quote"))
+            if circumvention == "delete" else edit("insert_words", "5_non_circumvention", anchor_description="non-circumvention paragraph", quoted=F.col("circumvention_quote"), content=circumvention),
+        ),
+        "6_term": F.when(no_term, F.array(edit("insert_block", "6_term", anchor_quote=quote_of("compelled_quote", "return_quote", "circumvention_quote", "sub_quote", "roles_quote", "carveout_quote"), anchor_description="after last clause", content=fill("term_clause", texts, duration=F.lit("1 year")))))
         .when(years >= 5, F.array(edit("swap_phrase", "6_term", F.array(*map(F.lit, ("five (5) years", "5 years", "five years"))), replace="three (3) years")))
         .when(years >= 3, F.array(*(edit("swap_phrase", "6_term", F.array(F.lit(f"{w} ({n}) years"), F.lit(f"{n} years"), F.lit(f"{w} years")), replace="two (2) years") for n, w in ((4, "four"), (3, "three"))))).otherwise(F.array().cast(EDIT)),
         "7_effective_date": F.when(blank, F.when(date_there, F.filter(F.array(*(edit("swap_phrase", "7_effective_date", find=p, replace=f'{as_of} ("Effective Date")') for p in DATE_BLANKS)), lambda _: F.contains("date_quote", F.lit("_")))).otherwise(F.array().cast(EDIT)))
         .otherwise(some(~F.coalesce("signature_page_date_only", F.lit(False)) & ~F.coalesce("has_effective_date_label", F.lit(False)) & date_there & (F.trim(F.left("date_quote", F.lit(40))) != ""), edit("insert_after", "7_effective_date", find=F.trim(F.left("date_quote", F.lit(40))), content=' ("Effective Date")'))),
-        "8_legal_compliance": some(F.col("legal_quote") == "NOT FOUND", edit("insert_block", "8_legal_compliance", anchor_quote=quote_of("return_quote", "sub_quote", "roles_quote", "carveout_quote"), anchor_description="after confidentiality obligation paragraph", content=fill("legal_compliance_block"))),
+        "8_compelled_disclosure": some(F.col("compelled_quote") == "NOT FOUND", edit("insert_block", "8_compelled_disclosure", anchor_quote=quote_of("return_quote", "sub_quote", "roles_quote", "carveout_quote"), anchor_description="after confidentiality obligation paragraph", content=fill("compelled_disclosure_block", texts))),
         "9_remedies": F.concat(
             some(F.col("has_punitive_language"), *(edit("delete_phrase", "9_remedies", find=p) for p in PUNITIVE_PHRASES)),
             some(F.col("has_injunctive_relief") & ~F.coalesce("has_bond_waiver", F.lit(False)), edit("insert_after", "9_remedies", find="injunctive relief", content=" without necessity of posting any bond")),
@@ -108,16 +115,24 @@ def rule_edits(as_of: str) -> dict[str, Column]:
         "c1": some(found["c1"], edit("insert_after", "c1", find="facsimile", content=" or electronic")),
         "c2": some(found["c2"], *(edit("add_qualifier", "c2", find=p, qualifier="reasonable ") for p in FEE_PHRASES)),
         "c3": some(found["c3"], edit("insert_after", "c3", find="any disclosure", content=" that is in breach of this Agreement")),
-        "c4": some(found["c4"], edit("append_sentence", "c4", anchor_description="before signature block", content=fill("no_obligation"))),
+        "c4": some(found["c4"], edit("append_sentence", "c4", anchor_description="before signature block", content=fill("no_obligation", texts))),
         "c5": some(found["c5"], edit("swap_word", "c5", find="personal", replace="business")),
-        "c6": some(found["c6"], edit("insert_before_signature", "c6", content=fill("signature_notation"))),
+        "c6": some(found["c6"], edit("insert_before_signature", "c6", content=fill("signature_notation", texts))),
         "c7": some(found["c7"], *(edit("swap_phrase", "c7", find=a, replace=b) for a, b in COMMERCIAL_SWAPS)),
         "c9": some(found["c9"], edit("insert_words", "c9", anchor_description="in purpose clause", content=", purchasing")),
     }
 
 
-def generate(facts: DataFrame, as_of: str, enabled: dict[str, bool] | None = None) -> DataFrame:
-    """(doc_id, edit_seq, edit fields) of all rules that are enabled, in order."""
-    rules = [v for k, v in rule_edits(as_of).items() if (enabled or {}).get(k, True)]
-    out = facts.select("doc_id", F.posexplode(F.concat(*rules)).alias("i", "e"))
-    return out.select("doc_id", (F.col("i") + 1).alias("edit_seq"), "e.*")
+def generate(facts: DataFrame, as_of: str, enabled: dict[str, bool] | DataFrame | None = None, texts: dict[str, str] = TEMPLATES, circumvention: str = "delete") -> DataFrame:
+    """(doc_id, edit_seq, edit fields) of all rules that are enabled, in order.
+
+    enabled: switches by category, as a dict or as a table (category, enabled); a category that it doesn't name is on.
+    """
+    rules = list(rule_edits(as_of, texts, circumvention).items())
+    if isinstance(enabled, dict):
+        rules = [(k, v) for k, v in rules if enabled.get(k, True)]
+    out = facts.select("doc_id", F.posexplode(F.concat(*(v for _, v in rules))).alias("i", "e")).select("doc_id", "i", "e.*")
+    if isinstance(enabled, DataFrame):  # a row for each category: a dozen or two
+        out = out.join(F.broadcast(enabled.select("category", F.col("enabled").alias("on")).dropDuplicates(["category"])), "category", "left").filter(F.coalesce("on", F.lit(True))).drop("on")
+    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("i"))
+    return out.withColumn("edit_seq", seq).select("doc_id", "edit_seq", *FIELDS, "candidates")

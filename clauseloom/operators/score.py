@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # The roles that a representatives clause should name.
 REQUIRED_ROLES = ["affiliates", "directors", "officers", "employees", "members", "partners", "investors", "agents", "attorneys", "accountants", "brokers", "consultants", "advisors"]
 # The order of categories.
-CATEGORIES = ["1_carveouts", "2_representatives", "3_sub_agreement", "4_return_destroy", "5_non_circumvention", "6_term", "7_effective_date", "8_legal_compliance", "9_remedies"]
+CATEGORIES = ["1_carveouts", "2_representatives", "3_sub_agreement", "4_return_destroy", "5_non_circumvention", "6_term", "7_effective_date", "8_compelled_disclosure", "9_remedies"]
 
 
 def core_scores(required: list[str] = REQUIRED_ROLES) -> dict[str, Column]:
@@ -29,7 +29,7 @@ def core_scores(required: list[str] = REQUIRED_ROLES) -> dict[str, Column]:
         "5_non_circumvention": F.when(F.coalesce("scope", F.lit("none")) == "none", 0).when((limit == 0) & (F.col("scope") == "broad"), 9).when((limit == 0) & (F.col("scope") == "moderate"), 6).when(limit > 2, 5).otherwise(2),
         "6_term": F.when(F.col("duration_years").isNull(), 9).when(F.col("duration_years") > 2, 7).otherwise(0),
         "7_effective_date": F.when(yes("preamble_date_blank"), 8).when(F.col("date_quote") == "NOT FOUND", 7).when(~yes("has_effective_date_label"), 4).when(yes("signature_page_date_only"), 2).otherwise(0),
-        "8_legal_compliance": F.when(F.col("legal_quote") == "NOT FOUND", 8).when(~yes("has_notice_requirement"), 6).when(~yes("has_cooperation_provision"), 3).otherwise(0),
+        "8_compelled_disclosure": F.when(F.col("compelled_quote") == "NOT FOUND", 8).when(~yes("has_notice_requirement"), 6).when(~yes("has_cooperation_provision"), 3).otherwise(0),
         "9_remedies": F.when(punitive & ~injunctive & ~bond, 9).when(punitive & ~injunctive, 7).when(injunctive & ~bond, 5).when(injunctive & bond & punitive, 2).otherwise(0),
     }
 

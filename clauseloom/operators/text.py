@@ -55,9 +55,12 @@ def tokens(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
 def not_allowed(tokens: DataFrame, allow: DataFrame, allow_empty: bool = False) -> DataFrame:
     """Tokens of more than two letters whose lower case is not in allow (term). An empty list is an error unless allowed."""
-    if not allow_empty and allow.isEmpty():
-        raise ValueError("the allow-list is empty")
-    return tokens.withColumn("term", F.lower("word")).filter(F.length("word") > 2).join(allow.select("term"), "term", "left_anti")
+    out = tokens.withColumn("term", F.lower("word")).filter(F.length("word") > 2).join(allow.select("term"), "term", "left_anti")
+    if allow_empty:
+        return out
+    # The check is part of the same query: one row, which raises where the list holds nothing.
+    some = allow.agg(F.count("*").alias("n")).select(F.when(F.col("n") == 0, F.raise_error(F.lit("the allow-list is empty"))).otherwise(F.col("n")).alias("listed"))
+    return out.join(F.broadcast(some), F.col("listed") > 0).drop("listed")
 
 
 def html_to_text(html: Column) -> Column:
@@ -109,9 +112,11 @@ def mime_lines(lines: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def garbage(text: Column) -> Column:
-    """Whether a page holds a long base64 run or markup."""
+    """Whether a page holds a long base64 run, markup, or over ten words of which most are long and not all letters."""
     low = F.lower(text)
-    return text.rlike("[A-Za-z0-9+/]{50,}") | reduce(lambda a, b: a | b, (F.contains(low, F.lit(m)) for m in GARBAGE_MARKERS))
+    ws = words(low)
+    strange = (F.size(ws) > 10) & (F.size(F.filter(ws, lambda w: (F.length(w) > 8) & ~w.rlike("^[a-z]+$"))) > 0.5 * F.size(ws))
+    return strange |  text.rlike("[A-Za-z0-9+/]{50,}") | reduce(lambda a, b: a | b, (F.contains(low, F.lit(m)) for m in GARBAGE_MARKERS))
 
 
 def vowels(word: Column) -> Column:
@@ -121,6 +126,7 @@ def vowels(word: Column) -> Column:
 def random_artifact(word: Column) -> Column:
     """Whether a word looks like a code rather than language."""
     n, v = F.length(word), vowels(word)
+    # Shapes of codes, and below the shares of vowels that words have.
     shapes = ("^[A-Z]{2,4}[a-z]{1,4}[A-Z]*$", "^[A-Z]{2,}[a-z]{1,2}$", "^[a-z]+[A-Z]+[a-z]*$", "^[A-Z]+[a-z]+[A-Z]+", "[0-9]", "^[a-z]{1,3}[A-Z]{1,3}[a-z]*$", "^[bcdfghjklmnpqrstvwxyz]{4,}$", "^[a-z]{2}[A-Z][a-z]{2}$")
     by_shape = reduce(lambda a, b: a | b, (word.rlike(s) for s in shapes))
     return (n < 3) | (n > 15) | by_shape | (word.rlike("^[A-Z]{4,}$") & (n <= 6)) | ((n > 4) & (v == 0)) | ((n > 6) & ((n - v) / n > 0.8))
@@ -134,9 +140,10 @@ def regular_word(word: Column) -> Column:
     )
 
 
-def word_category(word: Column, common: DataFrame | None = None) -> Column:
-    """First match of: proper noun, abbreviation, technical, possible PII (the common terms are joined out before)."""
-    return F.when(word.rlike("^[A-Z][a-z]+$") & (F.length(word) > 3), "proper_noun").when(word.rlike("^[A-Z]{2,}$"), "abbreviation").when(word.rlike("^[a-z]+[A-Z]") | word.contains("Co") | word.contains("LLC"), "technical").otherwise("possible_pii")
+def word_category(word: Column, common: Column | None = None) -> Column:
+    """First match of: common (a word of the list, as a table `term` to be joined as `common`), proper noun, abbreviation, technical, possible PII."""
+    listed = F.lit(False) if common is None else common
+    return F.when(listed, "common").when(word.rlike("^[A-Z][a-z]+$") & (F.length(word) > 3), "proper_noun").when(word.rlike("^[A-Z]{2,}$"), "abbreviation").when(word.rlike("^[a-z]+[A-Z]") | word.contains("Co") | word.contains("LLC"), "technical").otherwise("possible_pii")
 
 
 def with_reasonable(text: Column) -> Column:

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions.patterns import LIBRARY_B
 
-# Endings of company names, legal and descriptive.
-LEGAL = ["llc", "inc", "corp", "corporation", "company", "lp", "llp", "limited", "ltd"]
+# Endings of company names: of corporate forms, and descriptive.
+CORPORATE = ["llc", "inc", "corp", "corporation", "company", "lp", "llp", "limited", "ltd"]
 DESCRIPTIVE = ["center", "centre", "clinic", "lab", "laboratory", "foundation", "trust", "fund", "enterprises", "holdings", "services", "solutions", "properties", "realty", "management", "consulting", "international", "associates", "group"]
-ENDING = re.compile(r"\b(?:" + "|".join(sorted(LEGAL + DESCRIPTIVE, key=len, reverse=True)) + r")\b\.?", re.IGNORECASE)
-OPENER = re.compile(r".*(?:,|\bWHEREAS\b|\band\b|\bbetween\b)\s*", re.DOTALL)
+ENDING = re.compile(r"\b(?:" + "|".join(sorted(CORPORATE + DESCRIPTIVE, key=len, reverse=True)) + r")\b\.?", re.IGNORECASE)
+OPENER = re.compile(r".*(?:,|\bWHEREAS\b|\band\b|\bbetween\b)\s*", re.DOTALL | re.IGNORECASE)
 PATTERNS = [(label, re.compile(p)) for label, p in LIBRARY_B]
 FOUND = "array<struct<seq:int,hex_id:string,type:string,original:string,placeholder:string>>"
 
@@ -27,14 +27,14 @@ def entities(text: str) -> list[str]:
     out = []
     for m in ENDING.finditer(head):
         end = m.end()
-        more = re.match(r",\s*(?:" + "|".join(LEGAL) + r")\b\.?", head[end:], re.IGNORECASE)
+        more = re.match(r",\s*(?:" + "|".join(CORPORATE) + r")\b\.?", head[end:], re.IGNORECASE)
         end += more.end() if more and m[0].lower().rstrip(".") in DESCRIPTIVE else 0
         start = head[: m.start()]
-        if m[0].lower().rstrip(".") in LEGAL:
+        if m[0].lower().rstrip(".") in CORPORATE:
             start = re.sub(r",\s*$", "", start)
         opener = OPENER.match(start)
         name = head[opener.end() if opener else 0 : end].strip()
-        if len(name.split()) >= 2 and len(name) <= 80 and "\n" not in name:
+        if len(name.split()) >= 2 and len(name) <= 80:
             out.append(name)
     return list(dict.fromkeys(out))
 
@@ -49,8 +49,9 @@ def redact(doc_id: str, text: str, allow: frozenset[str]) -> tuple[str, list[tup
             taken[start:end] = b"\1" * (end - start)
             spans.append((start, end, kind))
 
-    for name in sorted(entities(text), key=len, reverse=True):
-        for m in re.finditer(re.escape(name), text):
+    names = sorted(entities(text), key=len, reverse=True)
+    if names:
+        for m in re.finditer("|".join(map(re.escape, names)), text, re.IGNORECASE):
             claim(*m.span(), "COMPANY")
     for label, p in PATTERNS:
         for m in p.finditer(text):
@@ -62,16 +63,20 @@ def redact(doc_id: str, text: str, allow: frozenset[str]) -> tuple[str, list[tup
         whole = text[start:end]
         terms.setdefault(whole, kind)
         if kind == "COMPANY":
-            for part in re.split(r" and | & |, ", whole):
+            for part in re.split(r" and | & |, ", " ".join(whole.split())):
                 if len(part.split()) >= 2:
                     terms.setdefault(part, kind)
         if kind in ("COMPANY", "PERSON"):
-            for w in re.findall(r"[A-Z][A-Za-z]+", whole):
-                if len(w) > 2 and w.lower() not in allow:
+            for w in re.findall(r"(?!\d)[^\W_][\w'’-]*", whole):
+                if len(w) > 2 and w[0].isupper() and w.lower() not in allow:
                     terms.setdefault(w, kind)
-    for term in sorted(terms, key=lambda t: (-len(t), t)):
-        for m in re.finditer(r"\b" + re.escape(term) + r"(?!\w)", text, re.IGNORECASE):
-            claim(*m.span(), terms[term])
+    # One pass for all terms, the longest first, with any white space for white space.
+    order = sorted(terms, key=lambda t: (-len(t), t))
+    if order:
+        kinds = {" ".join(t.lower().split()): terms[t] for t in reversed(order)}
+        sweep = "|".join(r"\s+".join(map(re.escape, t.split())) for t in order)
+        for m in re.finditer(rf"(?<!\w)(?:{sweep})(?!\w)", text, re.IGNORECASE):
+            claim(*m.span(), kinds.get(" ".join(m[0].lower().split()), "PERSON"))
     out, rows, at = [], [], 0
     for seq, (start, end, kind) in enumerate(sorted(spans), 1):
         hex_id = hashlib.sha256(f"{doc_id}|{seq}".encode()).hexdigest()[:8]
@@ -95,5 +100,12 @@ def vault(docs: DataFrame, allow: frozenset[str] = frozenset()) -> DataFrame:
 
 
 def restored(text: Column, found: Column) -> Column:
-    """Placeholders back to originals, in order; placeholders are unique, so the order of restoring does not matter."""
-    return F.aggregate(found, text, lambda t, m: F.replace(t, m["placeholder"], m["original"]))
+    """Placeholders back to originals, in one pass: the text is cut at its marks, each of which carries its number in the vault."""
+    pieces = F.split(text, r"(?=\[[A-Z]+:[0-9a-f]{8}\.\d+\])")
+
+    def back(x: Column) -> Column:
+        mark = F.regexp_extract(x, r"^(\[[A-Z]+:[0-9a-f]{8}\.\d+\])", 1)
+        row = F.try_element_at(found, F.nullif(F.regexp_extract(x, r"^\[[A-Z]+:[0-9a-f]{8}\.(\d{1,9})\]", 1).try_cast("int"), F.lit(0)))
+        return F.when((mark != "") & (row["placeholder"] == mark), F.concat(row["original"], F.substr(x, F.length(mark) + 1))).otherwise(x)
+
+    return F.array_join(F.transform(pieces, back), "")

@@ -312,7 +312,7 @@ FACTS = """select doc_id,
  ['automatic','both','upon_request','none'][(doc_id % 4 + 1)::int] as trigger, doc_id % 3 = 0 as has_destroy_option, ['none','broad','moderate','narrow'][((doc_id // 3) % 4 + 1)::int] as scope,
  case when doc_id % 5 < 2 then null else (doc_id % 5 - 2)::double end as time_limit_years, case when doc_id % 7 = 0 then null else (doc_id % 7)::double end as duration_years, doc_id % 6 = 0 as preamble_date_blank,
  case when doc_id % 13 = 0 then 'NOT FOUND' else 'dated as of _____ day of _____ ' || doc_id end as date_quote, doc_id % 2 = 0 as has_effective_date_label, doc_id % 10 = 4 as signature_page_date_only,
- case when doc_id % 8 = 0 then 'NOT FOUND' else 'if required by law ' || doc_id end as legal_quote, doc_id % 3 <> 1 as has_notice_requirement, doc_id % 5 <> 2 as has_cooperation_provision,
+ case when doc_id % 8 = 0 then 'NOT FOUND' else 'if required by law ' || doc_id end as compelled_quote, doc_id % 3 <> 1 as has_notice_requirement, doc_id % 5 <> 2 as has_cooperation_provision,
  doc_id % 2 = 1 as has_punitive_language, doc_id % 3 = 1 as has_injunctive_relief, doc_id % 5 = 1 as has_bond_waiver from documents"""
 
 
@@ -330,7 +330,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(("automatic", "both", "upon_request", "none"), d % 4).alias("trigger"), (d % 3 == 0).alias("has_destroy_option"), pick(("none", "broad", "moderate", "narrow"), F.floor(d / 3) % 4).alias("scope"),
         F.when(d % 5 >= 2, (d % 5 - 2).cast("double")).alias("time_limit_years"), F.when(d % 7 != 0, (d % 7).cast("double")).alias("duration_years"), (d % 6 == 0).alias("preamble_date_blank"),
         F.when(d % 13 == 0, "NOT FOUND").otherwise(F.concat(F.lit("dated as of _____ day of _____ "), d.cast("string"))).alias("date_quote"), (d % 2 == 0).alias("has_effective_date_label"), (d % 10 == 4).alias("signature_page_date_only"),
-        F.when(d % 8 == 0, "NOT FOUND").otherwise(F.concat(F.lit("if required by law "), d.cast("string"))).alias("legal_quote"), (d % 3 != 1).alias("has_notice_requirement"), (d % 5 != 2).alias("has_cooperation_provision"),
+        F.when(d % 8 == 0, "NOT FOUND").otherwise(F.concat(F.lit("if required by law "), d.cast("string"))).alias("compelled_quote"), (d % 3 != 1).alias("has_notice_requirement"), (d % 5 != 2).alias("has_cooperation_provision"),
         (d % 2 == 1).alias("has_punitive_language"), (d % 3 == 1).alias("has_injunctive_relief"), (d % 5 == 1).alias("has_bond_waiver"),
         F.when(d % 4 == 0, "NOT FOUND").otherwise(F.concat(F.lit("the term shall not include information that is public "), d.cast("string"))).alias("carveout_quote"), F.lit("such persons sign").alias("sub_quote"), F.lit("return the materials").alias("return_quote"), F.lit("shall not contact").alias("circumvention_quote"), F.lit("five years").alias("term_quote"),
         F.lit(None).cast("string").alias("conf_info_term"), F.lit("Buyer").alias("receiver_term"), F.lit(None).cast("string").alias("provider_term"), F.when(d % 2 == 0, "Agents").alias("reps_term"),
@@ -346,7 +346,7 @@ SCORES = f"""facts as ({FACTS}), r as (select *, len(list_distinct(list_transfor
  union all select doc_id, '5_non_circumvention', case when scope = 'none' then 0 when lim = 0 and scope = 'broad' then 9 when lim = 0 and scope = 'moderate' then 6 when lim > 2 then 5 else 2 end from r
  union all select doc_id, '6_term', case when duration_years is null then 9 when duration_years > 2 then 7 else 0 end from r
  union all select doc_id, '7_effective_date', case when preamble_date_blank then 8 when date_quote = 'NOT FOUND' then 7 when not has_effective_date_label then 4 when signature_page_date_only then 2 else 0 end from r
- union all select doc_id, '8_legal_compliance', case when legal_quote = 'NOT FOUND' then 8 when not has_notice_requirement then 6 when not has_cooperation_provision then 3 else 0 end from r
+ union all select doc_id, '8_compelled_disclosure', case when compelled_quote = 'NOT FOUND' then 8 when not has_notice_requirement then 6 when not has_cooperation_provision then 3 else 0 end from r
  union all select doc_id, '9_remedies', case when has_punitive_language and not has_injunctive_relief then case when has_bond_waiver then 7 else 9 end when has_injunctive_relief and not has_bond_waiver then 5 when has_injunctive_relief and has_bond_waiver and has_punitive_language then 2 else 0 end from r)"""
 FINAL = f"{SCORES}, ai as (select doc_id, ['1_carveouts','3_sub_agreement','6_term','c1_electronic_sig'][(doc_id % 4 + 1)::int] as category, (doc_id % 11)::int as ai_score from documents), final as (select coalesce(code.doc_id, ai.doc_id) as doc_id, coalesce(code.category, ai.category) as category, greatest(coalesce(ai_score, 0), coalesce(code_score, 0))::int as final_score from ai full join code using (doc_id, category))"
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -26,19 +27,59 @@ def text_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def docx_paragraphs(spark: SparkSession, path: str) -> DataFrame:
-    """(path, para_no, text) of paragraphs that are not blank."""
+    """(path, para_no, text, error) of paragraphs that are not blank; a file that can't be read is one row with its error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for p, b in zip(pdf["path"], pdf["content"], strict=True):
-                root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(bytes(b))).read("word/document.xml"))
+                try:
+                    root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(bytes(b))).read("word/document.xml"))
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
+                    rows.append((p, None, None, f"{type(e).__name__}: {e}"))
+                    continue
                 texts = ["".join(t.text or "" for t in para.iter(f"{SPACE}t")) for para in root.iter(f"{SPACE}p")]
-                rows += [(p, k, t) for k, t in enumerate((t for t in texts if t.strip()), 1)]
-            yield pd.DataFrame(rows, columns=["path", "para_no", "text"])
+                rows += [(p, k, t, None) for k, t in enumerate((t for t in texts if t.strip()), 1)]
+            yield pd.DataFrame(rows, columns=["path", "para_no", "text", "error"]).astype({"para_no": "Int32"})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path)
-    return files.select("path", "content").mapInPandas(run, "path string, para_no int, text string")
+    return files.select("path", "content").mapInPandas(run, "path string, para_no int, text string, error string")
+
+
+def docx_text(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text, error): all paragraphs of a file, joined by a space."""
+    rows = F.array_sort(F.collect_list(F.struct("para_no", "text")))
+    return docx_paragraphs(spark, path).groupBy("path").agg(F.array_join(F.transform(rows, lambda x: x["text"]), " ").alias("text"), F.max("error").alias("error"))
+
+
+def unprocessed(files: DataFrame, marks: tuple[str, ...] = ("_REDACTED", "_FORMATTED", "mapping")) -> DataFrame:
+    """files (path, ...) whose names hold none of the marks of outputs, in the order of their paths."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.filter(~name.rlike("|".join(marks))).orderBy("path")
+
+
+def configuration(spark: SparkSession, path: str) -> dict:
+    """A client's JSON configuration or template file as a driver-side dict: one small file, read through Spark."""
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def rule_switches(spark: SparkSession, config: dict) -> DataFrame:
+    """(category, enabled) from a configuration's rules: a switch, or an object with one; on by default."""
+    rows = [(k, bool(v.get("enabled", True) if isinstance(v, dict) else v)) for k, v in config.get("rules", {}).items()]
+    return spark.createDataFrame(rows, "category string, enabled boolean")
+
+
+def mapping_entries(spark: SparkSession, path: str) -> DataFrame:
+    """The chunk entries of mapping files, with original_file."""
+    return spark.read.json(path, multiLine=True).select("original_file", F.explode("chunks").alias("c")).select("original_file", "c.*")
+
+
+def recommendations(docs: DataFrame, schema: str) -> DataFrame:
+    """(doc_id, seq, fields): the JSON array of a reply's fenced part, else of its outermost brackets; a broken one gives no rows."""
+    fenced = F.regexp_extract("text", r"(?s)```(?:json)?\s*(\[.*?\])\s*```", 1)
+    bare = F.regexp_extract("text", r"(?s)(\[.*\])", 1)
+    listed = F.from_json(F.when(fenced != "", fenced).otherwise(bare), f"array<struct<{schema}>>")
+    return docs.select("doc_id", F.posexplode(listed).alias("k", "r")).select("doc_id", (F.col("k") + 1).alias("seq"), "r.*")
 
 
 def term_list(spark: SparkSession, path: str) -> DataFrame:
@@ -48,9 +89,9 @@ def term_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reply_json(reply: Column, schema: str) -> Column:
-    """A model's reply as a struct: fences stripped, numbers without leading zeros, from the first [ or { on; null if it is broken."""
+    """A model's reply as a struct: fences stripped, control characters as blanks, numbers without leading zeros, from the first [ or { on; null if it is broken."""
     bare = F.regexp_replace(F.regexp_replace(reply, r"(?s)^.*?```(?:json)?\s*", ""), r"(?s)```.*$", "")
-    fixed = F.regexp_replace(F.regexp_replace(bare, r"[\t\r]", " "), r'("line_number":\s*)0+(\d)', "$1$2")
+    fixed = F.regexp_replace(F.regexp_replace(bare, r"[\x00-\x1F]", " "), r'("line_number":\s*)0+(\d)', "$1$2")
     return F.from_json(F.regexp_extract(fixed, r"(?s)([\[{].*[\]}])", 1), schema)
 
 

@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from clauseloom.functions.patterns import LIBRARY_A, LIBRARY_B0, LIBRARY_C, LIBRARY_T, PLAIN, STOP_TERMS_C
-from clauseloom.operators import edits, review, route, rules, score, split, text, vault
-from clauseloom.plans import registry
-from clauseloom.sources import readers
+from clauseloom.operators import edits, formats, review, route, rules, score, split, terms, text, variants, vault
+from clauseloom.plans import extra, registry
+from clauseloom.sources import readers, writers
 from tests.conftest import DATA, SMALL
 
 TABLES = ("documents", "pages", "benchmark", "conversations", "labels")
@@ -52,8 +52,8 @@ def test_full_library_on_a_fixture(spark):
 def test_fees_and_allow_list(spark):
     assert one(spark, text.with_reasonable(F.col("t")), t="attorneys' fees, reasonable attorney's fees") == "reasonable attorneys' fees, reasonable attorney's fees"
     none = spark.createDataFrame([], "term string")
-    with pytest.raises(ValueError):
-        text.not_allowed(text.tokens(spark.createDataFrame([(1, "Some words")], "doc_id int, text string")), none)
+    with pytest.raises(Exception, match="allow-list is empty"):
+        text.not_allowed(text.tokens(spark.createDataFrame([(1, "Some words")], "doc_id int, text string")), none).collect()
 
 
 def test_chunk_edges(spark):
@@ -226,3 +226,114 @@ def test_entry_module(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() >= 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_libraries_as_pythons_expressions(spark):
+    """The libraries without SQL, on all documents: the same matches in Python, whose word borders know accented letters too."""
+    docs = dict(duckdb.execute(f"select doc_id, text from '{DATA}/documents.parquet'").fetchall())
+
+    def trial(t):
+        for label, p in LIBRARY_T:
+            t = re.sub(p, f"[{label}]", t)
+        return t
+
+    def counted(t):
+        out, n = t, 0
+        for label, p in LIBRARY_C:
+            for m in re.finditer(p, t):
+                if not any(s in m[0].lower() for s in STOP_TERMS_C):
+                    n += 1
+                    out = out.replace(m[0], f"[{label}_{n}]", 1)
+        return out, n
+
+    got = {r.doc_id: r.redacted_sha for r in extra.trial_library_redaction(spark, DATA).collect()}
+    want = {i: hashlib.sha256(trial(t).encode()).hexdigest() for i, t in docs.items()}
+    assert [i for i in want if got[i] != want[i]] == []
+    made = {r.doc_id: (r.redacted_sha, r.found) for r in extra.counted_placeholders(spark, DATA).collect()}
+    want = {i: counted(t) for i, t in docs.items()}
+    assert [i for i, (t, n) in want.items() if made[i] != (hashlib.sha256(t.encode()).hexdigest(), n)] == []
+
+
+def test_counted_placeholders_on_a_fixture(spark):
+    x = terms.counted_placeholders(F.col("t"), LIBRARY_C, STOP_TERMS_C)
+    t = "John Smith met Jane Doe on March 3, 2024; John Smith of the Other Party left."
+    r = one(spark, x, t=t)
+    assert r.text == "[NAME_2] met [NAME_3] on [DATE_1]; [NAME_4] of the Other Party left." and len(r.found) == 4
+
+
+def test_text_formats(spark):
+    assert one(spark, formats.rejoined(F.col("t")), t="a protective order\r\n\n or other remedy b") == "a protective order or other remedy b"
+    assert one(spark, formats.cleaned(F.col("t")), t='junk<html><p class="x">A =93b=94&nbsp;c</p><br>d<i>e</i>') == 'A "b" c\nde'
+    assert one(spark, formats.emboldened(F.col("t")), t="x (the Seller) y") == "x <b>(the Seller)</b> y"
+    assert one(spark, formats.reply_body(F.col("t")), t="Here it is\n\n  one \ntwo") == "one\ntwo" and one(spark, formats.reply_body(F.col("t")), t="Here") == "Here"
+    assert one(spark, formats.reply_names(F.col("t")), t="The names:\n- Acme LLC\n* ab\nLongname") == ["Acme LLC", "Longname"]
+    assert one(spark, formats.prompt_head(F.col("t"), 3), t="abcdef") == "abc" and one(spark, formats.blank_line_paragraphs(F.col("t"), 2), t="a\n\nb\n\nc") == ["a", "b"]
+    runs = one(spark, formats.unified_words(F.col("a"), F.col("b")), a="one two three four", b="one 2 3 four")
+    assert [(r.kind, r.word) for r in runs] == [(" ", "one"), ("-", "two"), ("-", "three"), ("+", "2"), ("+", "3"), (" ", "four")]
+    assert [r.kind for r in one(spark, formats.unified_words(F.col("a"), F.col("b")), a="x y", b="x y")] == [" ", " "]
+
+
+def test_edit_variants(spark):
+    assert one(spark, variants.surgical(F.col("a"), F.lit("alpha beta gamma delta eps zeta"), F.lit("X")), a="one two three four alpha beta gamma delta eps ZETA y z w") == "one X w"
+    assert one(spark, variants.surgical(F.col("a"), F.lit("nowhere"), F.lit("X")), a="text") is None
+    assert one(spark, variants.four_steps(F.col("a"), F.lit("b\tc  d"), F.lit("X")), a="a B c d e") == "a X e"
+    assert one(spark, variants.inserted_by_name(F.col("a"), F.lit("Exclusions"), F.lit("new")), a="It shall not include that.") == "It shall not include new that."
+    runs = one(spark, variants.redline(F.col("a"), F.lit("old"), F.lit("new")), a="an old hat, old")
+    assert [(r.kind, r.text) for r in runs] == [("before", "an "), ("deleted", "old"), ("inserted", "new"), ("after", " hat, old")]
+    found = vault.vault(spark.createDataFrame([(1, "Call (555) 123-4567 now.")], "doc_id bigint, text string"))
+    x = variants.four_outputs(F.col("redacted"), F.replace("redacted", F.lit("now"), F.lit("later")), lambda t: vault.restored(t, F.col("found")))
+    r = found.select(x.alias("x")).first().x
+    assert r.restored_before == "Call (555) 123-4567 now." and r.restored_after == "Call (555) 123-4567 later." and "555" not in r.redacted_after
+
+
+def test_vault_rows_and_odd_names(spark):
+    """Expected rows, not only a round trip: separators and names in any case, broken lines, accents, literal marks in the text."""
+    t = "made BY AND BETWEEN Acme Widget\nCompany and O\u2019Brien Holdings. Later, acme widget company, [ZIP:00000000.0] and [ZIP:0011aabb.1]."
+    r = vault.vault(spark.createDataFrame([(1, t)], "doc_id bigint, text string")).withColumn("back", vault.restored(F.col("redacted"), F.col("found"))).first()
+    assert r.back == t and [(f.type, f.original) for f in r.found] == [("COMPANY", "Acme Widget\nCompany"), ("COMPANY", "O\u2019Brien Holdings."), ("COMPANY", "acme widget company")]
+    assert all(f.placeholder in r.redacted for f in r.found)
+
+
+def test_switches_and_templates(spark):
+    facts = registry.facts(spark, SMALL).filter("doc_id < 40")
+    every = rules.generate(facts, "d").groupBy("category").count().collect()
+    off = spark.createDataFrame([("6_term", False), ("c1", True)], "category string, enabled boolean")
+    some = {r.category for r in rules.generate(facts, "d", off).collect()}
+    assert some == {r.category for r in every} - {"6_term"}
+    words = rules.generate(facts, "d", texts={"no_obligation": "{receiver} may walk."}, circumvention="for one year")
+    assert {r.content for r in words.filter("category = 'c4'").collect()} == {"Buyer may walk."}
+    assert {(r.type, r.content) for r in words.filter("category = '5_non_circumvention'").collect()} == {("insert_words", "for one year")}
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    import io
+    import json
+    import zipfile
+
+    xml = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:p><w:t>One</w:t><w:t> two</w:t></w:p><w:p/><w:p><w:t>Three</w:t></w:p></w:document>'
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("word/document.xml", xml)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.docx").write_bytes(raw.getvalue())
+    (tmp_path / "in/b.docx").write_bytes(b"broken")
+    (tmp_path / "in/c_REDACTED.docx").write_bytes(raw.getvalue())
+    where = str(tmp_path / "in")
+    got = {r.path[-6:]: (r.text, r.error is None) for r in readers.unprocessed(readers.docx_text(spark, where)).collect()}
+    assert got == {"a.docx": ("One two Three", True), "b.docx": ("", False)}
+    (tmp_path / "c.json").write_text(json.dumps({"rules": {"6_term": {"enabled": False}, "c1": True}}))
+    config = readers.configuration(spark, str(tmp_path / "c.json"))
+    assert {(r.category, r.enabled) for r in readers.rule_switches(spark, config).collect()} == {("6_term", False), ("c1", True)}
+    (tmp_path / "m.json").write_text(json.dumps({"original_file": "x", "chunks": [{"order": 1, "filename": "f1"}, {"order": 2, "filename": "f2"}]}))
+    assert [tuple(r) for r in readers.mapping_entries(spark, str(tmp_path / "m.json")).select("original_file", "order").orderBy("order").collect()] == [("x", 1), ("x", 2)]
+    reply = spark.createDataFrame([(1, 'Sure:\n```json\n[{"find": "a", "new": "b"}, {"find": "c", "new": "d"}]\n```\nDone [1]'), (2, "none")], "doc_id int, text string")
+    assert [tuple(r) for r in readers.recommendations(reply, "find:string,new:string").orderBy("seq").collect()] == [(1, 1, "a", "b"), (1, 2, "c", "d")]
+    chunks = split.char_chunks(spark.createDataFrame([(1, "x" * 1500)], "doc_id bigint, text string"))
+    writers.write_chunks(chunks, str(tmp_path / "out"), "doc_id")
+    assert "doc_id=1" in {p.name for p in (tmp_path / "out/chunks").iterdir()} and '"total_chunks":2' in spark.read.parquet(str(tmp_path / "out/mapping")).first().mapping
+    applied = spark.createDataFrame([(1, "6_term", 9, 1, 12), (1, "c1", 3, 3, 12)], "doc_id bigint, category string, final_score int, band int, total bigint")
+    assert json.loads(writers.analysis_json(applied).first().analysis) == {"total": 12, "categories": [{"band": 1, "category": "6_term", "final_score": 9}, {"band": 3, "category": "c1", "final_score": 3}]}
+    assert "| 6_term | 9 | 1 |" in writers.score_report(applied).first().report
+    assert one(spark, writers.redaction_summary(F.col("t"), F.array(F.lit(1), F.lit(2))), t="x").endswith("Total redactions: 2\n")
+    writers.write_final(chunks, str(tmp_path / "final"))
+    assert writers.logged(chunks, "chunks", str(tmp_path / "run")).count() == 2 and spark.read.parquet(str(tmp_path / "run/run_log")).first().rows == 2
