@@ -188,6 +188,8 @@ class Encoder:
         self.voc = Vocabulary(path)
         self.path, self.library = path, None
         self.known: dict[str, bytes] = {}
+        #: Words of the texts at hand that are not kept.
+        self.long: list[str] = []
 
     def words(self, text: str) -> list[str | int]:
         if not text.isascii() and has_unknown(text):
@@ -221,6 +223,7 @@ class Encoder:
         if new:
             for w, ids in zip(new, merge_all(new, self.voc), strict=True):
                 self.known[w] = ids.tobytes()
+            self.long = [w for w in new if len(w) > CACHED_WORD]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -231,13 +234,11 @@ class Encoder:
         self.learn(fresh)
         known = self.known
         out = [b"".join([known[w] for w in ws]) for ws in cut]
-        self.forget_long()
+        for w in self.long:
+            del known[w]
+        self.long = []
         return out
 
-    def forget_long(self) -> None:
-        for w in [w for w in self.known if type(w) is str and len(w) > CACHED_WORD]:
-            del self.known[w]
-
 
 @functools.cache
 def encoder(path: str) -> Encoder:
