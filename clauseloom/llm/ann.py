@@ -7,11 +7,10 @@ an unbiased estimate of the inner product follows, and an error bound that holds
 share of vectors (`confidence` deviations). Vectors whose lower bound of the distance does not
 exceed the k-th smallest upper bound are reranked with original vectors in double precision.
 
-Each row is coded once. Codes (bits and scalars, not vectors) and the stated query set meet in blocks, by a hash
-of the row, so hot vectors or labels spread evenly and each pair of blocks is one group, of bounded size whatever
-the data; it returns the rows whose bounds reach its own k best. The k-th smallest upper bound over all blocks
-then leaves few rows for each query, and only these are joined with their vectors. No index is fitted on a
-sample: the rotation is drawn from a seed, and the centre is the mean of all vectors.
+Each row is in one block, by a hash of its number, so hot vectors or labels spread evenly. Queries are
+a stated set; they too come in blocks, and each pair of blocks is one group, of bounded size whatever
+the data, that reranks inside and returns the best k of its rows for each query. These partial lists merge by
+window. No index is fitted on a sample: the rotation is drawn from a seed, the centre is the block's.
 
 Every row but the query's own is a candidate, also those that repeat an id or a vector; a query row that repeats
 an id gets its own result. Vectors that are null, zero, or hold null or non-finite components, and null ids,
@@ -39,95 +38,81 @@ def rotation(dim: int, code_dim: int, seed: int = 7) -> np.ndarray:
     return (q * np.sign(np.diag(r))).astype(np.float64)
 
 
-def code_size(dim: int, oversample: int) -> int:
-    return 8 * math.ceil(dim * oversample / 8)
-
-
-def coded(vectors: np.ndarray, centre: np.ndarray, oversample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each vector's packed bits, its norm about the centre, and the inner product of the normed vector with its own code."""
-    size = code_size(vectors.shape[1], oversample)
-    apart = vectors - centre
-    norm = np.linalg.norm(apart, axis=1)
-    turned = (apart / np.maximum(norm, 1e-30)[:, None]) @ rotation(vectors.shape[1], size).T
-    return np.packbits(turned > 0, axis=1), norm, np.where(norm > 0, np.abs(turned).sum(axis=1) / math.sqrt(size), 1.0)
-
-
-def bounds(bits: np.ndarray, norm: np.ndarray, own: np.ndarray, queries: np.ndarray, centre: np.ndarray, oversample: int, confidence: float) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of the squared distances, queries x codes."""
-    size = code_size(queries.shape[1], oversample)
-    apart = queries - centre
-    reach = np.linalg.norm(apart, axis=1)
-    turned = ((apart / np.maximum(reach, 1e-30)[:, None]) @ rotation(queries.shape[1], size).T).astype(np.float32)
-    signs = np.unpackbits(bits, axis=1)[:, :size].astype(np.float32)
-    # <query, code> = 2 <query, bits> - sum of the query, over the root of the number of dimensions
-    product = (2 * (turned @ signs.T) - turned.sum(axis=1, keepdims=True)) / np.float32(math.sqrt(size))
-    estimate = product / own.astype(np.float32)
-    error = confidence * np.sqrt((1 - np.minimum(own, 1) ** 2) / own**2 / (size - 1)) + 1e-5
-    base = (reach**2)[:, None] + (norm**2)[None, :]
-    scale = 2 * reach[:, None] * norm[None, :]
-    return base - scale * (estimate + error), base - scale * (estimate - error)
-
-
-def nearest(df: DataFrame, is_query: Column, k: int = 10, oversample: int = 4, confidence: float = 3.5, block_rows: int = 32768, query_rows: int = 2048, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+class Codes:
+    """One-bit codes of a block of vectors."""
+
+    def __init__(self, vectors: np.ndarray, oversample: int) -> None:
+        n, dim = vectors.shape
+        self.code_dim = 8 * math.ceil(dim * oversample / 8)
+        self.turn = rotation(dim, self.code_dim)
+        self.centre = vectors.mean(axis=0)
+        apart = vectors - self.centre
+        self.norm = np.linalg.norm(apart, axis=1)
+        turned = (apart / np.maximum(self.norm, 1e-30)[:, None]) @ self.turn.T
+        self.bits = np.packbits(turned > 0, axis=1)
+        #: The inner product of each normed vector with its own code (signs over the root of code_dim).
+        self.own = np.where(self.norm > 0, np.abs(turned).sum(axis=1) / math.sqrt(self.code_dim), 1.0)
+
+    def bounds(self, queries: np.ndarray, confidence: float) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of the squared distances, queries x vectors."""
+        apart = queries - self.centre
+        size = np.linalg.norm(apart, axis=1)
+        turned = ((apart / np.maximum(size, 1e-30)[:, None]) @ self.turn.T).astype(np.float32)
+        signs = np.unpackbits(self.bits, axis=1)[:, : self.code_dim].astype(np.float32)
+        # <query, code> = 2 <query, bits> - sum of the query, over the root of the number of dimensions
+        product = (2 * (turned @ signs.T) - turned.sum(axis=1, keepdims=True)) / np.float32(math.sqrt(self.code_dim))
+        estimate = product / self.own.astype(np.float32)
+        error = confidence * np.sqrt((1 - np.minimum(self.own, 1) ** 2) / self.own**2 / (self.code_dim - 1)) + 1e-5
+        base = (size**2)[:, None] + (self.norm**2)[None, :]
+        scale = 2 * size[:, None] * self.norm[None, :]
+        return base - scale * (estimate + error), base - scale * (estimate - error)
+
+
+def search_block(rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, query_rows: np.ndarray, queries: np.ndarray, k: int, oversample: int, confidence: float):
+    """For each query its k nearest of the block: (query row, row, id, distance), and how many were reranked."""
+    codes = Codes(vectors, oversample)
+    out, reranked, step = [], 0, max(1, (1 << 21) // len(ids))
+    for start in range(0, len(query_rows), step):
+        low, high = codes.bounds(queries[start : start + step], confidence)
+        for q, query, lo, hi in zip(query_rows[start : start + step].tolist(), queries[start : start + step], low, high, strict=True):
+            most = np.partition(hi, k)[k] if len(hi) > k + 1 else np.inf  # k + 1, as the query itself may be among them
+            at = np.flatnonzero(lo <= most)
+            at = at[rows[at] != q]
+            reranked += len(at)
+            exact = np.sqrt(((vectors[at] - query) ** 2).sum(axis=1))
+            best = np.lexsort((rows[at], ids[at], exact))[:k]
+            out.append((np.full(len(best), q), rows[at][best], ids[at][best], exact[best]))
+    return [np.concatenate(x) for x in zip(*out, strict=True)], reranked
+
+
+def nearest(df: DataFrame, is_query: Column, k: int = 10, oversample: int = 4, confidence: float = 3.5, block_rows: int = 8192, query_rows: int = 4096, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score (Euclidean distance) of each query's k nearest other rows."""
     v = F.col(vector_column)
     fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
     kept = df.filter(F.col(id_column).isNotNull() & fine).select(F.col(id_column).cast("bigint").alias("id"), v.alias("v"), F.size(v).alias("dim"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    # Numbers of rows as they are stored, so that rows which repeat an id stay apart.
     rows = stored(kept.withColumn("row", F.monotonically_increasing_id()), "vectors")
     n, n_queries = rows.agg(F.count("*"), F.count_if("asks")).first()
     blocks, query_blocks = max(1, math.ceil(n / block_rows)), max(1, math.ceil(n_queries / query_rows))
-    # One vector for each length that vectors have.
-    means = rows.select("dim", F.posexplode("v").alias("at", "x")).groupBy("dim", "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    centres: dict[int, np.ndarray] = {}
-    for dim, at, x in means.collect():
-        centres.setdefault(dim, np.zeros(dim))[at] = x
-
-    def matrix(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
-        flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        return np.asarray(flat.flatten(), dtype=np.float64).reshape(n, -1)
-
-    def code(batches):
-        for batch in batches:
-            dims = np.asarray(batch.column(1))
-            for dim in np.unique(dims).tolist():
-                part = batch.take(pa.array(np.flatnonzero(dims == dim)))
-                bits, norm, own = coded(matrix(part.column(2), part.num_rows), centres[dim], oversample)
-                packed = pa.array([b.tobytes() for b in bits], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), packed, pa.array(norm), pa.array(own)], names=["row", "dim", "bits", "norm", "own"])
-
-    def spread(seed: int, parts: int) -> Column:
-        return F.pmod(F.xxhash64(F.col("row"), F.lit(seed)), F.lit(parts)).cast("int")
-
-    codes = rows.select("row", "dim", "v").mapInArrow(code, "row bigint, dim int, bits binary, norm double, own double")
-    codes = codes.select("*", spread(1, blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"))
-    asked = rows.filter("asks")
-    queries = asked.select("row", "v", "dim", spread(2, query_blocks).alias("query_block"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    block = F.pmod(F.xxhash64(F.col("row"), F.lit(1)), F.lit(blocks)).cast("int")
+    query_block = F.pmod(F.xxhash64(F.col("row"), F.lit(2)), F.lit(query_blocks)).cast("int")
+    candidates = rows.select("row", "id", "v", "dim", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"))
+    queries = rows.filter("asks").select("row", "id", "v", "dim", query_block.alias("query_block"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+
+    def vectors(t: pa.Table) -> np.ndarray:
+        return np.asarray(t.column("v").combine_chunks().flatten(), dtype=np.float64).reshape(t.num_rows, -1)
 
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
-        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
+        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if a.num_rows and b.num_rows:
-            dim, out = a.column("dim")[0].as_py(), []
-            bits = np.frombuffer(b"".join(a.column("bits").to_pylist()), np.uint8).reshape(a.num_rows, -1)
-            own_rows, norm, own = (a.column(c).to_numpy() for c in ("row", "norm", "own"))
-            query_rows_, q = b.column("row").to_numpy(), matrix(b.column("v"), b.num_rows)
-            step = max(1, (1 << 21) // a.num_rows)
-            for start in range(0, len(q), step):
-                low, high = bounds(bits, norm, own, q[start : start + step], centres[dim], oversample, confidence)
-                most = np.partition(high, k, axis=1)[:, k] if a.num_rows > k + 1 else np.full(len(high), np.inf)  # k + 1, as the query itself may be among them
-                i, j = np.nonzero(low <= most[:, None])
-                other = query_rows_[start + i] != own_rows[j]
-                i, j = i[other], j[other]
-                out.append((query_rows_[start + i], own_rows[j], low[i, j], high[i, j]))
-            found = [np.concatenate(x) for x in zip(*out, strict=True)]
-        return pa.table(dict(zip(("query", "row", "low", "high"), found, strict=True)))
+            numbers = (t.column(c).to_numpy() for t, c in ((a, "row"), (a, "id"), (b, "row")))
+            own, ids, asked = numbers
+            found, _ = search_block(own, ids, vectors(a), asked, vectors(b), k, oversample, confidence)
+        return pa.table(dict(zip(("query", "row", "vec_id", "score"), found, strict=True)))
 
     keys = ("dim", "block", "query_block")
-    hopeful = stored(codes.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(search, "query bigint, row bigint, low double, high double"), "hopeful")
-    kth = Window.partitionBy("query").orderBy("high", "row")
-    limit = hopeful.select("query", "high", F.row_number().over(kth).alias("n")).filter(F.col("n") <= k).groupBy("query").agg(F.max("high").alias("most"), F.count("*").alias("n"))
-    close = hopeful.join(limit, "query").filter((F.col("low") <= F.col("most")) | (F.col("n") < k)).select("query", "row")
-    both = close.join(rows.select("row", "id", F.col("v").cast("array<double>").alias("v")), "row").join(asked.select(F.col("row").alias("query"), F.col("id").alias("query_id"), F.col("v").cast("array<double>").alias("qv")), "query")
-    squares = F.zip_with("v", "qv", lambda x, y: (x - y) * (x - y))
-    scored = both.select("query", "query_id", "row", F.col("id").alias("vec_id"), F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)).alias("score"))
+    found = candidates.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(search, "query bigint, row bigint, vec_id bigint, score double")
     order = Window.partitionBy("query").orderBy("score", "vec_id", "row")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    asked = rows.filter("asks").select(F.col("row").alias("query"), F.col("id").alias("query_id"))
+    return best.join(asked, "query").select("query_id", "rank", "vec_id", "score")
