@@ -158,24 +158,25 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def dominated(filling: tuple[int, ...], counts: dict[int, int], capacity: int) -> bool:
+def dominated(filling: tuple[int, ...], counts: dict[int, int], capacity: int, known: int | None = None) -> bool:
     """Whether a length left out fits in the filling's waste or could take the place of others beside the largest, and still fit.
 
-    Sums of one length and of several are told apart, as a length in its own place is no change.
+    Sums of one length and of several are told apart, as a length in its own place is no change. Sets of lengths and sums
+    are bits of integers (known: those of counts), so all lengths left out are tried at once, for each amount by which
+    one may be larger.
     """
-    waste, used = capacity - sum(filling), Counter(filling)
+    free = sum(1 << x for x, n in counts.items() if n) if known is None else known
+    waste = capacity - sum(filling)
+    for x, n in Counter(filling).items():
+        if counts[x] <= n:
+            free &= ~(1 << x)
+    if free & ((2 << waste) - 1):
+        return True
     one, more = 0, 0  # bit n: some single length, some several, add up to n
     for s in filling[1:]:
         more |= (more | one) << s
         one |= 1 << s
-    for x, n in counts.items():
-        if n > used[x]:
-            if x <= waste:
-                return True
-            low = x - waste
-            if (more >> low) & ((1 << (waste + 1)) - 1) or (one >> low) & ((1 << waste) - 1):
-                return True
-    return False
+    return any((more << d | (one << d if d else 0)) & free for d in range(waste + 1))
 
 
 def completions(counts: dict[int, int], order: list[int], capacity: int, steps: int | None = 400, most: int | None = 6) -> tuple[list[tuple[int, ...]], bool]:
@@ -187,6 +188,7 @@ def completions(counts: dict[int, int], order: list[int], capacity: int, steps:
     largest = order[0]
     out: dict[tuple[int, ...], None] = {}
     made, whole = 0, True
+    known = sum(1 << x for x in order)
     stack = [(capacity - largest, 0, (largest,))]
     while stack:
         if steps is not None and made >= steps and out:
@@ -197,7 +199,7 @@ def completions(counts: dict[int, int], order: list[int], capacity: int, steps:
         while k < len(order) and order[k] > room:
             k += 1
         if k == len(order):
-            if not dominated(chosen, counts, capacity):
+            if not dominated(chosen, counts, capacity, known):
                 out[chosen] = None
             continue
         s = order[k]
