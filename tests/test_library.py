@@ -175,7 +175,7 @@ def test_followup_over_the_whole_text(spark, tmp_path):
     t = "x" * 400 + " 123-45-6789 title of 123-45-6789 Company and 123-45-6789 name"
     spark.createDataFrame([(1, "s", t)], "doc_id bigint, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     want = "x" * 400 + " [REDACT] [REDACT] of [REDACT] [REDACT] and [REDACT] name"
-    assert [tuple(r) for r in registry.redaction_followup_whole(spark, str(tmp_path)).select("redacted_sha", "n").collect()] == [(hashlib.sha256(want.encode()).hexdigest(), len(want))]
+    assert [tuple(r) for r in registry.redaction_followup(spark, str(tmp_path)).select("redacted_sha", "n").collect()] == [(hashlib.sha256(want.encode()).hexdigest(), len(want))]
 
 
 def test_full_library_in_queries(spark, tmp_path):
@@ -222,6 +222,14 @@ def test_saved_pages(spark):
     assert got == {k: plain_mhtml(t) for k, t in enumerate(made)}
 
 
+def test_binary_parts_go(spark, tmp_path):
+    html = "keep one\nContent-Transfer-Encoding: base64\nAAAA\n------MultipartBoundary--x\nkeep two\ncontent-type: IMAGE/png\ndropped"
+    spark.createDataFrame([(1, html), (2, "keep three"), (3, None)], "page_id bigint, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    md5 = {hashlib.md5(line.encode()).hexdigest(): line for line in html.split("\n") + ["keep three"]}
+    got = {(r.page_id, r.line_no, md5[r.line_md5]) for r in registry.mime_part_skip(spark, str(tmp_path)).collect()}
+    assert got == {(1, 1, "keep one"), (1, 5, "keep two"), (2, 1, "keep three")}
+
+
 def test_entry_module(spark):
     import __spark_entry__ as e
 
