@@ -12,7 +12,7 @@ meets most others. In buckets that still hold several classes, only the members
 are compared with the others of other classes, block against block, so a task's share is bounded whatever
 the bucket's size and a link is lost only if no sketch of its two nodes agrees (below 1 in 10,000 at 0.8,
 less above). Before alignment, pairs are left out that differ too much in length (exact) or in more of 256
-one-bit minima than linked pairs can (short texts) or do (MOST_DIFFERENT, five deviations, long ones;
+one-bit minima than linked pairs can (short texts) or do (MOST_DIFFERENT, seven deviations, long ones;
 256 leaves this step out). In alignments a block's common text travels once, not once for each pair.
 
 Null texts and texts without a word (also empty ones) are classes of their own. Rows that repeat an id and
@@ -41,7 +41,7 @@ HELD, FEW, LONG, SHORT = 5, 2, 24, 40
 #: Distinct words whose hashes a worker keeps.
 MOST_WORDS = 150_000
 #: The most of 256 one-bit minima that linked texts differ in: at 0.8, 26 are expected, with a deviation of 4.8.
-MOST_DIFFERENT = 50
+MOST_DIFFERENT = 60
 #: Bounds of a block of a bucket's members (texts, shingles), and about how many texts one text is aligned with at once.
 BLOCK, BLOCK_SHINGLES, ALIGNED = 2048, 1 << 19, 64
 
