@@ -46,24 +46,11 @@ def lowered(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, ascii_uppercase, ascii_lowercase))
 
 
-def let(value: Column, body) -> Column:
-    """body of the value, which is computed once for each row."""
-    return F.transform(F.array(value), body)[0]
-
-
-def fingerprints(words: Column, span: int, gram: int) -> Column:
-    """For each window of `span` words the least hash of its runs of `gram` words; empty for shorter texts."""
+def fingerprint(hashes: Column, start: Column, span: int, gram: int) -> Column:
+    """The least hash of the runs of `gram` words in the window of `span` words at `start` (from 0)."""
     k = min(gram, span)
-    w = span - k + 1
-
-    def grams(h: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(k))))
-
-    def least(g: Column) -> Column:
-        return g if w == 1 else F.transform(F.sequence(F.lit(0), F.size(g) - w), lambda i: F.least(*(F.get(g, i + j) for j in range(w))))
-
-    hashed = F.transform(words, lambda x: F.xxhash64(lowered(x)))
-    return F.when(F.size(words) >= span, let(hashed, lambda h: let(grams(h), least))).otherwise(F.array().cast("array<bigint>"))
+    runs = [F.xxhash64(*(F.get(hashes, start + (i + j)) for j in range(k))) for i in range(span - k + 1)]
+    return F.least(*runs) if len(runs) > 1 else runs[0]
 
 
 def window_text(span: int) -> Column:
@@ -72,10 +59,14 @@ def window_text(span: int) -> Column:
 
 
 def windows(texts: DataFrame, span: int, gram: int, keep: list[str]) -> DataFrame:
-    """keep, words, start and fingerprint of each window of texts (keep, words)."""
-    own = texts.select(*keep, "words", fingerprints(F.col("words"), span, gram).alias("prints"))
-    # The outer form: the plain one would have the fingerprints computed again in a filter before it.
-    return own.select(*keep, "words", F.posexplode_outer("prints").alias("start", "print"))
+    """keep, words, start and fingerprint (print) of each window of texts (keep, words).
+
+    Words are hashed once by a text; from there on all is generated code, a row for each window. The outer form of the
+    generator: the plain one would have the words computed again in a filter before it.
+    """
+    own = texts.select(*keep, "words", F.transform("words", lambda x: F.xxhash64(lowered(x))).alias("hashes"))
+    each = own.select(*keep, "words", "hashes", F.posexplode_outer("hashes").alias("start", "hash"))
+    return each.filter(F.col("start") <= F.size("hashes") - span).select(*keep, "words", "start", fingerprint(F.col("hashes"), F.col("start"), span, gram).alias("print"))
 
 
 def contamination(
@@ -89,7 +80,7 @@ def contamination(
     rows_of_items = max(1, math.ceil(items.count() / ITEMS_PER_ROW))
     found = []
     for n in lengths:
-        of_items = windows(items.filter(F.col("span") == n), n, gram, ["item"]).filter("start is not null").select("print", window_text(n).alias("window"), "item")
+        of_items = windows(items.filter(F.col("span") == n), n, gram, ["item"]).select("print", window_text(n).alias("window"), "item")
         salt = F.pmod(F.xxhash64("item"), F.lit(rows_of_items))
         known = stored(of_items.groupBy("print", "window", salt.alias("salt")).agg(F.collect_set("item").alias("items")).drop("salt"), "benchmark")
         size = known.agg(F.sum(F.octet_length("window") + 16 + 16 * F.size("items"))).first()[0]
