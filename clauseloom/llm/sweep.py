@@ -61,7 +61,7 @@ def winners(versions: DataFrame, queries: DataFrame, payload: list[str], share:
     """
     start = F.greatest("event", "arrival")
     order = F.struct(*(F.struct(F.col(c).isNotNull(), c) for c in ("id", *payload)))  # the largest id, then the largest payload
-    usable = versions.filter(F.col("key").isNotNull() & F.col("id").isNotNull() & (start < F.col("expiry"))).withColumn("start", start)
+    usable = versions.filter("key is not null and id is not null and event is not null and arrival is not null").filter(start < F.col("expiry")).withColumn("start", start)
     one = usable.groupBy("key", "event", "arrival", "expiry", "start").agg(F.max_by(F.struct("id", *payload), order).alias("w")).select("key", "event", "arrival", "expiry", "start", "w.*")
     own = stored(one, "versions")
     asked = stored(queries.filter("key is not null and at is not null").select("key", "at").distinct(), "queries")

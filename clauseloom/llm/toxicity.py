@@ -27,16 +27,21 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import code_points, column, map_slices, texts_of
+from clauseloom.llm.common import code_points, column, map_slices, mixed, texts_of
 
 GAP = 0.7
 OFFSETS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
 #: Symbols have six bits; these two are not letters.
 SKIP, BREAK, END = 0, 62, 63
-#: The least log-likelihood ratio of a letter sequence that landmarks are chosen around.
-SURPRISE = 9.0
-#: A margin below any that words have.
+#: What words begin with, so that sequences can tell a word's start: free, as skipped signs are gone by then.
+START = SKIP
+#: What the log-likelihood ratio of a letter sequence must exceed the logarithm of the number of sequences tried by, and
+#: the least number of texts, none a near copy of another, that must have it, for landmarks to be chosen around it.
+SURPRISE, SUPPORT = 5.0, 4
+#: The least margin that counts: no word at all.
 NO_EVIDENCE = -1.0
+#: The strongest different words of a text that count, and the words from which on a text's number of words does.
+STRONGEST, FEW_WORDS = 3, 50
 
 
 @functools.cache
@@ -56,7 +61,7 @@ def alphabet() -> np.ndarray:
 
 
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts' letters; the number of the word that each is in; the text that each word is in."""
+    """All texts' letters, each word's after a START; the number of the word that each is in; the text that each word is in."""
     points, _ = code_points([t.replace("\0", " ") + "\0" for t in texts])
     s = alphabet()[points]
     s = s[s != SKIP]
@@ -70,8 +75,9 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     breaks = s >= BREAK
     word = np.cumsum(breaks)
     text_of = np.concatenate(([0], np.cumsum(s[breaks] == END)))
-    keep = ~breaks
-    return s[keep].astype(np.uint32), word[keep], text_of
+    letters, word = s[~breaks].astype(np.uint32), word[~breaks]
+    starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else np.zeros(0, np.int64)
+    return np.insert(letters, starts, START), np.insert(word, starts, word[starts]), text_of
 
 
 def triples(letters: np.ndarray, word: np.ndarray):
@@ -120,37 +126,88 @@ def features(words: list[bytes], landmarks: list[bytes]) -> np.ndarray:
     return out
 
 
-def choose_landmarks(toxic: list[list[bytes]], clean: list[list[bytes]], most: int) -> list[bytes]:
-    """Frequent words of toxic texts around four-letter sequences that tell them from clean ones."""
+def apart(docs: list[list[bytes]], signs: int = 16, shared: int = 6) -> list[int]:
+    """The first of each group of near copies: texts of which `shared` of `signs` least word hashes agree (about that share of words)."""
+    rng = np.random.default_rng(11)
+    turns = rng.integers(1, 1 << 63, (signs, 2), dtype=np.uint64) | np.uint64(1)
+    place: dict[bytes, int] = {}
+    numbers = [np.array([place.setdefault(w, len(place)) for w in d], dtype=np.uint64) for d in docs]
+    spread = mixed(np.arange(1, len(place) + 1, dtype=np.uint64))
+    least = [((spread[n][:, None] * turns[:, 0]) ^ turns[:, 1]).min(axis=0) if len(n) else None for n in numbers]
+    out, holders = [], [{} for _ in range(signs)]
+    for i, row in enumerate(least):
+        if row is None:
+            continue
+        met: dict[int, int] = {}
+        for h, x in zip(holders, row.tolist(), strict=True):
+            for j in h.get(x, ()):
+                met[j] = met.get(j, 0) + 1
+        if max(met.values(), default=0) < shared:
+            out.append(i)
+            for h, x in zip(holders, row.tolist(), strict=True):
+                h.setdefault(x, []).append(i)
+    return out
+
+
+def sequences(word: bytes) -> set[bytes]:
+    """A word's runs of five symbols."""
+    return {word[i : i + 5] for i in range(len(word) - 4)}
+
+
+def telling_sequences(toxic: list[list[bytes]], clean: list[list[bytes]], most: int) -> list[bytes]:
+    """Sequences that tell toxic texts from clean ones, strongest first.
 
-    def by_gram(docs: list[list[bytes]], n: dict[bytes, int], grow: bool) -> dict[bytes, int]:
+    The more sequences are tried, the higher the bar: by chance alone about exp(-SURPRISE) of them would pass in all. Near copies
+    count once, as they share each other's chance sequences.
+    """
+
+    toxic, clean = ([docs[i] for i in apart(docs)] for docs in (toxic, clean))
+    if not toxic or not clean:
+        return []
+    number: dict[bytes, int] = {}
+    of_word: dict[bytes, np.ndarray] = {}
+
+    def texts_with(docs: list[list[bytes]], grow: bool) -> np.ndarray:
+        """In how many of docs each known sequence is."""
+        n = np.zeros(len(number), dtype=np.int64)
         for ws in docs:
-            for g in {w[i : i + 4] for w in ws for i in range(len(w) - 3)}:
-                if grow or g in n:
-                    n[g] = n.get(g, 0) + 1
+            for w in ws:
+                if w not in of_word:
+                    ids = [number.setdefault(g, len(number)) for g in sequences(w)] if grow else [number[g] for g in sequences(w) if g in number]
+                    of_word[w] = np.array(ids, dtype=np.int32)
+            ids = np.unique(np.concatenate([of_word[w] for w in ws])) if ws else []
+            n = np.append(n, np.zeros(len(number) - len(n), dtype=np.int64))
+            n[ids] += 1
         return n
 
-    t = by_gram(toxic, {}, True)
-    c = by_gram(clean, dict.fromkeys(t, 0), False)
+    often = texts_with(toxic, True)
+    tried = [g for g, i in number.items() if often[i] >= SUPPORT]
+    t = {g: int(often[number[g]]) for g in tried}
+    number, of_word = {g: i for i, g in enumerate(tried)}, {}
+    c = dict(zip(tried, texts_with(clean, False).tolist(), strict=True))
     ratio = len(clean) / len(toxic)
-
-    def weight(g: bytes) -> float:
-        return t[g] * np.log((t[g] + 0.1) * ratio / (c.get(g, 0) + 0.1 * ratio + 0.1))
-
     base = len(toxic) / (len(toxic) + len(clean))
+    bar = SURPRISE + np.log(max(1, len(t)))
 
     def surprise(g: bytes) -> float:
         """The log-likelihood ratio of g's share of toxic texts against the base rate."""
-        n, p = t[g] + c.get(g, 0), t[g] / (t[g] + c.get(g, 0))
+        n, p = t[g] + c[g], t[g] / (t[g] + c[g])
         return n * (p * np.log(p / base) + ((1 - p) * np.log((1 - p) / (1 - base)) if p < 1 else 0)) if p > base else 0.0
 
-    marked = sorted((g for g in t if t[g] * ratio > 3 * c.get(g, 0)), key=lambda g: (-weight(g), g))
-    ranked = [g for g in marked if surprise(g) >= SURPRISE][: 8 * most] or marked[:20]
+    def weight(g: bytes) -> float:
+        return t[g] * np.log((t[g] + 0.1) * ratio / (c[g] + 0.1 * ratio + 0.1))
+
+    marked = {g: surprise(g) for g in t if t[g] * ratio > 3 * c[g]}
+    return sorted((g for g, x in marked.items() if x >= bar), key=lambda g: (-weight(g), g))[: 8 * most]
+
+
+def choose_landmarks(toxic: list[list[bytes]], ranked: list[bytes], most: int) -> list[bytes]:
+    """Frequent words of toxic texts around the telling sequences."""
     wanted = set(ranked)
     by_word: dict[bytes, dict[bytes, int]] = {}
     for ws in toxic:
         for w in ws:
-            for g in {w[i : i + 4] for i in range(len(w) - 3)} & wanted:
+            for g in sequences(w) & wanted:
                 by_word.setdefault(g, {})[w] = by_word.setdefault(g, {}).get(w, 0) + 1
     out: list[bytes] = []
     covered: dict[bytes, int] = {}
@@ -159,7 +216,7 @@ def choose_landmarks(toxic: list[list[bytes]], clean: list[list[bytes]], most: i
             w = min((w for w in by_word[g] if w not in out), key=lambda w: (-by_word[g][w], len(w), w), default=None)
             if w is not None:
                 out.append(w)
-                for x in {w[i : i + 4] for i in range(len(w) - 3)}:
+                for x in sequences(w):
                     covered[x] = covered.get(x, 0) + 1
     return out
 
@@ -177,14 +234,36 @@ def linear_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: fl
     return w[:-1], float(w[-1])
 
 
-def logistic(m: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """The slope and offset of the likeliest logistic curve, by Newton steps."""
-    ab, x = np.array([1.0, 0.0]), np.column_stack((m, np.ones(len(m))))
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The likeliest logistic curve's coefficients, the last without a column, by Newton steps."""
+    x = np.column_stack((x, np.ones(len(x))))
+    ab = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ ab, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2), x.T @ (weight * (p - y)) + 1e-2 * ab)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(ab)), x.T @ (weight * (p - y)) + 1e-2 * ab)
         ab = ab - np.clip(step, -5, 5)
-    return float(ab[0]), float(ab[1])
+    return ab
+
+
+def evidence(margins: np.ndarray, text_of: np.ndarray, n: int) -> np.ndarray:
+    """For each of n texts the margins of its STRONGEST different words, largest first, and how many words it has, as a logarithm.
+
+    Words of one text with the same margin are one word.
+    """
+    out = np.full((n, STRONGEST + 1), NO_EVIDENCE)
+    out[:, -1] = 0
+    if len(margins):
+        order = np.lexsort((-margins, text_of))
+        m, t = margins[order], text_of[order]
+        new = np.concatenate(([True], (t[1:] != t[:-1]) | (m[1:] != m[:-1])))
+        m, t = m[new], t[new]
+        first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+        size = np.diff(np.concatenate((first, [len(t)])))
+        rank = np.arange(len(t)) - np.repeat(first, size)
+        top = rank < STRONGEST
+        out[t[top], rank[top]] = np.clip(m[top], NO_EVIDENCE, 3)
+        out[t[first], -1] = np.log(np.maximum(size, FEW_WORDS) / FEW_WORDS)
+    return out
 
 
 @dataclass
@@ -192,28 +271,27 @@ class ToxicityModel:
     #: A weight for each subsequence of three symbols.
     table: np.ndarray
     bias: float
-    slope: float
-    offset: float
+    #: The logistic curve over evidence(): a coefficient for each of its columns, and the constant.
+    curve: np.ndarray
     landmarks: list[bytes]
 
-    def margins(self, texts: list[str]) -> np.ndarray:
-        out = np.full(len(texts), NO_EVIDENCE)
+    def evidence(self, texts: list[str]) -> np.ndarray:
         letters, word, text_of = words_of(texts)
         at, margins = word_margins(self.table, letters, word)
-        np.maximum.at(out, text_of[at], margins + self.bias)
-        return np.clip(out, -3, 3)
+        return evidence(margins + self.bias, text_of[at], len(texts))
 
-    def bag_margins(self, bags: list) -> np.ndarray:
-        """The margins of texts with these words."""
+    def bag_evidence(self, bags: list) -> np.ndarray:
+        """The evidence of texts with these words."""
         every = sorted(set().union(*bags))
         place = {w: i for i, w in enumerate(every)}
         _, margins = word_margins(self.table, np.frombuffer(b"".join(every), np.uint8).astype(np.uint32), np.repeat(np.arange(len(every)), [len(w) for w in every]))
-        return np.clip([max((margins[place[w]] + self.bias for w in b), default=NO_EVIDENCE) for b in bags], -3, 3).clip(NO_EVIDENCE)
+        words = np.fromiter((place[w] for b in bags for w in b), dtype=np.int64)
+        return evidence(margins[words] + self.bias, np.repeat(np.arange(len(bags)), [len(b) for b in bags]), len(bags))
 
     def score(self, texts: list[str]) -> np.ndarray:
         if not self.landmarks or not texts:
             return np.zeros(len(texts))
-        return 1 / (1 + np.exp(-(self.slope * self.margins(texts) + self.offset)))
+        return 1 / (1 + np.exp(-(self.evidence(texts) @ self.curve[:-1] + self.curve[-1])))
 
 
 def bags_of(texts: list[str]) -> list[set[bytes]]:
@@ -235,12 +313,14 @@ def fit(texts: list[str], toxic: list[int], weight: list[float], most_landmarks:
 
 def fit_bags(bags: list, toxic: list[int], weight: list[float], most_landmarks: int = 96, strongest: int = 8, rounds: int = 4) -> ToxicityModel:
     """As fit, from each distinct text's distinct words."""
-    empty = ToxicityModel(np.zeros(1 << 18, np.float32), 0.0, 1.0, 0.0, [])
+    empty = ToxicityModel(np.zeros(1 << 18, np.float32), 0.0, np.zeros(STRONGEST + 2), [])
     y = np.array(toxic)
     if not (y == 1).any() or not (y == 0).any():
         return empty
-    docs = [sorted(w for w in b if 3 <= len(w) <= 40) for b in bags]
-    marks = choose_landmarks([d for d, k in zip(docs, toxic, strict=True) if k], [d for d, k in zip(docs, toxic, strict=True) if not k], most_landmarks)
+    docs = [sorted(w for w in b if 4 <= len(w) <= 41) for b in bags]
+    bad_docs = [d for d, k in zip(docs, toxic, strict=True) if k]
+    telling = telling_sequences(bad_docs, [d for d, k in zip(docs, toxic, strict=True) if not k], most_landmarks)
+    marks = choose_landmarks(bad_docs, telling, most_landmarks)
     if not marks:
         return empty
     # One pass with all landmarks' subsequences picks each text's strongest words.
@@ -254,12 +334,15 @@ def fit_bags(bags: list, toxic: list[int], weight: list[float], most_landmarks:
     every = sorted(set().union(*docs))
     place = {w: i for i, w in enumerate(every)}
     _, strength = word_margins(first, np.frombuffer(b"".join(every), np.uint8).astype(np.uint32), np.repeat(np.arange(len(every)), [len(w) for w in every]))
-    tops = [sorted(d, key=lambda w: (-strength[place[w]], w))[:strongest] for d in docs]
+    # Toxic-labelled texts without any telling sequence show nothing that the machine could learn: they count for the curve only.
+    seen = set(telling)
+    shows = [bool(k) and any(seen & sequences(w) for w in d) for d, k in zip(docs, toxic, strict=True)]
+    tops = [sorted(d, key=lambda w: (-strength[place[w]], w))[:strongest] if bad or not k else [] for d, k, bad in zip(docs, toxic, shows, strict=True)]
     chosen = sorted(set().union(*map(set, tops)))
     row = {w: i for i, w in enumerate(chosen)}
     # Strongest words of toxic texts also train with a letter put in at each place.
     bad_words = sorted({w for t, k in zip(tops, toxic, strict=True) if k for w in t})
-    put_in = {w: [w[:i] + bytes([1 + (7 * i + w[0]) % 26]) + w[i:] for i in range(1, len(w))] for w in bad_words}
+    put_in = {w: [w[:i] + bytes([1 + (7 * i + w[0]) % 26]) + w[i:] for i in range(2, len(w))] for w in bad_words}
     start, all_words = {}, list(chosen)
     for w in bad_words:
         start[row[w]] = range(len(all_words), len(all_words) + len(put_in[w]))
@@ -281,8 +364,8 @@ def fit_bags(bags: list, toxic: list[int], weight: list[float], most_landmarks:
     for part, b in zip(own, root @ w, strict=True):
         for u, k in part:
             np.add.at(table, u, np.float32(k * b))
-    model = ToxicityModel(table, bias, 1.0, 0.0, marks)
-    model.slope, model.offset = logistic(model.bag_margins(bags), y.astype(float), np.array(weight))
+    model = ToxicityModel(table, bias, np.zeros(STRONGEST + 2), marks)
+    model.curve = logistic(model.bag_evidence(bags), y.astype(float), np.array(weight))
     return model
 
 

@@ -162,7 +162,7 @@ def test_op3_trains_on_words_as_on_texts(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
     got, want = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic")), toxicity.fit([r[1] for r in rows], [r[2] for r in rows], [1.0] * len(rows))
     assert got.landmarks and np.allclose(got.score([r[1] for r in rows]), want.score([r[1] for r in rows]), atol=1e-3)
-    assert np.allclose(want.bag_margins(toxicity.bags_of([r[1] for r in rows])), want.margins([r[1] for r in rows]), atol=1e-4)
+    assert np.allclose(want.bag_evidence(toxicity.bags_of([r[1] for r in rows])), want.evidence([r[1] for r in rows]), atol=1e-4)
     known = inspect.signature(toxicity.train).parameters, inspect.signature(toxicity.fit_bags).parameters
     assert (known[0]["max_toxic"].default, known[0]["max_clean"].default, known[1]["most_landmarks"].default, known[1]["strongest"].default) == (1000, 3000, 96, 8)
 
@@ -595,7 +595,7 @@ def test_odd_documents_everywhere(spark):
     got = {r.doc_id: r.lang_pred for r in langid.identify(df, model).collect()}
     assert got[1] == got[2] == got[7] == "und"
     assert jpeg.read_media(jpeg.store_texts(df)).count() == n
-    tox = toxicity.ToxicityModel(np.zeros(1 << 18, np.float32), -1.0, 1.0, 0.0, [b"x"])
+    tox = toxicity.ToxicityModel(np.zeros(1 << 18, np.float32), -1.0, np.ones(toxicity.STRONGEST + 2), [b"x"])
     assert toxicity.score(df, tox).count() == n and toxicity.score(df.limit(0), tox).count() == 0
     assert len({r.score for r in toxicity.score(df, tox).filter("doc_id in (1, 2)").collect()}) == 1
     assert ordermin.near_classes(df).count() == n and substring.remove_repeats(df).count() == n
