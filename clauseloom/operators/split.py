@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clauseloom.operators.text import garbage, plain_words
+from clauseloom.operators.text import garbage, let, not_allowed, plain_words, words
 
 
 def keyed_hash(*parts: str) -> Column:
@@ -14,10 +14,13 @@ def keyed_hash(*parts: str) -> Column:
 
 
 def char_chunks(docs: DataFrame, size: int = 1000) -> DataFrame:
-    """chunk_order (from 1), content, start_char (1-based), end_char (inclusive). An empty text has no chunk."""
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(size)), lambda _: F.length("text") > 0)
-    out = docs.select("doc_id", "text", F.posexplode(starts).alias("n", "start_char"))
-    out = out.select("doc_id", (F.col("n") + 1).alias("chunk_order"), F.substr(F.col("text"), F.col("start_char"), F.lit(size)).alias("content"), "start_char")
+    """chunk_order (from 1), content, start_char (1-based), end_char (inclusive). An empty text has no chunk.
+
+    The text is cut once, in one pass: a substring for each chunk would count characters from the start each time.
+    """
+    parts = docs.select("doc_id", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("parts"))
+    out = parts.select("doc_id", F.posexplode_outer("parts").alias("n", "content")).filter("content is not null")
+    out = out.select("doc_id", (F.col("n") + 1).alias("chunk_order"), "content", (F.col("n") * size + 1).alias("start_char"))
     out = out.withColumn("char_count", F.length("content")).withColumn("end_char", F.col("start_char") + F.col("char_count") - 1)
     return out.withColumn("hash_id", keyed_hash("doc_id", "chunk_order"))
 
@@ -46,27 +49,57 @@ def select_pages(pages: DataFrame, flagged: Column) -> DataFrame:
     return pages.withColumn("flagged", flagged & ~garbage(F.col("content"))).withColumn("last", last).filter((F.col("chunk_order") == 1) | (F.col("chunk_order") == F.col("last")) | F.col("flagged")).drop("last")
 
 
+def sentence_pieces(docs: DataFrame) -> DataFrame:
+    """doc_id, n (pieces of the text), sent_idx (from 0), sentence (trimmed).
+
+    Pieces are cut once a text and numbered by the outer generator: the plain one would cut them again in a filter.
+    """
+    cut = docs.select("doc_id", F.split("text", "[.!?]+").alias("pieces"))
+    rows = cut.select("doc_id", F.size("pieces").alias("n"), F.posexplode_outer("pieces").alias("sent_idx", "raw"))
+    return rows.select("doc_id", "n", "sent_idx", F.trim("raw").alias("sentence"))
+
+
+def at_risk(risky: Column) -> Column:
+    return (F.length("sentence") >= 20) & ((F.col("sent_idx") < 10) | (F.col("sent_idx") >= F.col("n") - 5) | risky)
+
+
 def risk_sentences(docs: DataFrame, risky: Column) -> DataFrame:
     """Sentences of 20 characters or more that are among the first 10 or last 5 pieces, or risky."""
-    pieces = F.split("text", "[.!?]+")
-    out = docs.select("doc_id", F.size(pieces).alias("n"), F.posexplode(pieces).alias("sent_idx", "raw")).withColumn("sentence", F.trim("raw"))
-    return out.filter((F.length("sentence") >= 20) & ((F.col("sent_idx") < 10) | (F.col("sent_idx") >= F.col("n") - 5) | risky)).select("doc_id", "sent_idx", "sentence")
+    return sentence_pieces(docs).filter(at_risk(risky)).select("doc_id", "sent_idx", "sentence")
+
+
+def flagged_sentences(docs: DataFrame, allow: DataFrame) -> DataFrame:
+    """As risk_sentences, where a sentence is risky that has a word of over two letters off the allow-list (term).
+
+    Distinct words meet the list first, so each is looked up once; then the sentences that hold one of the others are kept.
+    """
+    long = sentence_pieces(docs).filter(F.length("sentence") >= 20)
+    inner = long.filter(~at_risk(F.lit(False)))
+    held = inner.select("doc_id", "sent_idx", "sentence", F.explode_outer(F.array_distinct(words(F.col("sentence")))).alias("word"))
+    found = not_allowed(held, allow).select("doc_id", "sent_idx", "sentence").distinct()
+    return long.filter(at_risk(F.lit(False))).select("doc_id", "sent_idx", "sentence").unionByName(found)
 
 
 def pack_sections(sections: DataFrame, most_words: int = 300) -> DataFrame:
-    """Greedy, order-preserving packing of sentences; a longer one has a chunk of its own. chunk_no, content, word_count."""
+    """Greedy, order-preserving packing of sentences; a longer one has a chunk of its own. chunk_no, content, word_count.
+
+    The fold keeps only where chunks start; contents are joined once from there.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("sent_idx", "sentence", F.size(plain_words(F.col("sentence"))).alias("n"))))
-    start = F.struct(F.array().cast("array<struct<content:string,word_count:int>>").alias("done"), F.lit("").alias("content"), F.lit(0).alias("n"))
+    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at"), F.lit(0).alias("n"))
 
     def step(s, x):
-        fits = (s["n"] == 0) | (s["n"] + x["n"] <= most_words)
-        closed = F.concat(s["done"], F.array(F.struct(s["content"].alias("content"), s["n"].alias("word_count"))))
-        return F.struct(F.when(fits, s["done"]).otherwise(closed).alias("done"), F.when(fits & (s["n"] > 0), F.concat_ws(" ", s["content"], x["sentence"])).otherwise(x["sentence"]).alias("content"), F.when(fits, s["n"] + x["n"]).otherwise(x["n"]).alias("n"))
+        opens = (s["at"] == 0) | ((s["n"] > 0) & (s["n"] + x["n"] > most_words))
+        return F.struct(F.when(opens, F.array_append(s["starts"], s["at"])).otherwise(s["starts"]).alias("starts"), (s["at"] + 1).alias("at"), F.when(opens, x["n"]).otherwise(s["n"] + x["n"]).alias("n"))
 
-    def finish(s):
-        return F.when(s["n"] > 0, F.concat(s["done"], F.array(F.struct(s["content"].alias("content"), s["n"].alias("word_count"))))).otherwise(s["done"])
+    def chunk(starts: Column, at: Column, i: Column) -> Column:
+        own = F.slice("all", at + 1, F.coalesce(F.get(starts, i + 1), F.size("all")) - at)
+        content = F.array_join(F.transform(own, lambda x: x["sentence"]), " ")
+        return F.struct(content.alias("content"), F.aggregate(own, F.lit(0), lambda n, x: n + x["n"]).alias("word_count"))
 
-    packed = sections.groupBy("doc_id").agg(ordered.alias("all")).select("doc_id", F.posexplode(F.aggregate("all", start, step, finish)).alias("i", "c"))
+    grouped = sections.groupBy("doc_id").agg(ordered.alias("all"))
+    chunks = let(F.aggregate("all", start, step, lambda s: s["starts"]), lambda starts: F.transform(starts, lambda at, i: chunk(starts, at, i)))
+    packed = grouped.select("doc_id", chunks.alias("chunks")).select("doc_id", F.posexplode_outer("chunks").alias("i", "c")).filter("c is not null")
     return packed.select("doc_id", (F.col("i") + 1).alias("chunk_no"), "c.content", "c.word_count")
 
 
@@ -90,16 +123,24 @@ def numbered(all_lines: DataFrame) -> DataFrame:
 
 
 def clauses(all_lines: DataFrame, most: int = 3) -> DataFrame:
-    """A clause starts at `1.`, at a line of capitals, or when the current one has more than `most` paragraphs."""
-    kept = all_lines.filter(F.trim("line") != "")
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", F.trim("line").alias("l"))))
-    start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("now"))
+    """A clause starts at `1.`, at a line of capitals, or when the current one has more than `most` paragraphs.
+
+    Between two lines that start a clause by their form, every (most + 1)-th line starts one: windows, no fold.
+    """
+    own = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    kept = all_lines.filter(F.trim("line") != "").select("doc_id", "line_no", F.trim("line").alias("l"))
+    formed = F.col("l").rlike(r"^\d+\.") | F.col("l").rlike(r"^[A-Z][A-Z\s]{10,}")
+    part = kept.withColumn("part", F.sum(formed.cast("int")).over(own))
+    place = F.row_number().over(Window.partitionBy("doc_id", "part").orderBy("line_no"))
+    numbered_ = part.withColumn("opens", ((place - 1) % (most + 1) == 0).cast("int")).withColumn("clause_number", F.sum("opens").over(own).cast("int"))
+    ls = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "l"))), lambda x: x["l"])
+    out = numbered_.groupBy("doc_id", "clause_number").agg(ls.alias("ls"))
+    first = F.slice(plain_words(F.regexp_replace(F.col("ls")[0], r"^\d+\.?\s*", "")), 1, 4)
+    return out.select("doc_id", "clause_number", F.coalesce(F.nullif(F.array_join(first, " "), F.lit("")), F.lit("Untitled Clause")).alias("title"), F.array_join("ls", "\n").alias("text"))
 
-    def step(s, x):
-        new = (F.size(s["now"]) > 0) & (x["l"].rlike(r"^\d+\.") | x["l"].rlike(r"^[A-Z][A-Z\s]{10,}") | (F.size(s["now"]) > most))
-        return F.struct(F.when(new, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]).alias("done"), F.when(new, F.array(x["l"])).otherwise(F.concat(s["now"], F.array(x["l"]))).alias("now"))
 
-    folded = kept.groupBy("doc_id").agg(F.aggregate(ordered, start, step, lambda s: F.concat(s["done"], F.array(s["now"]))).alias("c"))
-    out = folded.select("doc_id", F.posexplode("c").alias("i", "ls"))
-    first = F.slice(plain_words(F.regexp_replace(F.col("ls")[0], r"^\d+\.?\s*", "")), 1, 4)
-    return out.select("doc_id", (F.col("i") + 1).alias("clause_number"), F.coalesce(F.nullif(F.array_join(first, " "), F.lit("")), F.lit("Untitled Clause")).alias("title"), F.array_join("ls", "\n").alias("text"))
+def line_objects(all_lines: DataFrame) -> DataFrame:
+    """doc_id, position, line_number (from 1 over lines that are not blank; null for blank ones), line."""
+    full = (F.trim("line") != "").cast("int")
+    n = F.sum(full).over(Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    return all_lines.select("doc_id", F.col("line_no").alias("position"), F.when(full == 1, n).cast("int").alias("line_number"), "line")

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clauseloom.operators.text import plain_words, random_artifact, words
+from clauseloom.operators.text import let, plain_words, random_artifact, words
 
 # Endings that mark a company's name where no reviewer says so.
 COMPANY_ENDINGS = ["LLC", "Inc", "Corp", "Corporation", "Company", "Ltd", "LP", "LLP", "Partners", "Holdings", "Group", "Trust"]
@@ -30,8 +30,33 @@ def matched_strings_redacted(text: Column, library: list[tuple[str, str]], marke
 
 
 def words_redacted(text: Column, flagged: Column, marker: str = "[REDACTED]") -> Column:
-    """text with the flagged words (an array, case-sensitive) replaced; words of markers that are there already stay."""
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(PIECES), F.lit(0)), lambda x: F.when(F.array_contains(flagged, x), marker).otherwise(x)), "")
+    """text with the flagged words (an array, case-sensitive) replaced; words of markers that are there already stay.
+
+    Flagged words are dealt into as many buckets as the root of their number, so a word is sought in one small bucket.
+    """
+    n = F.when(F.size(flagged) <= 64, 1).otherwise(F.ceil(F.sqrt(F.size(flagged))).cast("int"))
+    bucket = lambda w: F.pmod(F.xxhash64(w), n).cast("int")
+    buckets = F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.filter(flagged, lambda w: bucket(w) == b))
+    pieces = F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
+    return let(buckets, lambda bs: F.array_join(F.transform(pieces, lambda x: F.when(F.array_contains(F.get(bs, bucket(x)), x), marker).otherwise(x)), ""))
+
+
+def text_key(text: Column) -> tuple[Column, Column]:
+    """k1 and k2: 128 bits of a text, never null."""
+    return F.xxhash64(text, text.isNull()).alias("k1"), F.xxhash64(F.lit(1), text, text.isNull()).alias("k2")
+
+
+def with_flagged(docs: DataFrame, allow: DataFrame, text: str = "text") -> DataFrame:
+    """docs with `flagged`: the text's distinct words of more than two letters whose lower case is not in allow (term), sorted.
+
+    Which words are flagged depends on the text alone, so texts meet their words by a digest of the text: rows whose ids are
+    null or come twice get theirs too, and equal texts are looked up once. No row is lost, and none keeps a flagged word.
+    """
+    keyed = docs.withColumns(dict(zip(("k1", "k2"), text_key(F.col(text)), strict=True)))
+    once = keyed.select("k1", "k2", F.explode(F.array_distinct(words(F.regexp_replace(text, r"\[[A-Z_]+\]", " ")))).alias("word")).filter(F.length("word") > 2).distinct()
+    off = once.withColumn("term", F.lower("word")).join(allow.select("term"), "term", "left_anti")
+    listed = off.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("word")).alias("flagged"))
+    return keyed.join(listed, ["k1", "k2"], "left").withColumn("flagged", F.coalesce("flagged", F.array().cast("array<string>"))).drop("k1", "k2")
 
 
 def flagged_words(docs: DataFrame, allow: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -45,8 +70,8 @@ def flagged_words(docs: DataFrame, allow: DataFrame, keys: tuple[str, ...] = ("d
 
 
 def allow_list_redacted(docs: DataFrame, allow: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", marker: str = "[REDACTED]") -> DataFrame:
-    """(keys, redacted, flagged): every word off the allow-list replaced, all occurrences."""
-    both = docs.select(*keys, text).join(flagged_words(docs, allow, keys, text), list(keys), "left").withColumn("flagged", F.coalesce("flagged", F.array().cast("array<string>")))
+    """(keys, redacted, flagged): every word off the allow-list replaced, all occurrences, whatever the keys hold."""
+    both = with_flagged(docs.select(*keys, *([text] if text not in keys else [])), allow, text)
     return both.select(*keys, words_redacted(F.col(text), F.col("flagged"), marker).alias("redacted"), "flagged")
 
 
@@ -105,9 +130,11 @@ def learned_terms_applied(pages: DataFrame, allow: DataFrame, routed: DataFrame)
 
     pages: doc_id, page, content; routed: doc_id, page, to_review by flagged words. Pages to review stay as they are.
     """
-    out = allow_list_redacted(pages, allow, ("doc_id", "page"), "content").join(routed, ["doc_id", "page"], "left").join(pages.select("doc_id", "page", "content"), ["doc_id", "page"])
-    review = F.coalesce("to_review", F.lit(False))
-    return out.select("doc_id", "page", F.when(review, F.col("content")).otherwise(F.col("redacted")).alias("redacted"), review.alias("to_review"))
+    out = allow_list_redacted(pages, allow, ("doc_id", "page", "content"), "content").alias("o")
+    known = routed.groupBy("doc_id", "page").agg(F.max("to_review").alias("to_review")).alias("r")
+    both = out.join(known, F.col("o.doc_id").eqNullSafe(F.col("r.doc_id")) & F.col("o.page").eqNullSafe(F.col("r.page")), "left")
+    review = F.coalesce("r.to_review", F.lit(False))
+    return both.select("o.doc_id", "o.page", F.when(review, F.col("content")).otherwise(F.col("redacted")).alias("redacted"), review.alias("to_review"))
 
 
 def selective_content(text: Column, flagged: Column, opening: int = 200, closing: int = 100, sentences: int = 5) -> Column:

@@ -39,6 +39,11 @@ def followed_up(text: Column) -> Column:
     return F.regexp_replace(text, r"(?i)\[REDACT\] (Title|Insurance|Company)", "[REDACT] [REDACT]")
 
 
+def let(value: Column, body) -> Column:
+    """body of the value, which is computed once for each row: an expression that a lambda names would be computed for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def words(text: Column) -> Column:
     """Letters a to z only; every other character separates (all dialects agree on that)."""
     return F.filter(F.split(text, "[^A-Za-z]+"), lambda w: w != "")

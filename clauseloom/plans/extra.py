@@ -124,8 +124,7 @@ def learned_terms_applied(spark, sf_dir):
 )
 def selective_content(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
-    flagged = terms.flagged_words(docs, allow_list(text.tokens(docs)))
-    both = docs.join(flagged, "doc_id", "left").withColumn("flagged", F.coalesce("flagged", F.array().cast("array<string>")))
+    both = terms.with_flagged(docs, allow_list(text.tokens(docs)))
     return both.select("doc_id", terms.selective_content(F.col("text"), F.col("flagged")).alias("t")).select("doc_id", md5("t").alias("text_md5"))
 
 

@@ -81,7 +81,7 @@ def redaction_followup(spark, sf_dir):
     return digest(docs_of(spark, sf_dir), text.followed_up(text.redacted(F.col("text"), PLAIN, "[REDACT]")))
 
 
-@query()
+@query(f"select doc_id, sha256({nested(LIBRARY_A)}) as redacted_sha, length({nested(LIBRARY_A)})::bigint as n from documents")
 def sequential_redaction_full_library(spark, sf_dir):
     return digest(docs_of(spark, sf_dir), text.redacted(F.col("text"), LIBRARY_A))
 
@@ -180,9 +180,29 @@ def high_risk_sentences(spark, sf_dir):
     return split.risk_sentences(docs_of(spark, sf_dir), F.col("sentence").rlike("[0-9]{3}")).select("doc_id", "sent_idx", F.md5(F.encode("sentence", "UTF-8")).alias("sentence_md5"))
 
 
-@query()
+FLAGGED = (
+    f"{TOKENS}, {ALLOW}, s as (select doc_id, n, i, trim(raw, ' ') as sentence from {RISK}), sw as (select doc_id, i, unnest(regexp_split_to_array(sentence, '[^A-Za-z]+')) as w from s), "
+    "off as (select distinct doc_id, i from sw where length(w) > 2 and lower(w) not in (select term from allow)), k as (select s.doc_id, s.i, sentence from s left join off on off.doc_id = s.doc_id and off.i = s.i where length(sentence) >= 20 and (s.i < 10 or s.i >= n - 5 or off.i is not null))"
+)
+
+
+@query(f"with {FLAGGED} select doc_id, i::int as sent_idx, md5(sentence) as sentence_md5 from k")
+def flagged_sentences(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    return split.flagged_sentences(docs, allow_list(text.tokens(docs))).select("doc_id", "sent_idx", F.md5(F.encode("sentence", "UTF-8")).alias("sentence_md5"))
+
+
+PACKED_WORDS = PLAIN_WORDS.replace("text,", "sentence,")
+
+
+@query(
+    f"with recursive {FLAGGED}, w as (select doc_id, row_number() over (partition by doc_id order by i) as k, sentence, len({PACKED_WORDS}) as n from k), "
+    "f as (select doc_id, k, sentence, n, 1 as chunk_no, n as load from w where k = 1 union all select w.doc_id, w.k, w.sentence, w.n, case when f.load > 0 and f.load + w.n > 300 then f.chunk_no + 1 else f.chunk_no end, case when f.load > 0 and f.load + w.n > 300 then w.n else f.load + w.n end from f join w on w.doc_id = f.doc_id and w.k = f.k + 1) "
+    "select doc_id, chunk_no::int as chunk_no, md5(string_agg(sentence, ' ' order by k)) as content_md5, sum(n)::int as word_count from f group by doc_id, chunk_no"
+)
 def risk_bin_packing(spark, sf_dir):
-    return split.pack_sections(split.risk_sentences(docs_of(spark, sf_dir), F.col("sentence").rlike("[0-9]{3}")))
+    docs = docs_of(spark, sf_dir)
+    return split.pack_sections(split.flagged_sentences(docs, allow_list(text.tokens(docs)))).select("doc_id", "chunk_no", F.md5(F.encode("content", "UTF-8")).alias("content_md5"), "word_count")
 
 
 DISTINCT = f"w as (select distinct unnest({WORDS}) as word from documents)"
@@ -262,9 +282,21 @@ def numbered_lines(spark, sf_dir):
     return split.numbered(split.lines(docs_of(spark, sf_dir))).select("doc_id", "line_no", F.md5(F.encode("tagged", "UTF-8")).alias("tagged_md5"))
 
 
-@query()
+FIRST_WORDS = PLAIN_WORDS.replace("text,", r"regexp_replace(ls[1], '^\d+\.?\s*', ''),")
+
+
+@query(
+    rf"with {LINES}, k as (select doc_id, line_no, trim(line, ' ') as l from ls where trim(line, ' ') <> ''), p as (select *, sum(case when regexp_matches(l, '^\d+\.') or regexp_matches(l, '^[A-Z][A-Z\s]{{10,}}') then 1 else 0 end) over (partition by doc_id order by line_no) as part from k), "
+    "o as (select *, row_number() over (partition by doc_id, part order by line_no) as place from p), c as (select *, sum(case when (place - 1) % 4 = 0 then 1 else 0 end) over (partition by doc_id order by line_no) as clause_number from o), "
+    f"g as (select doc_id, clause_number, list(l order by line_no) as ls from c group by all) select doc_id, clause_number::int as clause_number, coalesce(nullif(array_to_string(({FIRST_WORDS})[1:4], ' '), ''), 'Untitled Clause') as title, md5(array_to_string(ls, chr(10))) as text_md5 from g"
+)
 def clauses(spark, sf_dir):
-    return split.clauses(split.lines(docs_of(spark, sf_dir)))
+    return split.clauses(split.lines(docs_of(spark, sf_dir))).select("doc_id", "clause_number", "title", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+
+
+@query(f"with {LINES} select doc_id, line_no::int as position, (case when trim(line, ' ') <> '' then sum(case when trim(line, ' ') <> '' then 1 else 0 end) over (partition by doc_id order by line_no) end)::int as line_number, md5(line) as line_md5 from ls")
+def line_objects(spark, sf_dir):
+    return split.line_objects(split.lines(docs_of(spark, sf_dir))).select("doc_id", "position", "line_number", F.md5(F.encode("line", "UTF-8")).alias("line_md5"))
 
 
 @query(r"select page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '=\r?\n', '', 'g'), '<[^>]+>', ' ', 'g'), '&[a-zA-Z0-9#]+;', ' ', 'g'), '[\s\x0B]+', ' ', 'g')) as text_md5 from pages")
