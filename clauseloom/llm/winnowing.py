@@ -54,8 +54,8 @@ def fingerprint(hashes: Column, start: Column, span: int, gram: int) -> Column:
 
 
 def window_text(span: int) -> Column:
-    """The window at `start` (from 0) of `words`, in lower case."""
-    return lowered(F.array_join(F.slice("words", F.col("start") + 1, F.lit(span)), " "))
+    """The window at `start` (from 0) of `words`, in lower case. Never null, so no join filters on it before fingerprints have met."""
+    return F.coalesce(lowered(F.array_join(F.slice("words", F.col("start") + 1, F.lit(span)), " ")), F.lit(""))
 
 
 def windows(texts: DataFrame, span: int, gram: int, keep: list[str]) -> DataFrame:
