@@ -97,7 +97,7 @@ def apply_one(text: Column, e: Column) -> Column:
     at, size = found_at(text, hit), F.length(hit)
     nothing = F.lit("")
     before = F.lower(F.substr(text, F.greatest(at - F.length(e["qualifier"]), F.lit(1)), F.least(F.length(e["qualifier"]), at - 1)))
-    block = found_at(text, F.left(e["quoted"], F.lit(80)))
+    block = F.when(e["quoted"] == "NOT FOUND", 0).otherwise(found_at(text, F.left(e["quoted"], F.lit(80))))
     anchor = F.try_element_at(F.filter(F.transform(F.array(F.lit(60), F.lit(40), F.lit(25)), lambda n: F.left(e["anchor_quote"], n)), lambda p: found_at(text, p) > 0), F.lit(1))
     signature = F.coalesce(*(F.when(F.instr(text, m) > 0, F.instr(text, m)) for m in SIGNATURE_MARKERS))
     appended = F.when(signature.isNotNull(), put(text, signature, F.concat(e["content"], F.lit("\n")), F.lit(0))).otherwise(F.concat(text, F.lit("\n"), e["content"]))
@@ -132,5 +132,17 @@ def apply_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def markup_runs(line: Column) -> Column:
-    """`[INSERT: x]` and `[DELETE: x]` in a line, as structs of kind and text."""
-    return F.transform(F.regexp_extract_all(line, F.lit(r"\[(?:INSERT|DELETE): [^\]]*\]"), F.lit(0)), lambda m: F.struct(F.lower(F.regexp_extract(m, r"\[(INSERT|DELETE)", 1)).alias("kind"), F.regexp_extract(m, r": ([^\]]*)\]", 1).alias("text")))
+    """A line with `[INSERT: x]` or `[DELETE: x]` as structs of kind (kept, inserted, deleted) and text, in order.
+
+    What stands between the marks is kept, but for blanks alone. A line with marks of both kinds is read for its inserts only.
+    """
+
+    def runs(mark: str, kind: str) -> Column:
+        pattern = F.lit(rf"\[{mark}:\s*([^\]]+)\]")
+        marks = F.transform(F.regexp_extract_all(line, pattern, F.lit(1)), lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("text")))
+        between = F.transform(F.split(line, pattern), lambda t: F.struct(F.lit("kept").alias("kind"), t.alias("text")))
+        both = F.zip_with(between, marks, lambda t, m: F.array(t, m))
+        return F.filter(F.flatten(both), lambda r: r.isNotNull() & ((r["kind"] != "kept") | (F.trim(r["text"]) != "")))
+
+    plain = F.array(F.struct(F.lit("kept").alias("kind"), line.alias("text")))
+    return F.when(F.contains(line, F.lit("[INSERT:")), runs("INSERT", "inserted")).when(F.contains(line, F.lit("[DELETE:")), runs("DELETE", "deleted")).when(F.trim(line) != "", plain).otherwise(F.array().cast("array<struct<kind:string,text:string>>"))

@@ -6,11 +6,13 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.functions.patterns import LIBRARY_B
+from clauseloom.operators.terms import text_key
+from clauseloom.operators.text import words
 
 # Endings of company names: of corporate forms, and descriptive.
 CORPORATE = ["llc", "inc", "corp", "corporation", "company", "lp", "llp", "limited", "ltd"]
@@ -87,16 +89,35 @@ def redact(doc_id: str, text: str, allow: frozenset[str]) -> tuple[str, list[tup
     return "".join(out) + text[at:], rows
 
 
-def vault(docs: DataFrame, allow: frozenset[str] = frozenset()) -> DataFrame:
-    """(doc_id, text, redacted, found). The spans of one text depend on one another, so this is an Arrow-backed kernel by row."""
+def with_allowed(docs: DataFrame, allow: DataFrame) -> DataFrame:
+    """docs with `allowed`: the text's words, in lower case, that allow (term) lists. The list may be of any size: it is joined, not sent to tasks."""
+    keyed = docs.withColumns(dict(zip(("k1", "k2"), text_key(F.col("text")), strict=True)))
+    tokens = F.concat(words(F.col("text")), F.regexp_extract_all("text", F.lit(r"(?U)[\p{L}][\w'’-]*"), F.lit(0)), F.split("text", r"(?U)\s+"))
+    own = keyed.select("k1", "k2", F.explode(F.array_distinct(F.transform(tokens, lambda w: F.lower(w)))).alias("term")).distinct()
+    listed = own.join(allow.select("term").distinct(), "term").groupBy("k1", "k2").agg(F.collect_set("term").alias("allowed"))
+    return keyed.join(listed, ["k1", "k2"], "left").withColumn("allowed", F.coalesce("allowed", F.array().cast("array<string>"))).drop("k1", "k2")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            made = [redact(str(i), t or "", allow) for i, t in zip(pdf["doc_id"], pdf["text"], strict=True)]
-            yield pdf.assign(redacted=[m[0] for m in made], found=[[dict(zip(("seq", "hex_id", "type", "original", "placeholder"), r, strict=True)) for r in m[1]] for m in made])
+
+def vault(docs: DataFrame, allow: DataFrame | frozenset[str] = frozenset()) -> DataFrame:
+    """(doc_id, text, redacted, found). Names of listed words only (allow: a table with `term`, or a small set) are no persons.
+
+    The spans of one text depend on one another, so this is an Arrow-backed kernel by row.
+    """
+    listed, fixed = isinstance(allow, DataFrame), frozenset() if isinstance(allow, DataFrame) else frozenset(allow)
+    own = with_allowed(docs.select("doc_id", "text"), allow) if listed else docs.select("doc_id", "text", F.array().cast("array<string>").alias("allowed"))
+
+    names = ("seq", "hex_id", "type", "original", "placeholder")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, keys, allowed = (batch.column(i) for i in range(4))
+            made = [redact(k, t or "", frozenset(a) if listed else fixed) for k, t, a in zip(keys.to_pylist(), texts.to_pylist(), allowed.to_pylist(), strict=True)]
+            found = pa.array([[dict(zip(names, r, strict=True)) for r in m[1]] for m in made], pa.list_(pa.struct([("seq", pa.int32()), *((n, pa.string()) for n in names[1:])])))
+            yield pa.RecordBatch.from_arrays([ids, texts, pa.array([m[0] for m in made], pa.string()), found], names=["doc_id", "text", "redacted", "found"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, text string, redacted string, found {FOUND}")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("None"))
+    return own.select("doc_id", "text", key.alias("key"), "allowed").mapInArrow(run, f"doc_id {kind}, text string, redacted string, found {FOUND}")
 
 
 def restored(text: Column, found: Column) -> Column:

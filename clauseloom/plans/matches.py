@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clauseloom.functions.patterns import PLAIN
-from clauseloom.operators import diff, runs, spans, text, worddiff
-from clauseloom.plans.registry import LINES, PLAIN_WORDS, TURNS, digest, docs_of, lines_of, q, query, turns
+from clauseloom.functions.patterns import LIBRARY_B, PLAIN
+from clauseloom.operators import diff, edits, runs, spans, text, vault, worddiff
+from clauseloom.sources import docx, synthetic
+from clauseloom.plans.registry import ALLOW, LINES, PLAIN_WORDS, TOKENS, TURNS, allow_list, docs_of, lines_of, q, query, turns
 
 GAPS = " union all ".join(
     f"select doc_id, {k} as pattern_no, '{label}' as label, unnest(range(len(m))) as k, unnest(list_transform(s[1:len(m)], lambda x: length(x))) as gap, unnest(list_transform(m, lambda x: length(x))) as size, text "
@@ -69,3 +70,69 @@ def word_diff_turns(spark, sf_dir):
     out = worddiff.word_diff(diff.compare(*turns(spark, sf_dir), ["conv_id", "pair"]).select("conv_id", "pair", "old_text", "new_text"))
     old, new = (F.md5(F.encode(worddiff.side(F.col("runs"), k), "UTF-8")) for k in "-+")
     return out.select("conv_id", "pair", old.alias("old_md5"), new.alias("new_md5"), F.forall("runs", lambda r: r["kind"] == " ").alias("same"))
+
+
+@query(f"with {TURNS} select coalesce(o.conv_id, n.conv_id) as conv_id, coalesce(o.pair, n.pair) as pair, md5({SIDES[0]}) as old_md5, md5({SIDES[1]}) as new_md5 from o full join n on o.conv_id = n.conv_id and o.pair = n.pair where {SIDES[0]} <> '' or {SIDES[1]} <> ''")
+def tracked_changes_docx(spark, sf_dir):
+    """Each pair of turns as a DOCX with tracked changes, read back: both versions come out of the file."""
+    out = worddiff.word_diff(diff.compare(*turns(spark, sf_dir), ["conv_id", "pair"]).select("conv_id", "pair", "old_text", "new_text"))
+    kind = F.when(F.col("r.kind") == "-", docx.DELETED).when(F.col("r.kind") == "+", docx.INSERTED).otherwise(docx.KEPT)
+    rows = out.select(F.concat_ws("_", F.col("conv_id").cast("string"), F.col("pair").cast("string")).alias("name"), F.posexplode_outer("runs").alias("seq", "r")).filter("r is not null")
+    revisions = rows.select("name", F.lit(1).alias("para_no"), "seq", kind.alias("kind"), F.array_join("r.words", " ").alias("text"), F.lit("me").alias("author"), F.lit("2024-01-05T00:00:00Z").alias("made_at"))
+    read = docx.docx_revisions(docx.docx_files(revisions).withColumnRenamed("name", "path"))
+    side = lambda other: F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("seq", "kind", "text"))), lambda x: x["kind"] != other), lambda x: x["text"]), " ")
+    both = read.groupBy("path").agg(side(docx.INSERTED).alias("old"), side(docx.DELETED).alias("new"))
+    ids = F.split("path", "_")
+    return both.select(ids[0].cast("bigint").alias("conv_id"), ids[1].cast("bigint").alias("pair"), F.md5(F.encode("old", "UTF-8")).alias("old_md5"), F.md5(F.encode("new", "UTF-8")).alias("new_md5"))
+
+
+MARKED = "replace(replace(para, 'License', '[INSERT:  License]'), 'the', '[DELETE: the]')"
+
+
+def marks_sql(mark: str) -> str:
+    found = rf"'\[{mark}:\s*([^\]]+)\]'"
+    return f"list_zip(regexp_split_to_array(line, {found}), regexp_extract_all(line, {found}, 1))"
+
+
+def shown_sql(mark: str, kind: str) -> str:
+    return f"list_filter(flatten(list_transform({marks_sql(mark)}, lambda z: ['kept:' || z[1], '{kind}:' || z[2]])), lambda x: x is not null and (not starts_with(x, 'kept:') or trim(substring(x, 6), ' ') <> ''))"
+
+
+@query(f"with lines as ({LINES}), m as (select doc_id, para_no, {MARKED} as line from lines) select doc_id, para_no, md5(array_to_string(case when contains(line, '[INSERT:') then {shown_sql('INSERT', 'inserted')} when contains(line, '[DELETE:') then {shown_sql('DELETE', 'deleted')} when trim(line, ' ') <> '' then ['kept:' || line] else [] end, chr(10))) as runs_md5 from m")
+def markup_rows(spark, sf_dir):
+    line = F.replace(F.replace("text", F.lit("License"), F.lit("[INSERT:  License]")), F.lit("the"), F.lit("[DELETE: the]"))
+    out = lines_of(spark, sf_dir).select("doc_id", "para_no", edits.markup_runs(line).alias("runs"))
+    shown = F.array_join(F.transform("runs", lambda r: F.concat(r["kind"], F.lit(":"), r["text"])), "\n")
+    return out.select("doc_id", "para_no", F.md5(F.encode(shown, "UTF-8")).alias("runs_md5"))
+
+
+@query(f"with p as ({synthetic.planted_sql('select doc_id from documents')}) select label, count(*) as planted, count(*) as found from p group by label")
+def planted_recall(spark, sf_dir):
+    """Strings planted into every document's text, and how many of them the library finds at their places: all."""
+    docs = docs_of(spark, sf_dir).select("doc_id", "text")
+    planted = synthetic.planted(docs.select("doc_id"))
+    found = spans.located(synthetic.with_planted(docs, planted)).select("doc_id", "found").distinct()
+    both = planted.join(found, (planted.doc_id == found.doc_id) & F.contains(found.found, planted.value), "left").select(planted.doc_id, "slot", "label", found.found.isNotNull().alias("hit")).groupBy("doc_id", "slot", "label").agg(F.max("hit").alias("hit"))
+    return both.groupBy("label").agg(F.count("*").alias("planted"), F.count_if("hit").alias("found"))
+
+
+@query(synthetic.planted_sql("select doc_id from documents"))
+def planted_values(spark, sf_dir):
+    return synthetic.planted(docs_of(spark, sf_dir).select("doc_id"))
+
+
+MAIL = q(dict(LIBRARY_B)["EMAIL"])
+
+
+@query(f"select doc_id, len(regexp_extract_all(text, '{MAIL}'))::bigint as mails, 0::bigint as allowed_persons, true as restored from documents")
+def vault_with_allow_list(spark, sf_dir):
+    """The vault over an allow-list table: all mail addresses are found, no name of listed words only is, and the text comes back."""
+    docs = docs_of(spark, sf_dir)
+    allow = allow_list(text.tokens(docs))
+    kept = vault.vault(docs, allow)
+    persons = kept.select("doc_id", F.explode_outer(F.filter("found", lambda x: x["type"] == "PERSON")).alias("p"), F.monotonically_increasing_id().alias("row")).filter("p is not null and p.original rlike '^[A-Z][a-z]+ [A-Z][a-z]+$'")
+    both = persons.select("doc_id", "row", "p.seq", F.explode(F.split(F.lower("p.original"), " ")).alias("term")).join(allow.withColumn("listed", F.lit(1)), "term", "left")
+    wrong = both.groupBy("doc_id", "row", "seq").agg(F.min(F.coalesce("listed", F.lit(0))).alias("all_listed")).groupBy("doc_id").agg(F.sum("all_listed").alias("allowed_persons"))
+    mails = F.size(F.filter("found", lambda x: x["type"] == "EMAIL")).cast("bigint")
+    own = kept.select("doc_id", mails.alias("mails"), (vault.restored(F.col("redacted"), F.col("found")) == F.col("text")).alias("restored"))
+    return own.join(wrong, "doc_id", "left").select("doc_id", "mails", F.coalesce("allowed_persons", F.lit(0)).cast("bigint").alias("allowed_persons"), "restored")

@@ -74,14 +74,6 @@ def mapping_entries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True).select("original_file", F.explode("chunks").alias("c")).select("original_file", "c.*")
 
 
-def recommendations(docs: DataFrame, schema: str) -> DataFrame:
-    """(doc_id, seq, fields): the JSON array of a reply's fenced part, else of its outermost brackets; a broken one gives no rows."""
-    fenced = F.regexp_extract("text", r"(?s)```(?:json)?\s*(\[.*?\])\s*```", 1)
-    bare = F.regexp_extract("text", r"(?s)(\[.*\])", 1)
-    listed = F.from_json(F.when(fenced != "", fenced).otherwise(bare), f"array<struct<{schema}>>")
-    return docs.select("doc_id", F.posexplode(listed).alias("k", "r")).select("doc_id", (F.col("k") + 1).alias("seq"), "r.*")
-
-
 def term_list(spark: SparkSession, path: str) -> DataFrame:
     """(term): stripped, lower case, without blanks and # comments, distinct."""
     term = F.lower(F.trim("value"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -39,9 +39,13 @@ def write_final(df: DataFrame, path: str) -> None:
 
 
 def logged(df: DataFrame, step: str, path: str) -> DataFrame:
-    """df, stored at path, with a row (step, rows, seconds) added to the run log beside it."""
+    """df, stored at path, with a row (step, rows, seconds) added to the run log beside it.
+
+    Rows are counted while they are written, so nothing is read a second time.
+    """
+    seen = Observation(step)
     start = time.monotonic()
-    df.write.mode("overwrite").parquet(f"{path}/{step}")
-    out = df.sparkSession.read.parquet(f"{path}/{step}")
-    df.sparkSession.createDataFrame([(step, out.count(), time.monotonic() - start)], "step string, rows bigint, seconds double").write.mode("append").parquet(f"{path}/run_log")
-    return out
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{path}/{step}")
+    took = time.monotonic() - start
+    df.sparkSession.createDataFrame([(step, seen.get["rows"], took)], "step string, rows bigint, seconds double").coalesce(1).write.mode("append").parquet(f"{path}/run_log")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{step}")

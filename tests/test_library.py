@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from clauseloom.functions.patterns import LIBRARY_A, LIBRARY_B0, LIBRARY_C, LIBRARY_T, PLAIN, STOP_TERMS_C
 from clauseloom.operators import edits, formats, review, route, rules, score, split, terms, text, variants, vault
 from clauseloom.plans import extra, registry
-from clauseloom.sources import readers, writers
+from clauseloom.sources import readers, replies, writers
 from tests.conftest import DATA, SMALL
 
 TABLES = ("documents", "pages", "benchmark", "conversations", "labels")
@@ -335,7 +335,7 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps({"original_file": "x", "chunks": [{"order": 1, "filename": "f1"}, {"order": 2, "filename": "f2"}]}))
     assert [tuple(r) for r in readers.mapping_entries(spark, str(tmp_path / "m.json")).select("original_file", "order").orderBy("order").collect()] == [("x", 1), ("x", 2)]
     reply = spark.createDataFrame([(1, 'Sure:\n```json\n[{"find": "a", "new": "b"}, {"find": "c", "new": "d"}]\n```\nDone [1]'), (2, "none")], "doc_id int, text string")
-    assert [tuple(r) for r in readers.recommendations(reply, "find:string,new:string").orderBy("seq").collect()] == [(1, 1, "a", "b"), (1, 2, "c", "d")]
+    assert [tuple(r) for r in replies.recommendations(reply, "find:string,new:string").orderBy("seq").collect()] == [(1, 1, "a", "b"), (1, 2, "c", "d")]
     chunks = split.char_chunks(spark.createDataFrame([(1, "x" * 1500)], "doc_id bigint, text string"))
     writers.write_chunks(chunks, str(tmp_path / "out"), "doc_id")
     assert "doc_id=1" in {p.name for p in (tmp_path / "out/chunks").iterdir()} and '"total_chunks":2' in spark.read.parquet(str(tmp_path / "out/mapping")).first().mapping
