@@ -333,11 +333,11 @@ def pack_pieces(pieces: DataFrame, capacity: int, **limits) -> DataFrame:
     spots = places(plan, spark).groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "times", "sequence", "offset"))).alias("spots"))
     found = numbered.join(F.broadcast(spots), "length").withColumn("spot", F.element_at(F.filter("spots", lambda s: (s["first"] <= F.col("number")) & (F.col("number") < s["first"] + s["times"])), 1))
     out = found.withColumn("sequence_id", F.col("spot.sequence") + F.col("number") - F.col("spot.first")).withColumn("offset", F.col("spot.offset"))
-    return out.select(*pieces.columns, "sequence_id", "offset").drop("row")
+    return out.select(*pieces.columns, "sequence_id", "offset", F.lit(plan.proved).alias("proved")).drop("row")
 
 
 def pack_documents(df: DataFrame, vocabulary: str, capacity: int = 2048, id_column: str = "doc_id", text_column: str = "text", **limits) -> DataFrame:
-    """Each document's pieces with sequence_id and offset (gapless from 0 in each sequence)."""
+    """Each document's pieces with sequence_id and offset (gapless from 0 in each sequence), and whether the number of sequences is proved to be the least."""
     cut = pieces_of(df, vocabulary, capacity, 0, id_column, text_column)
     # Numbers of rows as they are stored: no two rows share one, however often an id repeats.
     return pack_pieces(stored(cut.withColumn("row", F.monotonically_increasing_id()), "pieces"), capacity, **limits)

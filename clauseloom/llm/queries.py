@@ -71,12 +71,12 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordermin.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+    return ordermin.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "proved")
 
 
 def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
