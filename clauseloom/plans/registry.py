@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions.patterns import GARBAGE_MARKERS, LIBRARY_A, LIBRARY_B0, LIBRARY_C, LIBRARY_T, PLAIN, STOP_TERMS_C
 from clauseloom.operators import diff, edits, review, route, rules, score, split, text, vault
+from clauseloom.plans import rule_sql
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -390,9 +391,12 @@ def threshold_apply(spark, sf_dir):
     return score.apply_thresholds(final_scores(spark, sf_dir))
 
 
-@query()
+@query(rule_sql.edits_sql(FACTS))
 def rule_edits(spark, sf_dir):
-    return rules.generate(facts(spark, sf_dir), "January 05, 2024")
+    """All fields of all rules' edits, in order."""
+    made = rules.generate(facts(spark, sf_dir), "January 05, 2024")
+    fields = [F.coalesce(F.array_join(c, "|") if c == "candidates" else c, F.lit("-")) for c in rule_sql.FIELDS]
+    return made.select("doc_id", "edit_seq", "category", "type", F.md5(F.encode(F.concat_ws("|", *fields), "UTF-8")).alias("edit_md5"))
 
 
 @query("select doc_id, true as restored from documents")
