@@ -85,6 +85,8 @@ LIBRARY_C: list[tuple[str, str]] = [
 ]
 LIBRARY_C_CONTACT: list[tuple[str, str]] = [*LIBRARY_C, ("PHONE", r"\b\d{3}-\d{3}-\d{4}\b"), ("EMAIL", MAIL)]
 STOP_TERMS_C = ["party", "agreement", "information", "confidential", "broker", "seller"]
+STOP_TERMS_C_BRIEF = ["party", "agreement", "information", "confidential"]
+STOP_TERMS_C_FIRST = ["party", "agreement", "information"]
 STOP_TERMS_C_CONTACT = ["party", "agreement", "information", "confidential", "receiving", "disclosing"]
 
 # The small library for trials.

@@ -39,3 +39,17 @@ def phrase_matrix(texts: DataFrame, phrases: list[str], key: str) -> DataFrame:
     """For each text and phrase, whether the text holds it, whatever the case. Phrases are a short list in the plan itself."""
     rows = F.array(*(F.struct(F.lit(p).alias("phrase"), F.contains(F.lower("text"), F.lit(p.lower())).alias("present")) for p in phrases))
     return texts.select(key, F.explode(rows).alias("x")).select(key, "x.phrase", "x.present")
+
+
+def version_matrix(original: DataFrame, candidate: DataFrame, accepted: DataFrame, phrases: list[str], key: str) -> DataFrame:
+    """For each text's key and phrase, whether each version (key, text) holds it, whatever the case, and whether candidate and accepted agree.
+
+    A version that is missing holds nothing.
+    """
+    both = original.select(key, F.col("text").alias("o")).join(candidate.select(key, F.col("text").alias("c")), key, "full_outer").join(accepted.select(key, F.col("text").alias("a")), key, "full_outer")
+
+    def held(version: str, phrase: str) -> Column:
+        return F.coalesce(F.contains(F.lower(version), F.lit(phrase.lower())), F.lit(False))
+
+    rows = F.array(*(F.struct(F.lit(p).alias("phrase"), held("o", p).alias("in_original"), held("c", p).alias("in_candidate"), held("a", p).alias("in_accepted"), (held("c", p) == held("a", p)).alias("agree")) for p in phrases))
+    return both.select(key, F.explode(rows).alias("x")).select(key, "x.*")

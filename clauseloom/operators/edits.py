@@ -90,10 +90,12 @@ def put(text: Column, at: Column, new: Column, size: Column) -> Column:
     return F.overlay(text, new, at, size)
 
 
-def apply_one(text: Column, e: Column) -> Column:
-    """text after one edit, null if nothing was found."""
+def apply_one(text: Column, e: Column, flexible: bool = False) -> Column:
+    """text after one edit, null if nothing was found. flexible: where no candidate is in the text, runs of its words are sought."""
     options = F.coalesce(e["candidates"], F.array(e["find"]))
     hit = F.try_element_at(F.filter(F.transform(options, lambda p: laddered(text, p)), lambda p: p.isNotNull()), F.lit(1))
+    if flexible:
+        hit = F.coalesce(hit, F.try_element_at(F.filter(F.transform(options, lambda p: flexible_hit(text, p)), lambda p: p.isNotNull()), F.lit(1)))
     at, size = found_at(text, hit), F.length(hit)
     nothing = F.lit("")
     before = F.lower(F.substr(text, F.greatest(at - F.length(e["qualifier"]), F.lit(1)), F.least(F.length(e["qualifier"]), at - 1)))
@@ -113,7 +115,7 @@ def apply_one(text: Column, e: Column) -> Column:
     )
 
 
-def apply_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
+def apply_edits(docs: DataFrame, edits: DataFrame, flexible: bool = False) -> DataFrame:
     """(doc_id, text, applied, log): edits (edit_seq, fields) in order over each document; `insert_words` is left to people.
 
     A document's edits are as many as its rules give, so the collected list is small.
@@ -123,7 +125,7 @@ def apply_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
     start = F.struct(F.col("text").alias("text"), F.array().cast("array<struct<edit_seq:int,applied:boolean>>").alias("log"))
 
     def step(s, e):
-        new = apply_one(s["text"], e)
+        new = apply_one(s["text"], e, flexible)
         return F.struct(F.coalesce(new, s["text"]).alias("text"), F.concat(s["log"], F.array(F.struct(e["edit_seq"].alias("edit_seq"), new.isNotNull().alias("applied")))).alias("log"))
 
     joined = docs.select("doc_id", "text").join(listed, "doc_id", "left").withColumn("edits", F.coalesce("edits", F.array()))

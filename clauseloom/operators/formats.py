@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from clauseloom.operators.text import plain_words
+
 # What quoted-printable leaves of quotes and blanks, and what stands for it.
 LEFTOVERS = [("=93", '"'), ("=94", '"'), ("=20", " "), ("=92", "'"), ("&nbsp;", " ")]
 # Phrases that are set in bold.
@@ -49,6 +51,11 @@ def prompt_head(text: Column, characters: int) -> Column:
     return F.left(text, F.lit(characters))
 
 
+def prompt_words(text: Column, most: int) -> Column:
+    """The first words of a text, joined by a blank."""
+    return F.array_join(F.slice(plain_words(text), 1, most), " ")
+
+
 def blank_line_paragraphs(text: Column, most: int | None = None) -> Column:
     """Paragraphs between blank lines; `most` keeps a page's worth, as a rendering does."""
     parts = F.split(text, "\n\n")
@@ -69,19 +76,3 @@ def reply_body(reply: Column) -> Column:
     """A reply without blank lines and lines of explanation; the reply itself if nothing else is in it."""
     lines = F.filter(F.split(reply, "\n"), lambda x: (F.trim(x) != "") & ~F.startswith(x, F.lit("Return")) & ~F.startswith(x, F.lit("Here")))
     return F.when(F.size(lines) > 0, F.array_join(F.transform(lines, lambda x: F.trim(x)), "\n")).otherwise(reply)
-
-
-def unified_words(old: Column, new: Column) -> Column:
-    """Words that only one version has, at their place, as structs of kind (`-`, `+`, ` `) and word: common head and tail around what changed."""
-    a, b = (F.filter(F.split(c, r"\s+"), lambda w: w != "") for c in (old, new))
-    least = F.least(F.size(a), F.size(b))
-    same = F.transform(F.sequence(F.lit(0), least), lambda i: F.when(i == least, True).otherwise(F.get(a, i) != F.get(b, i)))
-    head = (F.array_position(same, True) - 1).cast("int")
-    left = least - head
-    back = F.transform(F.sequence(F.lit(0), left), lambda i: F.when(i == left, True).otherwise(F.get(a, F.size(a) - 1 - i) != F.get(b, F.size(b) - 1 - i)))
-    tail = (F.array_position(back, True) - 1).cast("int")
-
-    def marked(ws: Column, start: Column, n: Column, kind: str) -> Column:
-        return F.transform(F.slice(ws, start, n), lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("word")))
-
-    return F.concat(marked(a, F.lit(1), head, " "), marked(a, head + 1, F.size(a) - head - tail, "-"), marked(b, head + 1, F.size(b) - head - tail, "+"), marked(a, F.size(a) - tail + 1, tail, " "))

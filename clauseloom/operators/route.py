@@ -45,6 +45,12 @@ def route_statistics(routed: DataFrame) -> DataFrame:
     return routed.agg(total.alias("pages"), F.count_if("to_review").alias("review_pages"), F.round(100.0 * F.count_if("to_review") / total, 4).alias("review_percent"))
 
 
+def learning_statistics(page_words: DataFrame) -> DataFrame:
+    """One row: pages, review_pages, review_percent and how many distinct terms were learned on the way."""
+    learned = page_words.agg(F.count_distinct(F.lower("word")).alias("learned_terms"))
+    return route_statistics(route_across(page_words)).crossJoin(learned)
+
+
 def select_pii_pages(docs: DataFrame, allow: DataFrame, library: list[tuple[str, str]], size: int = 500, least: int = 3) -> DataFrame:
     """split.select_pages, flagged by any pattern or by `least` distinct words off the allow-list (term)."""
     pages = split.word_chunks(docs, size).withColumn("page", F.struct(F.coalesce("doc_id", F.lit(-1)), "chunk_order", F.xxhash64("content")))

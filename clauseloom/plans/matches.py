@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clauseloom.functions.patterns import LIBRARY_B, PLAIN
-from clauseloom.operators import diff, edits, runs, spans, text, vault, worddiff
+from clauseloom.operators import diff, edits, formats, route, rules, runs, spans, text, vault, worddiff
 from clauseloom.sources import docx, synthetic
-from clauseloom.plans.registry import ALLOW, LINES, PLAIN_WORDS, TOKENS, TURNS, allow_list, docs_of, lines_of, q, query, turns
+from clauseloom.plans.registry import ACROSS, CHANGE, LINES, PLAIN_WORDS, TURNS, allow_list, docs_of, lines_of, page_words, q, query, turns
 
 GAPS = " union all ".join(
     f"select doc_id, {k} as pattern_no, '{label}' as label, unnest(range(len(m))) as k, unnest(list_transform(s[1:len(m)], lambda x: length(x))) as gap, unnest(list_transform(m, lambda x: length(x))) as size, text "
@@ -136,3 +136,72 @@ def vault_with_allow_list(spark, sf_dir):
     mails = F.size(F.filter("found", lambda x: x["type"] == "EMAIL")).cast("bigint")
     own = kept.select("doc_id", mails.alias("mails"), (vault.restored(F.col("redacted"), F.col("found")) == F.col("text")).alias("restored"))
     return own.join(wrong, "doc_id", "left").select("doc_id", "mails", F.coalesce("allowed_persons", F.lit(0)).cast("bigint").alias("allowed_persons"), "restored")
+
+
+#: One edit for each document, by its id: the kinds in turn.
+KINDS = [
+    rules.edit("add_qualifier", "x", find="license", qualifier="reasonable "), rules.edit("insert_after", "x", F.array(F.lit("no such text"), F.lit("VERSION")), content=" (X)"), rules.edit("delete_phrase", "x", find="Licensed under"),
+    rules.edit("delete_block", "x", quoted="licensed under the"), rules.edit("insert_block", "x", anchor_quote="Licensed under the Apache License, and no more", content="BLOCK"), rules.edit("append_sentence", "x", content="END."),
+    rules.edit("insert_words", "x", content="manual"), rules.edit("swap_phrase", "x", find="Apache License", replace="MIT"),
+]
+SPACED = "replace(text, 'Apache License', 'Apache ' || chr(10) || chr(9) || 'License')"
+SIGNED = "coalesce(" + ", ".join(f"nullif(strpos(text, '{m}'), 0)" for m in edits.SIGNATURE_MARKERS) + ")"
+APPENDED = f"case when {SIGNED} is not null then substring(text, 1, {SIGNED} - 1) || '{{0}}' || chr(10) || substring(text, {SIGNED}) else text || chr(10) || '{{0}}' end"
+
+
+def at_(phrase: str) -> str:
+    return f"strpos(lower(text), '{phrase}')"
+
+
+def changed(phrase: str, before: str, skip: int) -> str:
+    """text with `before` after so many characters from the phrase, of which skip go."""
+    return f"substring(text, 1, {at_(phrase)} - 1 + {before[0]}) || '{before[1]}' || substring(text, {at_(phrase)} + {before[0]} + {skip})"
+
+
+ANCHOR = f"(case when {at_('licensed under the apache license, and no')} > 0 then {at_('licensed under the apache license, and no')} else {at_('licensed under the apache')} end)"
+NEXT = f"(case when strpos(substring(text, {ANCHOR}), chr(10)) > 0 then {ANCHOR} + strpos(substring(text, {ANCHOR}), chr(10)) - 1 else length(text) + 1 end)"
+MET = "regexp_extract(text, '(?i)Apache\\s+License')"
+
+
+@query(
+    f"with d as (select doc_id, {SPACED} as text from documents), r as (select doc_id, text, case doc_id % 8 when 0 then case when {at_('license')} > 0 and lower(substring(text, greatest({at_('license')} - 11, 1), least(11, {at_('license')} - 1))) <> 'reasonable ' then {changed('license', (0, 'reasonable '), 0)} end "
+    f"when 1 then case when {at_('version')} > 0 then {changed('version', (7, ' (X)'), 0)} end when 2 then case when {at_('licensed under')} > 0 then {changed('licensed under', (0, ''), 14)} end "
+    f"when 3 then case when {at_('licensed under the')} > 0 then regexp_replace(substring(text, 1, {at_('licensed under the')} - 1), '[^\n]*$', '') || regexp_replace(substring(text, {at_('licensed under the')}), '^[^\n]*\n?', '') end "
+    f"when 4 then case when {at_('licensed under the apache')} > 0 then substring(text, 1, {NEXT} - 1) || chr(10) || 'BLOCK' || substring(text, {NEXT}) else {APPENDED.format('BLOCK')} end when 5 then {APPENDED.format('END.')} "
+    f"when 7 then case when {MET} <> '' then replace(text, {MET}, 'MIT') end end as new from d) select doc_id, md5(coalesce(new, text)) as text_md5, (new is not null)::int as applied from r"
+)
+def edit_kinds(spark, sf_dir):
+    """Each kind of edit over the documents of its turn; the last finds its phrase only with other white space."""
+    docs = docs_of(spark, sf_dir).select("doc_id", F.replace("text", F.lit("Apache License"), F.lit("Apache \n\tLicense")).alias("text"))
+    own = docs.select("doc_id", F.lit(1).alias("edit_seq"), F.element_at(F.array(*KINDS), (F.col("doc_id") % 8 + 1).cast("int")).alias("e")).select("doc_id", "edit_seq", "e.*")
+    return edits.apply_edits(docs, own).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("text_md5"), F.col("applied").cast("int").alias("applied"))
+
+
+@query(
+    f"with {TURNS}, d as (select {CHANGE} as change, case when n.text is null or o.text is null then 'MINOR MODIFICATION' when length(n.text) < length(o.text) * 0.8 then 'SIGNIFICANT SHORTENING' when length(n.text) > length(o.text) * 1.2 then 'SIGNIFICANT LENGTHENING' else 'MINOR MODIFICATION' end as weight from o full join n on o.conv_id = n.conv_id and o.pair = n.pair) select change, weight, count(*) as n from d group by all"
+)
+def change_weights(spark, sf_dir):
+    out = diff.compare(*turns(spark, sf_dir), ["conv_id", "pair"]).withColumn("weight", diff.weight_verdict(F.col("old_text"), F.col("new_text")))
+    return out.groupBy("change", "weight").agg(F.count("*").alias("n"))
+
+
+VERSIONS = ["the", "and for", "License", "no such phrase"]
+
+
+@query(
+    f"with v as (select conv_id, lower(max(text) filter (turn = 0)) as o, lower(max(text) filter (turn = 1)) as c, lower(max(text) filter (turn = 2)) as a from conversations where turn < 3 group by 1), p as (select unnest({VERSIONS!r}) as phrase), "
+    "m as (select conv_id, phrase, coalesce(contains(o, lower(phrase)), false) as in_original, coalesce(contains(c, lower(phrase)), false) as in_candidate, coalesce(contains(a, lower(phrase)), false) as in_accepted from v, p) select *, in_candidate = in_accepted as agree from m"
+)
+def version_matrix(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return diff.version_matrix(*(c.filter(F.col("turn") == k).groupBy("conv_id").agg(F.max("text").alias("text")) for k in range(3)), VERSIONS, "conv_id")
+
+
+@query(f"with {ACROSS}, s as (select count(*) as pages, count(*) filter (to_review) as review_pages, round(100.0 * count(*) filter (to_review) / count(*), 4)::double as review_percent from r) select s.*, (select count(distinct term) from pw) as learned_terms from s")
+def learn_then_apply_learned(spark, sf_dir):
+    return route.learning_statistics(page_words(spark, sf_dir)).withColumn("review_percent", F.col("review_percent").cast("double"))
+
+
+@query(f"select doc_id, md5(array_to_string(({PLAIN_WORDS})[1:20], ' ')) as head_md5 from documents")
+def prompt_heads(spark, sf_dir):
+    return docs_of(spark, sf_dir).select("doc_id", F.md5(F.encode(formats.prompt_words(F.col("text"), 20), "UTF-8")).alias("head_md5"))

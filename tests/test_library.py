@@ -276,9 +276,6 @@ def test_text_formats(spark):
     assert one(spark, formats.reply_body(F.col("t")), t="Here it is\n\n  one \ntwo") == "one\ntwo" and one(spark, formats.reply_body(F.col("t")), t="Here") == "Here"
     assert one(spark, formats.reply_names(F.col("t")), t="The names:\n- Acme LLC\n* ab\nLongname") == ["Acme LLC", "Longname"]
     assert one(spark, formats.prompt_head(F.col("t"), 3), t="abcdef") == "abc" and one(spark, formats.blank_line_paragraphs(F.col("t"), 2), t="a\n\nb\n\nc") == ["a", "b"]
-    runs = one(spark, formats.unified_words(F.col("a"), F.col("b")), a="one two three four", b="one 2 3 four")
-    assert [(r.kind, r.word) for r in runs] == [(" ", "one"), ("-", "two"), ("-", "three"), ("+", "2"), ("+", "3"), (" ", "four")]
-    assert [r.kind for r in one(spark, formats.unified_words(F.col("a"), F.col("b")), a="x y", b="x y")] == [" ", " "]
 
 
 def test_edit_variants(spark):

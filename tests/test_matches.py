@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clauseloom.functions.patterns import LIBRARY_A
-from clauseloom.operators import runs, spans, split, terms, worddiff
+from clauseloom.operators import edits, rules, runs, spans, split, terms, worddiff
 from tests.conftest import DATA
 
 
@@ -155,6 +155,7 @@ def test_splitters_on_a_text_of_ten_million_characters(spark):
     start = time.monotonic()
     chunks = split.char_chunks(df).agg(F.count("*"), F.sum("char_count"), F.max("end_char")).first()
     assert tuple(chunks) == (-(-len(text) // 1000), len(text), len(text))
+    assert spans.located(df, [("NUMBER", r"\d+")]).count() == 0
     sentences = split.risk_sentences(df, F.lit(True))
     packed = split.pack_sections(sentences).agg(F.count("*"), F.sum("word_count"), F.max("word_count")).first()
     assert packed[1] == 9 * 220_000 and packed[2] <= 300 and packed[0] == -(-220_000 // 33)
@@ -180,3 +181,15 @@ def test_clauses_as_a_fold(spark):
     got = split.clauses(split.lines(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()
     assert sorted((c.doc_id, c.clause_number, c.text) for c in got) == [(i, n, c) for i, t in rows for n, c in enumerate(fold(t), 1)]
 
+
+
+def test_flexible_edits(spark):
+    """A phrase that is not in the text as such is sought by runs of its words, if asked for."""
+    docs = spark.createDataFrame([(1, "The receiving party shall keep all materials confidential.")], "doc_id bigint, text string")
+    made = rules.edit("swap_phrase", "x", find="[COMPANY_1] party shall keep all the papers", replace="#")
+    own = docs.select("doc_id", F.lit(1).alias("edit_seq"), made.alias("e")).select("doc_id", "edit_seq", "e.*")
+    plain, flexible = (edits.apply_edits(docs, own, flexible=x).first() for x in (False, True))
+    assert plain.applied == 0 and (flexible.text, flexible.applied) == ("The receiving # materials confidential.", 1)
+    none = docs.select("doc_id", F.lit(1).alias("edit_seq"), rules.edit("delete_block", "x", quoted="NOT FOUND").alias("e")).select("doc_id", "edit_seq", "e.*")
+    text = spark.createDataFrame([(1, "one\nthe text NOT FOUND here\ntwo")], "doc_id bigint, text string")
+    assert edits.apply_edits(text, none).first().applied == 0
