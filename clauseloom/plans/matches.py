@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions.patterns import LIBRARY_B, PLAIN
 from clauseloom.operators import diff, edits, formats, route, rules, runs, spans, text, vault, worddiff
-from clauseloom.sources import docx, synthetic
+from clauseloom.sources import docx, pdf, synthetic
 from clauseloom.plans.registry import ACROSS, CHANGE, LINES, PLAIN_WORDS, TURNS, allow_list, docs_of, lines_of, page_words, q, query, turns
 
 GAPS = " union all ".join(
@@ -205,3 +205,16 @@ def learn_then_apply_learned(spark, sf_dir):
 @query(f"select doc_id, md5(array_to_string(({PLAIN_WORDS})[1:20], ' ')) as head_md5 from documents")
 def prompt_heads(spark, sf_dir):
     return docs_of(spark, sf_dir).select("doc_id", F.md5(F.encode(formats.prompt_words(F.col("text"), 20), "UTF-8")).alias("head_md5"))
+
+
+LATIN = PLAIN_WORDS.replace("text,", r"regexp_replace(text, '[^\x00-\x7E\x{A0}-\x{FF}]', '?', 'g'),")
+
+
+@query(f"select doc_id, md5(array_to_string({LATIN}, ' ')) as words_md5, true as readable from documents")
+def pdf_roundtrip(spark, sf_dir):
+    """Every text set as PDF pages and read again: the same words in the same order."""
+    docs = docs_of(spark, sf_dir).select(F.col("doc_id").cast("string").alias("name"), "text")
+    pages = pdf.pdf_pages(pdf.pdf_files(docs, "contract").withColumnRenamed("name", "path"))
+    text_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"]), "\n")
+    back = pages.groupBy("path").agg(text_.alias("text"), (F.count("error") == 0).alias("readable"))
+    return back.select(F.col("path").cast("bigint").alias("doc_id"), F.md5(F.encode(F.array_join(text.plain_words(F.col("text")), " "), "UTF-8")).alias("words_md5"), "readable")
