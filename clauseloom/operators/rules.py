@@ -10,16 +10,16 @@ from clauseloom.operators.score import REQUIRED_ROLES
 FIELDS = ("type", "find", "replace", "content", "qualifier", "anchor_quote", "anchor_description", "quoted", "category")
 EDIT = "array<struct<type:string,find:string,replace:string,content:string,qualifier:string,anchor_quote:string,anchor_description:string,quoted:string,category:string,candidates:array<string>>>"
 
-#: The texts that edits insert, unless a configuration brings others.
+#: Short texts of our own that edits insert where a client's template file (readers.configuration) has no other. Placeholders are filled from the document's terms.
 TEMPLATES = {
-    "carveout_block": "Notwithstanding anything to the contrary, the term \"{conf}\" shall not include: (a) information already in {receiver}'s or its {reps}' possession prior to the date of disclosure or information that subsequently comes into {receiver}'s or its {reps}' possession and is not known by such party to be subject to an obligation of confidentiality owed to {receiver}; (b) information available to the public generally (other than as a result of the breach by {receiver} or its {reps} of this Agreement); (c) information independently developed by {receiver} or its {reps} without reliance on any {conf}.",
-    "prior_possession": "; ({letter}) information already in {receiver}'s or its {reps}' possession prior to the date of disclosure or information that subsequently comes into {receiver}'s or its {reps}' possession and is not known by such party to be subject to an obligation of confidentiality owed to {receiver}",
-    "independent_dev": "; ({letter}) information independently developed by {receiver} or its {reps} without reliance on any {conf}",
-    "public": "; ({letter}) information available to the public generally (other than as a result of the breach by {receiver} or its {reps} of this Agreement)",
-    "term_clause": "This Agreement shall be automatically terminated and expired {duration} after the date of this Agreement.",
-    "compelled_disclosure_block": "Notwithstanding the foregoing, {receiver} may disclose {conf} if required by court order, subpoena, or judicial process, provided that {receiver} shall provide prompt notice to {provider} and cooperate on protective orders where practicable.",
-    "no_obligation": "{receiver} is not obligated to proceed with the Transaction by entering into this Agreement.",
-    "signature_notation": "[Signatures are on the following page]",
+    "carveout_block": "{conf} does not cover what (a) {receiver} or its {reps} already hold or lawfully receive from others, (b) is or becomes public without fault of {receiver} or its {reps}, or (c) they develop on their own.",
+    "prior_possession": "; ({letter}) what {receiver} or its {reps} already hold or lawfully receive from others",
+    "independent_dev": "; ({letter}) what {receiver} or its {reps} develop without use of {conf}",
+    "public": "; ({letter}) what is public, or becomes so without fault of {receiver} or its {reps}",
+    "term_clause": "This Agreement ends {duration} after its date.",
+    "compelled_disclosure_block": "If a court or authority so orders, {receiver} may disclose {conf}; where it lawfully can, it first tells {provider} and helps it to seek protection.",
+    "no_obligation": "Signing this Agreement does not oblige {receiver} to proceed.",
+    "signature_notation": "[Signature page follows]",
 }
 # Phrases that are swapped or deleted.
 SIGN_PHRASES = ["sign a copy of this Agreement", "sign a confidentiality agreement", "obtain the written agreement of", "sign a separate"]
