@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clauseloom.functions.patterns import LIBRARY_B, PLAIN
@@ -218,3 +219,33 @@ def pdf_roundtrip(spark, sf_dir):
     text_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"]), "\n")
     back = pages.groupBy("path").agg(text_.alias("text"), (F.count("error") == 0).alias("readable"))
     return back.select(F.col("path").cast("bigint").alias("doc_id"), F.md5(F.encode(F.array_join(text.plain_words(F.col("text")), " "), "UTF-8")).alias("words_md5"), "readable")
+
+
+THREE = "select doc_id, edit_seq, (2 * edit_seq)::int as line_number, para as find from (select doc_id, para, (row_number() over (partition by doc_id order by para_no desc))::int as edit_seq from lines where para <> '') where edit_seq <= 3"
+
+
+@query(
+    f"with lines as ({LINES}), own as ({THREE}), ranked as (select doc_id, edit_seq, para_no, case when contains(para, substr(find, 1, 50)) and para_no = line_number then 0 "
+    "when contains(para, substr(find, 1, 50)) and abs(para_no - line_number) <= 3 then 1 when contains(para, substr(find, 1, 30)) then 2 end as rank from own join lines using (doc_id)) "
+    "select doc_id, edit_seq, para_no from ranked where rank is not null qualify row_number() over (partition by doc_id, edit_seq order by rank, para_no) = 1"
+)
+def nearest_of_several(spark, sf_dir):
+    """Three edits a document, named for lines that do not hold their texts as a rule."""
+    lines = lines_of(spark, sf_dir)
+    last = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("para_no")))
+    own = lines.filter("text <> ''").withColumn("edit_seq", last).filter("edit_seq <= 3").select("doc_id", "edit_seq", (2 * F.col("edit_seq")).alias("line_number"), F.col("text").alias("find"))
+    return edits.nearest_paragraphs(own, lines).select("doc_id", "edit_seq", "para_no")
+
+
+@query(
+    f"with lines as ({LINES}), m as (select doc_id, para_no, 0 as k, para_no as line_no, case when para_no % 3 = 0 then replace(para, 'the', 'THE') else para end as text, para_no % 3 = 0 and contains(para, 'the') as modified from lines "
+    "union all select doc_id, para_no, 1, null::int, 'after ' || para_no, true from lines where para_no % 5 = 0 union all select distinct doc_id, 2000000000, 2, null::int, 'end', true from lines) "
+    "select doc_id, row_number() over (partition by doc_id order by para_no, k)::int as position, line_no, md5(text) as text_md5, modified from m"
+)
+def line_edits_everywhere(spark, sf_dir):
+    """Replacements on every third line, insertions after every fifth, and one at the end of each document."""
+    lines = lines_of(spark, sf_dir).withColumnRenamed("para_no", "line_no")
+    n = F.col("line_no")
+    some = lambda condition, kind, find, new, content: lines.filter(condition).select("doc_id", n.alias("seq"), F.lit(kind).alias("change_type"), n.alias("line_number"), F.lit(find).alias("find"), F.lit(new).alias("replace"), content.alias("content"))
+    changes = some("line_no % 3 = 0", "replace_text_on_line", "the", "THE", F.lit("")).unionByName(some("line_no % 5 = 0", "insert_after_line", "", "", F.concat(F.lit("after "), n.cast("string")))).unionByName(some("line_no = 1", "insert_at_end", "", "", F.lit("end")))
+    return edits.apply_line_edits(lines, changes).withColumn("text_md5", F.md5(F.encode("text", "UTF-8"))).drop("text")

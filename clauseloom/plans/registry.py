@@ -305,12 +305,6 @@ def html_to_text(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.md5(F.encode(text.html_to_text(F.col("html")), "UTF-8")).alias("text_md5"))
 
 
-@query()
-def mhtml_to_text(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", text.mhtml_to_text(F.col("html")).alias("t"))
-    return pages.select("page_id", F.md5(F.encode("t", "UTF-8")).alias("text_md5"), F.length("t").cast("bigint").alias("n"))
-
-
 PAGE_LINES = "ls as (select page_id, unnest(string_split(html, chr(10))) as line, unnest(range(1, len(string_split(html, chr(10))) + 1))::int as line_no from pages)"
 BINARY_LINE = " or ".join(f"contains(lower(line), '{m}')" for m in text.BINARY_MARKERS)
 
@@ -324,6 +318,20 @@ def mime_part_skip(spark, sf_dir):
     return text.mime_lines(lines, "page_id").select("page_id", "line_no", F.md5(F.encode("line", "UTF-8")).alias("line_md5"))
 
 
+DECODED = "array_to_string(list_transform(regexp_extract_all(regexp_replace(t, '=\\r?\\n', '', 'g'), '=[0-9A-F]{2}|[^=]+|='), lambda x: case when regexp_matches(x, '^=[0-9A-F]{2}$') then chr(('0x' || substr(x, 2))::int) else x end), '')"
+BLANKS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+@query(
+    f"with {PAGE_LINES}, e as (select *, case when contains(line, '{text.BINARY}') then 'skip' when starts_with(line, '------') and contains(line, 'Boundary') then 'keep' when {BINARY_LINE} then 'skip' end as event from ls), "
+    "s as (select *, last_value(event ignore nulls) over (partition by page_id order by line_no rows between unbounded preceding and current row) as state from e), k as (select page_id, string_agg(line, chr(10) order by line_no) as t from s where event is null and coalesce(state, 'keep') <> 'skip' group by 1), "
+    f"p as (select page_id, coalesce(t, '') as t from (select distinct page_id from pages) left join k using (page_id)), r as (select page_id, regexp_replace(regexp_replace(regexp_replace({DECODED}, '<[^>]+>', ' ', 'g'), '&[a-zA-Z0-9#]+;', ' ', 'g'), '{BLANKS}', ' ', 'g') as t from p) select page_id, md5(t) as text_md5, length(t)::bigint as n from r"
+)
+def mhtml_to_text(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", text.mhtml_to_text(F.col("html")).alias("t"))
+    return pages.select("page_id", F.md5(F.encode("t", "UTF-8")).alias("text_md5"), F.length("t").cast("bigint").alias("n"))
+
+
 # Facts for scoring: the reference data has no analyses, so they follow from document ids by arithmetic.
 FACTS = """select doc_id,
  list_slice(['public','prior_possession','independent_dev'], 1, (doc_id % 4)::int) as concepts_found, list_slice(['affiliates','Directors','officers','employees','members','partners','investors','agents','attorneys','accountants','brokers','consultants','advisors'], 1, (doc_id % 14)::int) as roles_found,
