@@ -369,3 +369,9 @@ def surgical_replace(spark, sf_dir):
 @query(f"with lines as ({LINES}) select doc_id, para_no, md5(format('=== AI CHANGE #{{}}: {{}} ==={{}}[REPLACED BY AI: {{}}] → {{}}', para_no, 'SWAP', chr(10), para, 'new')) as text_md5 from lines")
 def visible_changes(spark, sf_dir):
     return lines_of(spark, sf_dir).select("doc_id", "para_no", variants.visible_change(F.col("para_no"), F.lit("swap"), F.col("text"), F.lit("new")).alias("t")).select("doc_id", "para_no", md5("t").alias("text_md5"))
+
+
+# Queries of the registry that are the whole library's under other names share their SQL.
+ORACLE["pattern_counts_full_library"] = ORACLE["whole_library_counts"]
+ORACLE["pii_page_selection_full"] = ORACLE["page_selection_by_words_and_patterns"]
+ORACLE["pattern_findings_full_library"] = " union all ".join(f"select doc_id, {k} as pattern_no, '{label}' as label, unnest(regexp_extract_all(text, '(?i){q(p)}')) as found from documents" for k, (label, p) in enumerate(LIBRARY_A))

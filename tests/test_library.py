@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions.patterns import LIBRARY_A, LIBRARY_B0, LIBRARY_C, LIBRARY_T, PLAIN, STOP_TERMS_C
 from clauseloom.operators import edits, formats, review, route, rules, score, split, terms, text, variants, vault
-from clauseloom.plans import extra, registry
+from clauseloom.plans import extra, matches, registry  # noqa: F401  matches adds its queries
 from clauseloom.sources import readers, replies, writers
 from tests.conftest import DATA, SMALL
 
