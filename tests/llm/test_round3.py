@@ -132,8 +132,10 @@ def test_op12_bounds_spare_scans():
 
 
 def brute_winner(versions, key, t):
+    if key is None or t is None:
+        return None
     best = [v for v in versions if None not in v[:5] and v[0] == key and v[1] <= t and v[2] <= t < v[3]]
-    return max(best, key=lambda v: (v[1], -v[2], v[4]), default=None) if key is not None and t is not None else None
+    return max(best, key=lambda v: (v[1], -v[2], v[4]), default=None)
 
 
 @pytest.mark.parametrize("share", [2, 400, 100_000])
