@@ -139,12 +139,15 @@ def vault_with_allow_list(spark, sf_dir):
     return own.join(wrong, "doc_id", "left").select("doc_id", "mails", F.coalesce("allowed_persons", F.lit(0)).cast("bigint").alias("allowed_persons"), "restored")
 
 
-#: One edit for each document, by its id: the kinds in turn.
-KINDS = [
-    rules.edit("add_qualifier", "x", find="license", qualifier="reasonable "), rules.edit("insert_after", "x", F.array(F.lit("no such text"), F.lit("VERSION")), content=" (X)"), rules.edit("delete_phrase", "x", find="Licensed under"),
-    rules.edit("delete_block", "x", quoted="licensed under the"), rules.edit("insert_block", "x", anchor_quote="Licensed under the Apache License, and no more", content="BLOCK"), rules.edit("append_sentence", "x", content="END."),
-    rules.edit("insert_words", "x", content="manual"), rules.edit("swap_phrase", "x", find="Apache License", replace="MIT"),
-]
+def one_of_each_kind() -> list:
+    """One edit for each document, by its id: the kinds in turn."""
+    return [
+        rules.edit("add_qualifier", "x", find="license", qualifier="reasonable "), rules.edit("insert_after", "x", F.array(F.lit("no such text"), F.lit("VERSION")), content=" (X)"), rules.edit("delete_phrase", "x", find="Licensed under"),
+        rules.edit("delete_block", "x", quoted="licensed under the"), rules.edit("insert_block", "x", anchor_quote="Licensed under the Apache License, and no more", content="BLOCK"), rules.edit("append_sentence", "x", content="END."),
+        rules.edit("insert_words", "x", content="manual"), rules.edit("swap_phrase", "x", find="Apache License", replace="MIT"),
+    ]
+
+
 SPACED = "replace(text, 'Apache License', 'Apache ' || chr(10) || chr(9) || 'License')"
 SIGNED = "coalesce(" + ", ".join(f"nullif(strpos(text, '{m}'), 0)" for m in edits.SIGNATURE_MARKERS) + ")"
 APPENDED = f"case when {SIGNED} is not null then substring(text, 1, {SIGNED} - 1) || '{{0}}' || chr(10) || substring(text, {SIGNED}) else text || chr(10) || '{{0}}' end"
@@ -174,7 +177,7 @@ MET = "regexp_extract(text, '(?i)Apache\\s+License')"
 def edit_kinds(spark, sf_dir):
     """Each kind of edit over the documents of its turn; the last finds its phrase only with other white space."""
     docs = docs_of(spark, sf_dir).select("doc_id", F.replace("text", F.lit("Apache License"), F.lit("Apache \n\tLicense")).alias("text"))
-    own = docs.select("doc_id", F.lit(1).alias("edit_seq"), F.element_at(F.array(*KINDS), (F.col("doc_id") % 8 + 1).cast("int")).alias("e")).select("doc_id", "edit_seq", "e.*")
+    own = docs.select("doc_id", F.lit(1).alias("edit_seq"), F.element_at(F.array(*one_of_each_kind()), (F.col("doc_id") % 8 + 1).cast("int")).alias("e")).select("doc_id", "edit_seq", "e.*")
     return edits.apply_edits(docs, own).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("text_md5"), F.col("applied").cast("int").alias("applied"))
 
 

@@ -1,6 +1,8 @@
 """DOCX with tracked changes, model replies, made-up agreements, the run log, and streams with state."""
 
 import json
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -10,7 +12,7 @@ from clauseloom.functions.patterns import LIBRARY_B, PLAIN
 from clauseloom.operators import edits, route, spans, vault
 from clauseloom.sources import docx, readers, replies, synthetic, writers
 from clauseloom.streaming import redaction, routing
-from tests.conftest import DATA
+from tests.conftest import DATA, ROOT
 
 
 def test_docx_written_and_read_back(spark, tmp_path):
@@ -121,3 +123,9 @@ def test_routing_stream_as_the_batch_query(spark, tmp_path):
     spark.createDataFrame(late, schema).write.mode("append").parquet(str(tmp_path / "one/in"))
     routing.route_stream(spark, str(tmp_path / "one/in"), schema, str(tmp_path / "one/out"), str(tmp_path / "one/cp")).awaitTermination()
     assert {r.doc_id for r in spark.read.parquet(str(tmp_path / "one/out")).filter("doc_id < 0").collect()} == {-4}
+
+
+def test_entry_is_imported_without_a_session():
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=ROOT, capture_output=True, text=True, timeout=100)
+    n, with_sql = map(int, out.stdout.split())
+    assert n > with_sql > 100
