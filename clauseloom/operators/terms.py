@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clauseloom.functions.patterns import in_java
 from clauseloom.operators.text import let, plain_words, random_artifact, words
 
 # Endings that mark a company's name where no reviewer says so.
@@ -25,7 +26,7 @@ PIECES = r"\[[A-Z_]+\]|[A-Za-z]+|[^A-Za-z\[]+|\["
 
 def matched_strings_redacted(text: Column, library: list[tuple[str, str]], marker: str = "[REDACT]", flags: str = "(?i)") -> Column:
     """Every occurrence of each string that a pattern matches in the original text, wherever it stands; in order of patterns, then of matches."""
-    found = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(flags + p), F.lit(0)) for _, p in library)))
+    found = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(in_java(p, flags)), F.lit(0)) for _, p in library)))
     return F.aggregate(F.array_distinct(found), text, lambda t, m: F.replace(t, m, F.lit(marker)))
 
 
@@ -87,7 +88,7 @@ def findings_report(found: DataFrame, flagged: DataFrame, most: int = 10, most_w
 
 def findings_at(docs: DataFrame, library: list[tuple[str, str]], flags: str = "(?i)") -> DataFrame:
     """(doc_id, pattern_no, label, at, found): at is the match's number among its pattern's in the text."""
-    per = F.array(*(F.struct(F.lit(k).alias("pattern_no"), F.lit(label).alias("label"), F.regexp_extract_all("text", F.lit(flags + p), F.lit(0)).alias("all")) for k, (label, p) in enumerate(library)))
+    per = F.array(*(F.struct(F.lit(k).alias("pattern_no"), F.lit(label).alias("label"), F.regexp_extract_all("text", F.lit(in_java(p, flags)), F.lit(0)).alias("all")) for k, (label, p) in enumerate(library)))
     return docs.select("doc_id", F.explode(per).alias("p")).select("doc_id", "p.pattern_no", "p.label", F.posexplode("p.all").alias("at", "found"))
 
 
@@ -98,7 +99,7 @@ def counted_placeholders(text: Column, library: list[tuple[str, str]], stop_term
     """
 
     def labelled(label: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(flags + pattern), F.lit(0)), lambda m: F.struct(F.lit(label).alias("label"), m.alias("m")))
+        return F.transform(F.regexp_extract_all(text, F.lit(in_java(pattern, flags)), F.lit(0)), lambda m: F.struct(F.lit(label).alias("label"), m.alias("m")))
 
     all_ = F.flatten(F.array(*(labelled(label, p) for label, p in library)))
     kept = F.filter(all_, lambda x: ~F.exists(F.array(*map(F.lit, stop_terms)), lambda s: F.contains(F.lower(x["m"]), s)))

@@ -8,8 +8,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from clauseloom.functions.patterns import LIBRARY_A
-from clauseloom.operators import edits, rules, runs, spans, split, terms, worddiff
+from clauseloom.functions.patterns import FIRST_WORD_ONLY, LIBRARY_A, in_java
+from clauseloom.operators import edits, rules, runs, spans, split, terms, text, worddiff
 from tests.conftest import DATA
 
 
@@ -24,6 +24,30 @@ def test_offsets_as_python_finds_them(spark):
     assert got == sorted(want, key=repr) and len(got) > 15
 
 
+def test_first_word_forms_match_alike(spark):
+    """The quicker forms find and replace what the library's own patterns do, on texts made of all that could tell them apart."""
+    draw = random.Random(3)
+    parts = ["a", "Bc", "NY", "x" * 30, "y" * 31, "Limited Partnership", "limited  partnership", "Partnership", " ", " ", " ", "    ", "     ", "\n", ",", ", ", "&", " & ", "1", "12345", " ny 12345", ", Ny 12345-6789", "_", "é", "e\u0301", "-", "[REDACTED]"] + [" ny 12345", ", Ny 12345-6789", " Limited Partnership"] * 2
+    rows = [(k, "".join(draw.choices(parts, k=draw.randint(2, 24)))) for k in range(40_000)]
+    docs = spark.createDataFrame(rows, "id int, t string")
+    assert len(FIRST_WORD_ONLY) == 3
+    for own, quick in FIRST_WORD_ONLY.items():
+        assert in_java(own, "(?i)") == "(?i)" + quick and in_java(own, "") == own
+        found = [F.regexp_extract_all("t", F.lit("(?i)" + p), F.lit(0)) for p in (own, quick)]
+        put = [F.regexp_replace("t", "(?i)" + p, "[R]") for p in (own, quick)]
+        n, unlike = docs.agg(F.count_if(F.size(found[0]) > 0), F.count_if((found[0] != found[1]) | (put[0] != put[1]))).first()
+        assert n > 1000 and unlike == 0
+
+
+def test_redacting_long_runs_of_words(spark):
+    """A million characters without a stop: the time of a pattern doesn't grow with the square of a run."""
+    one = spark.range(1).select(F.concat(F.repeat(F.lit("lorem ipsum dolor "), 56_000), F.lit("Springfield IL 62701, Acme Limited Partnership")).alias("text"))
+    library = [(label, p) for label, p in LIBRARY_A if label in ("CITY_STATE_ZIP", "LIMITED_PARTNERSHIP")]
+    begun = time.time()
+    assert one.select(text.redacted(F.col("text"), library)).first()[0] == "[REDACTED], [REDACTED]"
+    assert time.time() - begun < 30
+
+
 def brute_terms(text, listed):
     pattern = r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, listed), key=lambda t: -len(t))) + r")(?!\w)"
     return re.sub(pattern, "[REDACTED]", text, flags=re.IGNORECASE)
