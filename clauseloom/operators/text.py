@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.functions.patterns import GARBAGE_MARKERS, LIBRARY_A, in_java
+from clauseloom.functions.patterns import GARBAGE_MARKERS, LIBRARY_A, NEEDED, NEVER, in_java
+
+
+def sought(text: Column, pattern: str, flags: str) -> Column:
+    """The pattern to run over a text: one that matches nothing where the text lacks what every match holds."""
+    whole = F.lit(in_java(pattern, flags))
+    return F.when(text.rlike(flags + NEEDED[pattern]), whole).otherwise(NEVER) if flags == "(?i)" and pattern in NEEDED else whole
 
 
 def findings(docs: DataFrame, library: list[tuple[str, str]] = LIBRARY_A, keep: tuple[str, ...] = ("doc_id",), flags: str = "(?i)") -> DataFrame:
     """One row for each match of each pattern in the original text: pattern_no, label, found."""
-    per = F.array(*(F.struct(F.lit(k).alias("pattern_no"), F.lit(label).alias("label"), F.regexp_extract_all("text", F.lit(in_java(p, flags)), F.lit(0)).alias("all")) for k, (label, p) in enumerate(library)))
+    per = F.array(*(F.struct(F.lit(k).alias("pattern_no"), F.lit(label).alias("label"), F.regexp_extract_all("text", sought(F.col("text"), p, flags), F.lit(0)).alias("all")) for k, (label, p) in enumerate(library)))
     return docs.select(*keep, F.explode(per).alias("p")).select(*keep, "p.pattern_no", "p.label", F.explode("p.all").alias("found"))
 
 
@@ -22,12 +29,14 @@ def unguarded(found: DataFrame, stop_terms: list[str]) -> DataFrame:
 
 
 def pattern_count(text: Column, library: list[tuple[str, str]], flags: str = "(?i)") -> Column:
-    return reduce(lambda a, b: a + b, (F.regexp_count(text, F.lit(in_java(p, flags))) for _, p in library)).cast("bigint")
+    return reduce(lambda a, b: a + b, (F.regexp_count(text, sought(text, p, flags)) for _, p in library)).cast("bigint")
 
 
 def redacted(text: Column, library: list[tuple[str, str]], marker: str = "[REDACTED]", flags: str = "(?i)") -> Column:
     """Each pattern in order over the already redacted text; marker `[LABEL]` puts each pattern's own label in."""
-    return reduce(lambda t, p: F.regexp_replace(t, in_java(p[1], flags), f"[{p[0]}]" if marker == "[LABEL]" else marker), library, text)
+    plain = re.fullmatch(r"\[\w+\]", marker) is not None  # such a marker adds nothing that a pattern needs, so the original text tells
+    pattern = lambda p: sought(text, p, flags) if plain else F.lit(in_java(p, flags))
+    return reduce(lambda t, p: F.regexp_replace(t, pattern(p[1]), F.lit(f"[{p[0]}]" if marker == "[LABEL]" else marker)), library, text)
 
 
 def any_pattern(text: Column, library: list[tuple[str, str]], flags: str = "(?i)") -> Column:

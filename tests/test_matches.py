@@ -217,3 +217,20 @@ def test_flexible_edits(spark):
     none = docs.select("doc_id", F.lit(1).alias("edit_seq"), rules.edit("delete_block", "x", quoted="NOT FOUND").alias("e")).select("doc_id", "edit_seq", "e.*")
     text = spark.createDataFrame([(1, "one\nthe text NOT FOUND here\ntwo")], "doc_id bigint, text string")
     assert edits.apply_edits(text, none).first().applied == 0
+
+
+def test_texts_without_what_a_match_holds_are_not_searched(spark):
+    """Redaction, counts and findings are those of the plain patterns, whether a text holds what they need or not."""
+    draw = random.Random(4)
+    parts = ["Boston", " ", ", ", "MA 02101", "ma  02101-1234", "12 ", "Oak Street", "a@b.co", "@", "Two Hundred dollars ($200)", "($", "$5", "Acme", " & Co", " Limited Partnership", "limited partnership", "\n", "é", "[REDACTED]"]
+    rows = [(k, "".join(draw.choices(parts, k=draw.randint(0, 10)))) for k in range(5_000)] + [(5_000, None), (5_001, "")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(8)
+    t = F.col("text")
+    for marker in ("[REDACT]", "Limited Partnership 12 @ MA 02101"):
+        want = t
+        for _, p in LIBRARY_A:
+            want = F.regexp_replace(want, "(?i)" + p, marker.replace("$", r"\$"))
+        assert docs.filter(~text.redacted(t, LIBRARY_A, marker).eqNullSafe(want)).count() == 0
+    counts = sum(F.regexp_count(t, F.lit("(?i)" + p)) for _, p in LIBRARY_A)
+    assert docs.filter(~text.pattern_count(t, LIBRARY_A).eqNullSafe(counts.cast("bigint"))).count() == 0
+    assert text.findings(docs).count() == docs.agg(F.sum(counts)).first()[0] > 5_000
