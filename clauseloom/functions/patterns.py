@@ -5,7 +5,24 @@ from __future__ import annotations
 # The words for streets, companies and mail addresses that patterns share.
 STREET = r"(?:Street|St\.?|Road|Rd\.?|Avenue|Ave\.?|Boulevard|Blvd\.?|Lane|Ln\.?|Drive|Dr\.?|Way|Circle|Cir\.?|Court|Ct\.?|Place|Pl\.?|Parkway|Pkwy\.?|Highway|Hwy\.?|Terrace|Ter\.?|Trail|Square|Sq\.?)"
 
-# The ordered, case-insensitive library of irreversible redaction (label, pattern in Java form).
+#: Borders of words, beside letters a to z, digits and underscores only, as the SQL and `\w` have them; Java's `\b` counts letters
+#: of all scripts. Before or after what always is such a sign, one look is enough.
+BEFORE_WORD, AFTER_WORD, BORDER = r"(?<!\w)", r"(?!\w)", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+
+
+def bordered(pattern: str) -> str:
+    """The pattern with its outer `\b` as the borders above."""
+    head, tail = (BORDER if pattern.startswith(r"\b[A-Za-z0-9._") else BEFORE_WORD), (BORDER if pattern.endswith((STREET + r"\b", r"|a-z]{2,}\b")) else AFTER_WORD)
+    inner = pattern.removeprefix(r"\b").removesuffix(r"\b")
+    return head * pattern.startswith(r"\b") + inner + tail * pattern.endswith(r"\b")
+
+
+def spelled(pattern: str) -> str:
+    """The pattern with `\b` again, for dialects in which that is a border as above."""
+    return pattern.replace(BORDER, r"\b").replace(BEFORE_WORD, r"\b").replace(AFTER_WORD, r"\b")
+
+
+# The ordered, case-insensitive library of irreversible redaction (label, pattern; `\b` becomes Java's form below).
 # Deviation: the words between a house number and its street are bounded, as unbounded ones exhaust Java's stack.
 LIBRARY_A: list[tuple[str, str]] = [
     ("TITLE_NAME", r"\b(Dr|Mr|Mrs|Ms|Miss|Prof|Professor|President|CEO|CFO|CTO|Director|Manager|Attorney|Lawyer|Esquire|Esq)\.?\s+([A-Z][a-z]+)"),
@@ -35,11 +52,12 @@ LIBRARY_A: list[tuple[str, str]] = [
     ("LIMITED_PARTNERSHIP", r"\b([A-Z][a-zA-Z\s&]+)\s+Limited Partnership\b"),
     ("DATE", r"this\s+\d{1,2}(?:st|nd|rd|th)?\s+day of\s+\w+,?\s+\d{4}"),
 ]
+LIBRARY_A = [(label, bordered(p)) for label, p in LIBRARY_A]
 #: Three of the patterns begin with a run of letters and blanks. In any case of letters they match from the run's first
 #: word or from none of its words, so the forms here don't try a word that follows another (of up to 30 letters and 4
 #: blanks): the same matches, in time that grows with the text and not with the square of its runs.
 RUN_LABELS = {"CITY_STATE_ZIP": r"\s", "LIMITED_PARTNERSHIP": r"[\s&]"}
-FIRST_WORD_ONLY = {p: rf"\b(?<!\b[a-zA-Z]{{1,30}}{RUN_LABELS[label]}{{1,4}})" + p.removeprefix(r"\b") for label, p in LIBRARY_A if label in RUN_LABELS}
+FIRST_WORD_ONLY = {p: rf"{BEFORE_WORD}(?<!{BEFORE_WORD}[a-zA-Z]{{1,30}}{RUN_LABELS[label]}{{1,4}})" + p.removeprefix(BEFORE_WORD) for label, p in LIBRARY_A if label in RUN_LABELS}
 
 
 def in_java(pattern: str, flags: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.functions.patterns import GARBAGE_MARKERS, LIBRARY_A, LIBRARY_B0, LIBRARY_C, LIBRARY_T, PLAIN, STOP_TERMS_C
+from clauseloom.functions.patterns import GARBAGE_MARKERS, LIBRARY_A, LIBRARY_B0, LIBRARY_C, LIBRARY_T, PLAIN, STOP_TERMS_C, spelled
 from clauseloom.operators import diff, edits, review, route, rules, score, split, text, vault
 from clauseloom.plans import rule_sql
 
@@ -26,7 +26,7 @@ def query(sql: str | None = None):
 
 
 def q(p: str) -> str:
-    return p.replace("'", "''")
+    return spelled(p).replace("'", "''")
 
 
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
