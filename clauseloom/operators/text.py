@@ -40,7 +40,11 @@ def redacted(text: Column, library: list[tuple[str, str]], marker: str = "[REDAC
 
 
 def any_pattern(text: Column, library: list[tuple[str, str]], flags: str = "(?i)") -> Column:
-    return reduce(lambda a, b: a | b, (text.rlike(in_java(p, flags)) for _, p in library))
+    def held(p: str) -> Column:
+        whole = text.rlike(in_java(p, flags))
+        return text.rlike(flags + NEEDED[p]) & whole if flags == "(?i)" and p in NEEDED else whole
+
+    return reduce(lambda a, b: a | b, (held(p) for _, p in library))
 
 
 def followed_up(text: Column) -> Column:
