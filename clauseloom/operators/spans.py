@@ -10,8 +10,8 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clauseloom.functions.patterns import LIBRARY_A, in_java
-from clauseloom.operators.text import let
+from clauseloom.functions.patterns import LIBRARY_A
+from clauseloom.operators.text import let, sought
 
 #: Bytes of terms that one automaton is built of; longer lists are searched in parts, one after another.
 PART_BYTES = 8 << 20
@@ -26,7 +26,7 @@ def located(docs: DataFrame, library: list[tuple[str, str]] = LIBRARY_A, keep: t
     """
 
     def matches(k: int, label: str, pattern: str):
-        p = F.lit(in_java(pattern, flags))
+        p = sought(F.col("text"), pattern, flags)
         gaps = F.transform(F.split("text", p), lambda x: F.length(x))
         every = let(F.regexp_extract_all("text", p, F.lit(0)), lambda all_: F.when(F.size(all_) > 0, F.zip_with(F.slice(gaps, F.lit(1), F.size(all_)), all_, lambda g, m: F.struct(g.alias("gap"), m.alias("found")))))
         return F.struct(F.lit(k).alias("pattern_no"), F.lit(label).alias("label"), every.alias("all"))
