@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clauseloom.operators.text import garbage, let, not_allowed, plain_words, words
+from clauseloom.operators.text import garbage, let, plain_words
 
 
 def keyed_hash(*parts: str) -> Column:
@@ -26,11 +26,19 @@ def char_chunks(docs: DataFrame, size: int = 1000) -> DataFrame:
 
 
 def word_chunks(docs: DataFrame, size: int = 1000) -> DataFrame:
-    """chunk_order, content, word_count, start_word (1-based), end_word (inclusive); size 500 gives pages."""
-    own = docs.select("doc_id", plain_words(F.col("text")).alias("ws")).filter(F.size("ws") > 0)
-    out = own.select("doc_id", "ws", F.posexplode(F.sequence(F.lit(1), F.size("ws"), F.lit(size))).alias("n", "start_word"))
-    part = F.slice("ws", F.col("start_word"), F.lit(size))
-    return out.select("doc_id", (F.col("n") + 1).alias("chunk_order"), F.array_join(part, " ").alias("content"), F.size(part).alias("word_count"), "start_word", (F.col("start_word") + F.size(part) - 1).alias("end_word"))
+    """chunk_order, content, word_count, start_word (1-based), end_word (inclusive); size 500 gives pages.
+
+    A text is cut once, and its words do not go along with each of its chunks.
+    """
+
+    def chunk(ws: Column, at: Column) -> Column:
+        part = F.slice(ws, at, F.lit(size))
+        return F.struct(F.array_join(part, " ").alias("content"), F.least(F.lit(size), F.size(ws) - at + 1).alias("word_count"))
+
+    chunks = let(plain_words(F.col("text")), lambda ws: F.when(F.size(ws) > 0, F.transform(F.sequence(F.lit(1), F.size(ws), F.lit(size)), lambda at: chunk(ws, at))))
+    out = docs.select("doc_id", F.posexplode_outer(chunks).alias("n", "c")).filter("n is not null")
+    start = F.col("n") * size + 1
+    return out.select("doc_id", (F.col("n") + 1).alias("chunk_order"), "c.content", "c.word_count", start.alias("start_word"), (start + F.col("c.word_count") - 1).alias("end_word"))
 
 
 def reassemble(chunks: DataFrame, joiner: str = "", order: str = "chunk_order") -> DataFrame:
@@ -68,16 +76,19 @@ def risk_sentences(docs: DataFrame, risky: Column) -> DataFrame:
     return sentence_pieces(docs).filter(at_risk(risky)).select("doc_id", "sent_idx", "sentence")
 
 
-def flagged_sentences(docs: DataFrame, allow: DataFrame) -> DataFrame:
+def flagged_sentences(docs: DataFrame, allow: DataFrame | int) -> DataFrame:
     """As risk_sentences, where a sentence is risky that has a word of over two letters off the allow-list (term).
 
-    Distinct words meet the list first, so each is looked up once; then the sentences that hold one of the others are kept.
+    A text's words meet the list, and its sentences the words that are left, row by row: sentences are not shuffled.
+    allow: as of terms.allow_list_redacted.
     """
-    long = sentence_pieces(docs).filter(F.length("sentence") >= 20)
-    inner = long.filter(~at_risk(F.lit(False)))
-    held = inner.select("doc_id", "sent_idx", "sentence", F.explode_outer(F.array_distinct(words(F.col("sentence")))).alias("word"))
-    found = not_allowed(held, allow).select("doc_id", "sent_idx", "sentence").distinct()
-    return long.filter(at_risk(F.lit(False))).select("doc_id", "sent_idx", "sentence").unionByName(found)
+    from clauseloom.operators import terms
+
+    own = docs.select("doc_id", "text")
+    both = terms.with_rare(own, allow, markers=False) if isinstance(allow, int) else terms.with_flagged(own, allow, markers=False)
+    cut = both.select("doc_id", F.arrays_zip(F.split("text", "[.!?]+").alias("raw"), terms.holds_flagged("text", "flagged").alias("hit")).alias("pieces"))
+    rows = cut.select("doc_id", F.size("pieces").alias("n"), F.posexplode_outer("pieces").alias("sent_idx", "p"))
+    return rows.select("doc_id", "n", "sent_idx", F.trim("p.raw").alias("sentence"), "p.hit").filter(at_risk(F.col("hit"))).select("doc_id", "sent_idx", "sentence")
 
 
 def pack_sections(sections: DataFrame, most_words: int = 300) -> DataFrame:

@@ -91,7 +91,11 @@ TOKENS = f"tokens as (select doc_id, unnest({WORDS}) as word from documents)"
 ALLOW = "allow as (select lower(word) as term from tokens group by 1 having count(distinct doc_id) >= 5)"
 
 
-def allow_list(tokens: DataFrame, least: int = 5) -> DataFrame:
+#: A word is on the allow-list that so many documents have.
+LEAST = 5
+
+
+def allow_list(tokens: DataFrame, least: int = LEAST) -> DataFrame:
     return tokens.groupBy(F.lower("word").alias("term")).agg(F.count_distinct("doc_id").alias("n")).filter(F.col("n") >= least).select("term")
 
 
@@ -190,7 +194,7 @@ FLAGGED = (
 @query(f"with {FLAGGED} select doc_id, i::int as sent_idx, md5(sentence) as sentence_md5 from k")
 def flagged_sentences(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
-    return split.flagged_sentences(docs, allow_list(text.tokens(docs))).select("doc_id", "sent_idx", F.md5(F.encode("sentence", "UTF-8")).alias("sentence_md5"))
+    return split.flagged_sentences(docs, LEAST).select("doc_id", "sent_idx", F.md5(F.encode("sentence", "UTF-8")).alias("sentence_md5"))
 
 
 PACKED_WORDS = PLAIN_WORDS.replace("text,", "sentence,")
@@ -203,7 +207,7 @@ PACKED_WORDS = PLAIN_WORDS.replace("text,", "sentence,")
 )
 def risk_bin_packing(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
-    return split.pack_sections(split.flagged_sentences(docs, allow_list(text.tokens(docs)))).select("doc_id", "chunk_no", F.md5(F.encode("content", "UTF-8")).alias("content_md5"), "word_count")
+    return split.pack_sections(split.flagged_sentences(docs, LEAST)).select("doc_id", "chunk_no", F.md5(F.encode("content", "UTF-8")).alias("content_md5"), "word_count")
 
 
 DISTINCT = f"w as (select distinct unnest({WORDS}) as word from documents)"
