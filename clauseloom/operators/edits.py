@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clauseloom.operators.text import let
+
 # Where a signature block starts, in order of preference.
 SIGNATURE_MARKERS = ["IN WITNESS WHEREOF", "By:", "SIGNATURE", "ACCEPTED", "AGREED", "Sincerely", "Very truly yours"]
 
@@ -12,17 +14,31 @@ SIGNATURE_MARKERS = ["IN WITNESS WHEREOF", "By:", "SIGNATURE", "ACCEPTED", "AGRE
 STOP_WORDS = ["line", "that", "this", "with", "from", "they", "have", "will", "been"]
 
 
+def found_in(low: Column, phrase: Column) -> Column:
+    """found_at in a text of which the lower case is there. Places are counted in characters, so only what is held by its bytes is placed."""
+    return F.when(F.coalesce(phrase, F.lit("")) == "", 0).when(~F.contains(low, F.lower(phrase)), 0).otherwise(F.instr(low, F.lower(phrase)))
+
+
 def found_at(text: Column, phrase: Column) -> Column:
     """Where the phrase is first, whatever its case (0: nowhere; an empty phrase is nowhere)."""
-    return F.when(F.coalesce(phrase, F.lit("")) == "", 0).otherwise(F.instr(F.lower(text), F.lower(phrase)))
+    return found_in(F.lower(text), phrase)
 
 
-def laddered(text: Column, phrase: Column) -> Column:
-    """The phrase as it stands in the text: in any case, then with tabs as spaces, then with any white space for white space; null if nowhere."""
+def laddered(text: Column, phrase: Column, low: Column | None = None) -> Column:
+    """The phrase as it stands in the text: in any case, then with tabs as spaces, then with any white space for white space; null if nowhere.
+
+    low: the text's lower case, where it is there already. The last search, an expression over the whole text, is made only
+    if the text holds each of the phrase's words (of ASCII signs, whose case does not depend on what is around them).
+    """
+    low = F.lower(text) if low is None else low
     spaced = F.trim(F.regexp_replace(phrase, r"\t+", " "))
     loose = F.concat(F.lit(r"(?i)\Q"), F.regexp_replace(F.replace(spaced, F.lit(r"\E"), F.lit(r"\E\\E\Q")), r"\s+", r"\\E\\s+\\Q"), F.lit(r"\E"))
-    as_is = [F.when(found_at(text, p) > 0, F.substr(text, found_at(text, p), F.length(p))) for p in (phrase, spaced)]
-    return F.coalesce(*as_is, F.when(spaced != "", F.get(F.regexp_extract_all(text, loose, F.lit(0)), F.lit(0))))
+
+    def as_is(p: Column) -> Column:
+        return let(found_in(low, p), lambda n: F.when(n > 0, F.substr(text, n, F.length(p))))
+
+    held = spaced.rlike(r"[^\x00-\x7F]") | F.forall(F.split(F.lower(spaced), r"\s+"), lambda w: F.contains(low, w))
+    return F.coalesce(as_is(phrase), F.when(spaced != phrase, as_is(spaced)), F.when((spaced != "") & held, F.get(F.regexp_extract_all(text, loose, F.lit(0)), F.lit(0))))
 
 
 def flexible_phrases(target: Column) -> Column:
@@ -90,27 +106,53 @@ def put(text: Column, at: Column, new: Column, size: Column) -> Column:
     return F.overlay(text, new, at, size)
 
 
-def apply_one(text: Column, e: Column, flexible: bool = False) -> Column:
-    """text after one edit, null if nothing was found. flexible: where no candidate is in the text, runs of its words are sought."""
-    options = F.coalesce(e["candidates"], F.array(e["find"]))
-    hit = F.try_element_at(F.filter(F.transform(options, lambda p: laddered(text, p)), lambda p: p.isNotNull()), F.lit(1))
-    if flexible:
-        hit = F.coalesce(hit, F.try_element_at(F.filter(F.transform(options, lambda p: flexible_hit(text, p)), lambda p: p.isNotNull()), F.lit(1)))
-    at, size = found_at(text, hit), F.length(hit)
-    nothing = F.lit("")
-    before = F.lower(F.substr(text, F.greatest(at - F.length(e["qualifier"]), F.lit(1)), F.least(F.length(e["qualifier"]), at - 1)))
-    block = F.when(e["quoted"] == "NOT FOUND", 0).otherwise(found_at(text, F.left(e["quoted"], F.lit(80))))
-    anchor = F.try_element_at(F.filter(F.transform(F.array(F.lit(60), F.lit(40), F.lit(25)), lambda n: F.left(e["anchor_quote"], n)), lambda p: found_at(text, p) > 0), F.lit(1))
-    signature = F.coalesce(*(F.when(F.instr(text, m) > 0, F.instr(text, m)) for m in SIGNATURE_MARKERS))
-    appended = F.when(signature.isNotNull(), put(text, signature, F.concat(e["content"], F.lit("\n")), F.lit(0))).otherwise(F.concat(text, F.lit("\n"), e["content"]))
-    after_anchor = F.concat(F.left(text, found_at(text, anchor) - 1), F.regexp_replace(F.substr(text, found_at(text, anchor)), r"^([^\n]*)", F.concat(F.lit("$1\n"), F.regexp_replace(e["content"], r"([\\$])", r"\\$1"))))
+def apply_one(text: Column, e: Column, flexible: bool = False, low: Column | None = None) -> Column:
+    """text after one edit, null if nothing was found. flexible: where no candidate is in the text, runs of its words are sought.
+
+    low: the text's lower case, where it is there already. What several branches need, the hit and its place, is computed
+    once, and only for kinds that need it.
+    """
+    low = F.lower(text) if low is None else low
+
+    def first(found: Column) -> Column:
+        return F.try_element_at(F.filter(found, lambda p: p.isNotNull()), F.lit(1))
+
+    def at_hit(hit: Column) -> Column:
+        def changed(at: Column) -> Column:
+            size = F.length(hit)
+            before = F.lower(F.substr(text, F.greatest(at - F.length(e["qualifier"]), F.lit(1)), F.least(F.length(e["qualifier"]), at - 1)))
+            return (
+                F.when(e["type"].isin("swap_phrase", "swap_word"), F.when(at > 0, put(text, at, e["replace"], size)))
+                .when(e["type"] == "delete_phrase", F.when(at > 0, put(text, at, F.lit(""), size)))
+                .when(e["type"] == "insert_after", F.when(at > 0, put(text, at + size, e["content"], F.lit(0))))
+                .when(e["type"] == "add_qualifier", F.when((at > 0) & (before != F.lower(e["qualifier"])), put(text, at, e["qualifier"], F.lit(0))))
+            )
+
+        return let(found_in(low, hit), changed)
+
+    def by_phrase() -> Column:
+        options = F.coalesce(e["candidates"], F.array(e["find"]))
+        hit = first(F.transform(options, lambda p: laddered(text, p, low)))
+        if flexible:
+            hit = F.coalesce(hit, first(F.transform(options, lambda p: flexible_hit(text, p))))
+        return let(hit, at_hit)
+
+    def without(block: Column) -> Column:
+        return F.when(block > 0, F.concat(F.regexp_replace(F.left(text, block - 1), r"[^\n]*\z", ""), F.regexp_replace(F.substr(text, block), r"^[^\n]*\n?", "")))
+
+    def after(at: Column) -> Column:
+        own = F.concat(F.left(text, at - 1), F.regexp_replace(F.substr(text, at), r"^([^\n]*)", F.concat(F.lit("$1\n"), F.regexp_replace(e["content"], r"([\\$])", r"\\$1"))))
+        return F.when(at > 0, own).otherwise(appended)
+
+    def place() -> Column:
+        return F.coalesce(first(F.transform(F.array(F.lit(60), F.lit(40), F.lit(25)), lambda n: F.nullif(found_in(low, F.left(e["anchor_quote"], n)), F.lit(0)))), F.lit(0))
+
+    signature = F.coalesce(*(F.when(F.contains(text, F.lit(m)), F.instr(text, m)) for m in SIGNATURE_MARKERS))
+    appended = let(signature, lambda at: F.when(at.isNotNull(), put(text, at, F.concat(e["content"], F.lit("\n")), F.lit(0))).otherwise(F.concat(text, F.lit("\n"), e["content"])))
     return (
-        F.when(e["type"].isin("swap_phrase", "swap_word"), F.when(at > 0, put(text, at, e["replace"], size)))
-        .when(e["type"] == "delete_phrase", F.when(at > 0, put(text, at, nothing, size)))
-        .when(e["type"] == "insert_after", F.when(at > 0, put(text, at + size, e["content"], F.lit(0))))
-        .when(e["type"] == "add_qualifier", F.when((at > 0) & (before != F.lower(e["qualifier"])), put(text, at, e["qualifier"], F.lit(0))))
-        .when(e["type"] == "delete_block", F.when(block > 0, F.concat(F.regexp_replace(F.left(text, block - 1), r"[^\n]*\z", ""), F.regexp_replace(F.substr(text, block), r"^[^\n]*\n?", ""))))
-        .when(e["type"] == "insert_block", F.when(anchor.isNotNull(), after_anchor).otherwise(appended))
+        F.when(e["type"].isin("swap_phrase", "swap_word", "delete_phrase", "insert_after", "add_qualifier"), by_phrase())
+        .when(e["type"] == "delete_block", let(F.when(e["quoted"] == "NOT FOUND", 0).otherwise(found_in(low, F.left(e["quoted"], F.lit(80)))), without))
+        .when(e["type"] == "insert_block", let(place(), after))
         .when(e["type"].isin("append_sentence", "insert_before_signature"), appended)
     )
 
@@ -122,11 +164,12 @@ def apply_edits(docs: DataFrame, edits: DataFrame, flexible: bool = False) -> Da
     """
     fields = [c for c in edits.columns if c not in ("doc_id", "edit_seq")]
     listed = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("edit_seq", *fields))).alias("edits"))
-    start = F.struct(F.col("text").alias("text"), F.array().cast("array<struct<edit_seq:int,applied:boolean>>").alias("log"))
+    start = F.struct(F.col("text").alias("text"), F.lower("text").alias("low"), F.array().cast("array<struct<edit_seq:int,applied:boolean>>").alias("log"))
 
     def step(s, e):
-        new = apply_one(s["text"], e, flexible)
-        return F.struct(F.coalesce(new, s["text"]).alias("text"), F.concat(s["log"], F.array(F.struct(e["edit_seq"].alias("edit_seq"), new.isNotNull().alias("applied")))).alias("log"))
+        logged = lambda new: F.concat(s["log"], F.array(F.struct(e["edit_seq"].alias("edit_seq"), new.isNotNull().alias("applied"))))
+        changed = lambda new: F.struct(F.coalesce(new, s["text"]).alias("text"), F.coalesce(F.lower(new), s["low"]).alias("low"), logged(new).alias("log"))
+        return let(apply_one(s["text"], e, flexible, s["low"]), changed)
 
     joined = docs.select("doc_id", "text").join(listed, "doc_id", "left").withColumn("edits", F.coalesce("edits", F.array()))
     out = joined.withColumn("s", F.aggregate("edits", start, step))

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from clauseloom.operators import rare, terms
+from clauseloom.operators import edits, rare, rules, terms
 from clauseloom.plans import extra, registry  # noqa: F401  extra adds its queries to the registry
 
 
@@ -61,3 +61,16 @@ def test_words_are_not_shuffled_for_each_place(spark, tmp_path, name):
     assert sorted(map(tuple, out.collect())) == sorted(want)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "count(distinct" not in plan and "LeftAnti" not in plan
+
+
+def test_an_edit_lowers_a_text_once(spark):
+    """A text's lower case and a hit's place were computed again by each branch; the last search was made over every text."""
+    docs = spark.createDataFrame([(1, "Sign\t a  SEPARATE Straße"), (2, "sign nothing"), (3, "ΟΔΟΣ  x straSSE"), (4, ""), (5, None), (6, "By: me, sign a separate")], "doc_id int, text string")
+    found = docs.select("doc_id", *(edits.laddered(F.col("text"), F.lit(p)).alias(p) for p in ("sign a separate", "straße", "ΟΔΟΣ x", "", " "))).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in found] == [("Sign\t a  SEPARATE", "Straße", None, None, " "), (None, None, None, None, " "), (None, None, "ΟΔΟΣ  x", None, " "), (None,) * 5, (None,) * 5, ("sign a separate", None, None, None, " ")]
+    made = [rules.edit("swap_phrase", "x", find="sign a separate", replace="S"), rules.edit("insert_after", "x", find="s", content="+"), rules.edit("append_sentence", "x", content="END")]
+    own = docs.select("doc_id", F.posexplode(F.array(*made)).alias("edit_seq", "e")).select("doc_id", "edit_seq", "e.*")
+    out = edits.apply_edits(docs, own)
+    assert {r.doc_id: (r.text, r.applied) for r in out.collect()} == {1: ("S+ Straße\nEND", 3), 2: ("s+ign nothing\nEND", 2), 3: ("ΟΔΟΣ  x s+traSSE\nEND", 2), 4: ("\nEND", 1), 5: (None, 0), 6: ("END\nBy: me, S+", 3)}
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("lower(") < 40
