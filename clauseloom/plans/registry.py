@@ -242,12 +242,12 @@ NEW = f"{PAGE_WORDS}, n as (select doc_id, page, page = min(page) over (partitio
 
 @query(f"with {NEW} select * from byp")
 def new_vs_repeated_terms(spark, sf_dir):
-    return route.new_terms(page_words(spark, sf_dir))
+    return route.new_terms_of(docs_of(spark, sf_dir))
 
 
 @query(f"with {NEW}, h as (select *, row_number() over (partition by doc_id order by page) <= count(*) over (partition by doc_id) // 2 as early from byp) select doc_id, sum(new_terms)::bigint as new_terms, sum(case when early then new_terms else 0 end)::bigint as early_terms, sum(new_terms + repeated_terms)::bigint as all_terms, sum(case when early then new_terms else 0 end) > 0.7 * sum(new_terms) as is_early from h group by doc_id")
 def early_introduction(spark, sf_dir):
-    return route.early_introduction(route.new_terms(page_words(spark, sf_dir)))
+    return route.early_introduction(route.new_terms_of(docs_of(spark, sf_dir)))
 
 
 ACROSS = f"{PAGE_WORDS}, f as (select term, min(doc_id) as first_doc from pw group by 1), r as (select doc_id, page, bool_or(doc_id = first_doc) as to_review from pw join f using (term) group by all)"
@@ -260,7 +260,7 @@ def learn_then_apply_route(spark, sf_dir):
 
 @query(f"with {PAGE_WORDS}, n as (select doc_id, page, page = min(page) over (partition by doc_id, term) as new from pw) select doc_id, page, bool_or(new) as to_review from n group by all")
 def learn_then_apply_within_doc(spark, sf_dir):
-    return route.route_within(page_words(spark, sf_dir))
+    return route.routed_within(route.new_terms_of(docs_of(spark, sf_dir)))
 
 
 @query(f"with {ACROSS} select count(*) as pages, count(*) filter (to_review) as review_pages, round(100.0 * count(*) filter (to_review) / count(*), 4)::double as review_percent from r")

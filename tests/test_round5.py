@@ -74,3 +74,16 @@ def test_an_edit_lowers_a_text_once(spark):
     assert {r.doc_id: (r.text, r.applied) for r in out.collect()} == {1: ("S+ Straße\nEND", 3), 2: ("s+ign nothing\nEND", 2), 3: ("ΟΔΟΣ  x s+traSSE\nEND", 2), 4: ("\nEND", 1), 5: (None, 0), 6: ("END\nBy: me, S+", 3)}
     plan = out._jdf.queryExecution().analyzed().toString()
     assert plan.count("lower(") < 40
+
+
+@pytest.mark.parametrize("name", ["new_vs_repeated_terms", "new_term_share", "learn_then_apply_within_doc", "approach_comparison", "early_introduction"])
+def test_terms_by_page_do_not_shuffle_words(spark, tmp_path, name):
+    """Rows that share an id or have none are one document, as in the SQL; words were shuffled twice before."""
+    r = random.Random(3)
+    word = lambda: r.choice("aZ") + r.choice("bcdefghijK") + r.choice("lmnopqrst")
+    rows = [(i, " ".join(word() for _ in range(n))) for i, n in ((1, 1700), (2, 500), (3, 501), (3, 1200), (4, 0), (None, 30), (None, 700), (5, 1))]
+    out = registry.QUERIES[name](spark, saved(spark, rows, tmp_path))
+    want = held(rows).execute(registry.ORACLE[name]).fetchall()
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan.lower()
