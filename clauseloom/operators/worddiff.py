@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clauseloom.functions.batches import pieces
+
 RUNS = "array<struct<kind:string,words:array<string>>>"
 
 
@@ -86,7 +88,7 @@ def word_diff(pairs: DataFrame, old: str = "old_text", new: str = "new_text") ->
     names = pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             made = [script((a or "").split(), (b or "").split()) for a, b in zip(cols[old].to_pylist(), cols[new].to_pylist(), strict=True)]
             runs = pa.array([[{"kind": k, "words": ws} for k, ws in m] for m in made], pa.list_(pa.struct([("kind", pa.string()), ("words", pa.list_(pa.string()))])))

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from clauseloom.functions.batches import pieces
+
 NAMESPACE = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 W = f"{{{NAMESPACE}}}"
 KEPT, INSERTED, DELETED = "kept", "inserted", "deleted"
@@ -63,7 +65,7 @@ def docx_files(revisions: DataFrame) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("para_no", "seq", "kind", "text", "author", "made_at")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             made = [packed(document_xml(r)) for r in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["name", "content"])
 
@@ -94,7 +96,7 @@ def _read(files: DataFrame, schema: str, rows_of) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for p, content in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
                 try:

@@ -1,14 +1,18 @@
 """What the third round's projections showed: steps whose shuffles or time were many times their input."""
 
+import inspect
 import random
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from clauseloom.operators import edits, rare, rules, terms
+from clauseloom.functions import batches
+from clauseloom.operators import edits, rare, rules, terms, worddiff
 from clauseloom.plans import extra, registry  # noqa: F401  extra adds its queries to the registry
+from clauseloom.sources import docx, pdf
 
 
 def drawn(seed: int = 5, n: int = 60) -> list[tuple]:
@@ -87,3 +91,19 @@ def test_terms_by_page_do_not_shuffle_words(spark, tmp_path, name):
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "explode" not in plan.lower()
+
+
+def test_kernels_take_batches_in_pieces():
+    """A whole batch of 10,000 documents' runs became Python objects at once."""
+    batch = pa.RecordBatch.from_pydict({"x": list(range(1000))})
+    parts = list(batches.pieces([batch, batch.slice(0, 0), batch.slice(0, 5)]))
+    assert max(p.num_rows for p in parts) == 64 and [x for p in parts for x in p.column(0).to_pylist()] == [*range(1000), *range(5)]
+    for kernel in (worddiff.word_diff, docx.docx_files, docx._read, pdf.pdf_files, pdf.pdf_pages):
+        assert "pieces(batches)" in inspect.getsource(kernel)
+
+
+def test_a_words_width_is_counted_once():
+    units = pdf.units_of(pdf.CONTRACT)
+    text = "Ünder \x7f the (AGREEMENT) ~"
+    assert units[text] == sum(pdf.TIMES[ord(c) - 32] if 32 <= ord(c) < 127 else 500 for c in text) and dict.__contains__(units, text)
+    assert pdf.width_of(text, pdf.CONTRACT, 9, True) == units[text] * 9 / 1000 * pdf.BOLDER
