@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,25 +57,30 @@ def apply_to_runs(runs: DataFrame, changes: DataFrame) -> DataFrame:
     names = ["doc_id", "para_no", "run_no", "text", "style"]
 
     def work(mine: pa.Table, wanted: pa.Table) -> pa.Table:
-        rows = sorted(mine.select(names).to_pylist(), key=lambda r: (r["para_no"], r["run_no"]))
+        rows = mine.select(names)
+        rows = rows.take(pc.sort_indices(rows, [("para_no", "ascending"), ("run_no", "ascending")]))
         listed = sorted((r for r in wanted.to_pylist() if r["original"]), key=lambda r: r["seq"])
         new, turn = {}, {}
         for r in listed:
             if r["original"] not in new:
                 new[r["original"]], turn[r["original"]] = r["placeholder"] or "", len(turn)
-        machine, at = Exact(list(new)), 0
-        while at < len(rows):
-            end = at
-            while end < len(rows) and rows[end]["para_no"] == rows[at]["para_no"]:
-                end += 1
-            texts = [r["text"] or "" for r in rows[at:end]]
-            whole = "".join(texts)
+        machine, texts = Exact(list(new)), rows.column("text").to_pylist()
+        # One search over the document; the paragraphs that it meets are searched by themselves.
+        ends = np.cumsum(np.fromiter((len(t or "") for t in texts), dtype=np.int64, count=len(texts)))
+        met = machine.find("".join(t or "" for t in texts))
+        if not met:
+            return rows
+        paras = rows.column("para_no").to_pylist()
+        starts = np.array([k for k in range(len(paras)) if k == 0 or paras[k] != paras[k - 1]])
+        at_run = np.searchsorted(ends, np.array([start for start, _, _ in met]), side="right")
+        for p in np.unique(np.searchsorted(starts, at_run, side="right") - 1).tolist():
+            at, end = int(starts[p]), int(starts[p + 1]) if p + 1 < len(starts) else len(texts)
+            own = [t or "" for t in texts[at:end]]
+            whole = "".join(own)
             spans = chosen(whole, machine.find(whole), turn)
             if spans:
-                for r, t in zip(rows[at:end], rewritten(texts, spans, new), strict=True):
-                    r["text"] = t
-            at = end
-        return pa.Table.from_pylist(rows, schema=mine.select(names).schema)
+                texts[at:end] = rewritten(own, spans, new)
+        return rows.set_column(names.index("text"), rows.schema.field("text"), pa.array(texts, rows.schema.field("text").type))
 
     schema = ", ".join(f"{n} {kinds[n]}" for n in names)
     return runs.select(*names).groupBy("doc_id").cogroup(changes.select("doc_id", "seq", "original", "placeholder").groupBy("doc_id")).applyInArrow(work, schema)
