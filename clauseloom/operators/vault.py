@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clauseloom.functions.patterns import LIBRARY_B
-from clauseloom.operators.terms import text_key
+from clauseloom.functions.batches import pieces
+from clauseloom.functions.patterns import COMPANY_SUFFIX, LIBRARY_B
+from clauseloom.operators.rare import few_terms
+from clauseloom.operators.terms import keyed, text_key
 from clauseloom.operators.text import words
 
 # Endings of company names: of corporate forms, and descriptive.
@@ -19,12 +21,29 @@ CORPORATE = ["llc", "inc", "corp", "corporation", "company", "lp", "llp", "limit
 DESCRIPTIVE = ["center", "centre", "clinic", "lab", "laboratory", "foundation", "trust", "fund", "enterprises", "holdings", "services", "solutions", "properties", "realty", "management", "consulting", "international", "associates", "group"]
 ENDING = re.compile(r"\b(?:" + "|".join(sorted(CORPORATE + DESCRIPTIVE, key=len, reverse=True)) + r")\b\.?", re.IGNORECASE)
 OPENER = re.compile(r".*(?:,|\bWHEREAS\b|\band\b|\bbetween\b)\s*", re.DOTALL | re.IGNORECASE)
-PATTERNS = [(label, re.compile(p)) for label, p in LIBRARY_B]
+#: Letters beyond a to z that a search in any case takes for one of them, and these.
+FOLDED, PLAIN_LETTERS = "\u212a\u017f\u0131\u0130", "ksii"
+
+
+def shortest(strings: list[str]) -> list[str]:
+    """Those that hold none of the others: a text that holds any string holds one of these."""
+    return [s for s in strings if not any(o != s and o in s for o in strings)]
+
+
+#: What every match of a pattern holds (one of some strings, a digit), so texts that lack it need no search.
+ENDINGS = frozenset(CORPORATE + DESCRIPTIVE)
+STEMS = shortest(CORPORATE + DESCRIPTIVE)
+HELD = {"EMAIL": ["@"], "COMPANY": shortest([s.replace(r"\.?", "").replace("\\", "") for s in COMPANY_SUFFIX.removeprefix("(?:").removesuffix(")").split("|")])}
+DIGIT = re.compile(r"\d")
+PATTERNS = [(label, re.compile(p), HELD.get(label), r"\d" in p) for label, p in LIBRARY_B]
 FOUND = "array<struct<seq:int,hex_id:string,type:string,original:string,placeholder:string>>"
 
 
 def entities(text: str) -> list[str]:
     """Names of two words or more, up to 80 characters, that end in a company word, in the text before the first numbered line."""
+    low = text.lower()
+    if not any(c in text for c in FOLDED) and (not any(s in low for s in STEMS) or ENDINGS.isdisjoint(re.findall("[a-z]+", low))):
+        return []
     head = re.split(r"(?m)^\s*\d+[.)]\s", text, maxsplit=1)[0]
     out = []
     for m in ENDING.finditer(head):
@@ -41,7 +60,17 @@ def entities(text: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def redact(doc_id: str, text: str, allow: frozenset[str]) -> tuple[str, list[tuple]]:
+class Listed:
+    """The words of a list (a to z, in lower case) by those of a text that are not on it."""
+
+    def __init__(self, unlisted: list[str]):
+        self.unlisted = frozenset(unlisted)
+
+    def __contains__(self, word: str) -> bool:
+        return word.isascii() and word.isalpha() and word not in self.unlisted
+
+
+def redact(doc_id: str, text: str, allow: frozenset[str] | Listed) -> tuple[str, list[tuple]]:
     """Spans by pass (entities, patterns in order, sweep of found terms), then start; overlaps go to the earlier pass."""
     taken = bytearray(len(text))
     spans: list[tuple[int, int, str]] = []
@@ -55,7 +84,10 @@ def redact(doc_id: str, text: str, allow: frozenset[str]) -> tuple[str, list[tup
     if names:
         for m in re.finditer("|".join(map(re.escape, names)), text, re.IGNORECASE):
             claim(*m.span(), "COMPANY")
-    for label, p in PATTERNS:
+    digits = DIGIT.search(text) is not None
+    for label, p, held, digit in PATTERNS:
+        if digit and not digits or held and not any(s in text for s in held):
+            continue
         for m in p.finditer(text):
             if label == "PERSON" and all(w.lower() in allow for w in m[0].split()):
                 continue
@@ -98,26 +130,56 @@ def with_allowed(docs: DataFrame, allow: DataFrame) -> DataFrame:
     return keyed.join(listed, ["k1", "k2"], "left").withColumn("allowed", F.coalesce("allowed", F.array().cast("array<string>"))).drop("k1", "k2")
 
 
+def with_unlisted(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """docs with `unlisted`, the text's words, in lower case, that fewer than `least` documents (doc_id) have; and the list of the others (term).
+
+    Rare words come with all their documents from the pass that counts, so neither frequent words nor the list meet the
+    texts. A search in any case also meets a word by letters of FOLDED: as a to z, such words are looked up, but not counted.
+    """
+    own, key = keyed(docs), F.struct("k1", "k2")
+    told = own.select("doc_id", key.alias("key"), few_terms(least, 2)("text", "doc_id").alias("terms"))
+    found = told.select("doc_id", "key", F.explode("terms").alias("term"))
+    runs = F.filter(F.regexp_extract_all("text", F.lit(f"[A-Za-z{FOLDED}]+"), F.lit(0)), lambda w: w.rlike(f"[{FOLDED}]"))
+    met = own.filter(F.col("text").rlike(f"[{FOLDED}]")).select(key.alias("key"), F.explode(runs).alias("w"))
+    # No run is empty; but as a plan can't tell, the filter below keeps the key in both parts of the answer, which so share one pass and one shuffle.
+    odd = met.select(F.lit(None).cast(dict(docs.dtypes)["doc_id"]).alias("doc_id"), F.when(F.length("w") > 0, F.col("key")).alias("key"), F.lower(F.translate("w", FOLDED, PLAIN_LETTERS)).alias("term"))
+    n = F.size(F.collect_set("doc_id").over(Window.partitionBy("term")))
+    counted = found.unionByName(odd).filter("term is not null").withColumn("n", n).filter("key is not null")
+    few = counted.filter(F.col("n") < least).groupBy("key.k1", "key.k2").agg(F.collect_set("term").alias("unlisted"))
+    return own.join(few, ["k1", "k2"], "left").drop("k1", "k2"), counted.filter(F.col("n") >= least).select("term").distinct()
+
+
 def vault(docs: DataFrame, allow: DataFrame | frozenset[str] = frozenset()) -> DataFrame:
     """(doc_id, text, redacted, found). Names of listed words only (allow: a table with `term`, or a small set) are no persons.
 
     The spans of one text depend on one another, so this is an Arrow-backed kernel by row.
     """
-    listed, fixed = isinstance(allow, DataFrame), frozenset() if isinstance(allow, DataFrame) else frozenset(allow)
-    own = with_allowed(docs.select("doc_id", "text"), allow) if listed else docs.select("doc_id", "text", F.array().cast("array<string>").alias("allowed"))
+    own = docs.select("doc_id", "text")
+    if isinstance(allow, DataFrame):
+        return vaulted(with_allowed(own, allow), "allowed", frozenset)
+    return vaulted(own.withColumn("allowed", F.lit(None).cast("array<string>")), "allowed", lambda _, fixed=frozenset(allow): fixed)
+
+
+def vault_by_documents(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """vault() over the list of all words of a to z that `least` documents have, and that list (term)."""
+    own, listed = with_unlisted(docs.select("doc_id", "text"), least)
+    return vaulted(own, "unlisted", Listed), listed
+
 
+def vaulted(own: DataFrame, words: str, as_list: Callable) -> DataFrame:
+    """(doc_id, text, redacted, found) of own (doc_id, text, words); as_list makes a text's words its allow-list."""
     names = ("seq", "hex_id", "type", "original", "placeholder")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts, keys, allowed = (batch.column(i) for i in range(4))
-            made = [redact(k, t or "", frozenset(a) if listed else fixed) for k, t, a in zip(keys.to_pylist(), texts.to_pylist(), allowed.to_pylist(), strict=True)]
+        for batch in pieces(batches):
+            ids, texts, keys, told = (batch.column(i) for i in range(4))
+            made = [redact(k, t or "", as_list(w or ())) for k, t, w in zip(keys.to_pylist(), texts.to_pylist(), told.to_pylist(), strict=True)]
             found = pa.array([[dict(zip(names, r, strict=True)) for r in m[1]] for m in made], pa.list_(pa.struct([("seq", pa.int32()), *((n, pa.string()) for n in names[1:])])))
             yield pa.RecordBatch.from_arrays([ids, texts, pa.array([m[0] for m in made], pa.string()), found], names=["doc_id", "text", "redacted", "found"])
 
-    kind = dict(docs.dtypes)["doc_id"]
+    kind = dict(own.dtypes)["doc_id"]
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("None"))
-    return own.select("doc_id", "text", key.alias("key"), "allowed").mapInArrow(run, f"doc_id {kind}, text string, redacted string, found {FOUND}")
+    return own.select("doc_id", "text", key.alias("key"), words).mapInArrow(run, f"doc_id {kind}, text string, redacted string, found {FOUND}")
 
 
 def restored(text: Column, found: Column) -> Column:
@@ -129,4 +191,4 @@ def restored(text: Column, found: Column) -> Column:
         row = F.try_element_at(found, F.nullif(F.regexp_extract(x, r"^\[[A-Z]+:[0-9a-f]{8}\.(\d{1,9})\]", 1).try_cast("int"), F.lit(0)))
         return F.when((mark != "") & (row["placeholder"] == mark), F.concat(row["original"], F.substr(x, F.length(mark) + 1))).otherwise(x)
 
-    return F.array_join(F.transform(pieces, back), "")
+    return F.when(F.size(found) == 0, text).otherwise(F.array_join(F.transform(pieces, back), ""))
